@@ -114,20 +114,11 @@ def as_of(
     """
     sources = list(dict.fromkeys(take.values()))
     tie_col = F.col(tie) if tie else F.lit(0)
-    stacked = probes.select(
-        *keys,
-        F.col(probe_ts).alias("_ts"),
-        F.lit(None).cast(events.select(struct_of(sources).alias("e")).schema["e"].dataType).alias("_event"),
-        F.lit(None).cast(events.select(tie_col.alias("t")).schema["t"].dataType).alias("_tie"),
-        struct_of(probes.columns).alias("_probe"),
+    stacked = events.select(
+        *keys, F.col(event_ts).alias("_ts"), struct_of(sources).alias("_event"), tie_col.alias("_tie"),
     ).unionByName(
-        events.select(
-            *keys,
-            F.col(event_ts).alias("_ts"),
-            struct_of(sources).alias("_event"),
-            tie_col.alias("_tie"),
-            F.lit(None).cast(probes.select(struct_of(probes.columns).alias("p")).schema["p"].dataType).alias("_probe"),
-        )
+        probes.select(*keys, F.col(probe_ts).alias("_ts"), struct_of(probes.columns).alias("_probe")),
+        allowMissingColumns=True,
     ).withColumn("_chunk", time_chunk(F.col("_ts"), chunk_minutes))
 
     part = [*keys, "_chunk"]

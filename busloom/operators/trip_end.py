@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import plus_minutes, require_columns, true_or_false
+from busloom.functions.reuse import written_once
 from busloom.functions.ordered import as_of, keep_first, time_chunk, with_running_counts
 
 # End types and sources.
@@ -57,7 +58,8 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
 
     All tail statistics come from running counts looked up at both ends of the tail, so
     the work is one sorted pass per (vehicle, hour) and no trip-ping pairs are made: a
-    vehicle holding a third of all pings costs no more than its share of rows.  Two
+    vehicle holding a third of all pings costs no more than its share of rows.  The
+    counted pings and the tails are written once, as several branches read them.  Two
     small exceptions join by exact key or on a narrow subset:
 
     * a tail without speeds takes the last ten earlier ones, found by their number;
@@ -66,7 +68,7 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
     """
     key = ["vehicle_id", "actual_start"]
     speed = F.col("speed_kmh")
-    counted = with_running_counts(
+    counted = written_once(with_running_counts(
         pings.filter(F.col("vehicle_id").isNotNull() & F.col("ping_ts").isNotNull())
         .select("vehicle_id", "ping_ts", "ping_id", "speed_kmh", "message"),
         ["vehicle_id"], "ping_ts", "ping_id",
@@ -76,7 +78,7 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
             "c_fast": speed >= rules.returning_kmh,
             "c_off": F.col("message").contains(rules.power_off_text),
         },
-    )
+    ).drop("message"))
     sums = ("c_speed", "c_low", "c_fast", "c_off")
     starts = starts.select(*key).distinct()
     probes = starts.withColumn("_until", plus_minutes("actual_start", rules.after_min))
@@ -88,11 +90,10 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
         .when(F.col("_end") < start, NO_GPS_AFTER_START)
     )
     last = last.withColumn("_state", state)
-    silent = last.filter("_state is not null").select(
-        *key, F.lit(None).cast("timestamp_ntz").alias("estimated_end"), F.col("_state").alias("end_type"))
-
-    tails = last.filter("_state is null").withColumn(
-        "_low_ts", F.greatest(start, plus_minutes("_end", -rules.tail_min)))
+    # Silent starts are probed too, at the start itself, and dropped below.
+    tails = last.withColumn("_state", state).withColumn(
+        "_low_ts", F.when(F.col("_state").isNull(), F.greatest(start, plus_minutes("_end", -rules.tail_min)))
+        .otherwise(start))
     tails = tails.withColumn("_probe", F.col("_low_ts") - F.expr(_JUST_BEFORE))
     tails = as_of(tails, counted, ["vehicle_id"], "_probe", "ping_ts",
                   {f"_pre_{c}": c for c in sums}, tie="ping_id")
@@ -100,10 +101,13 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
     def inside(c: str) -> Column:
         return F.col(f"_end_{c}") - F.coalesce(F.col(f"_pre_{c}"), F.lit(0))
 
-    tails = tails.select(
-        *key, "_end", "_low_ts", F.col("_end_c_speed").alias("_last_no"),
+    tails = written_once(tails.select(
+        *key, "_state", "_end", "_low_ts", F.col("_end_c_speed").alias("_last_no"),
         inside("c_speed").alias("_n"), inside("c_low").alias("_low"),
-        inside("c_fast").alias("_above"), (inside("c_off") > 0).alias("_off"))
+        inside("c_fast").alias("_above"), (inside("c_off") > 0).alias("_off")))
+    silent = tails.filter("_state is not null").select(
+        *key, F.lit(None).cast("timestamp_ntz").alias("estimated_end"), F.col("_state").alias("end_type"))
+    tails = tails.filter("_state is null").drop("_state")
     half = (F.col("_above") * 2 == F.col("_n")) & (F.col("_n") > 0)
     plain = tails.filter((F.col("_n") > 0) & ~half).withColumn("_fast", F.col("_above") * 2 > F.col("_n"))
 

@@ -100,3 +100,20 @@ def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
 
 def pings(spark: SparkSession, folder: str) -> DataFrame:
     return pings_from_events(read_table(spark, folder, "events"))
+
+
+def trips_from_orders(orders: DataFrame) -> DataFrame:
+    """Usable trips over several years, one per order, for weekly and monthly operators."""
+    key = F.col("o_orderkey")
+    return orders.select(
+        key.alias("trip_id"),
+        F.concat(F.lit("V"), F.floor(F.col("o_custkey") / 4).cast("string")).alias("vehicle_id"),
+        F.col("o_orderpriority").alias("route_id"),
+        plus_minutes("o_orderdate", 300 + key * 7 % 900).alias("actual_start"),
+        F.to_date("o_orderdate").alias("service_date"),
+        F.floor(F.col("o_totalprice") / 10000).cast("long").alias("boardings"),
+    )
+
+
+def long_trips(spark: SparkSession, folder: str) -> DataFrame:
+    return trips_from_orders(read_table(spark, folder, "orders"))
