@@ -109,7 +109,7 @@ def percent(num: Column, den: Column) -> Column:
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
-    half_dp = (p2 - p1) / 2
+    half_dp = F.radians(col(lat2) - col(lat1)) / 2
     half_dl = F.radians(col(lon2) - col(lon1)) / 2
     chord = F.pow(F.sin(half_dp), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(half_dl), 2)
     return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord))

@@ -76,7 +76,7 @@ def yard_occupancy(timeline: DataFrame, days: DataFrame) -> DataFrame:
         F.struct(F.col("_to").alias("tick"), F.lit(-1).alias("_step")))))
     steps = steps.groupBy("service_date", "tick").agg(F.sum("_step").alias("_step"))
     grid = days.select("service_date").distinct().select(
-        "service_date", F.explode(F.sequence(F.lit(0), F.lit(TICKS - 1))).cast("long").alias("tick"))
+        "service_date", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TICKS - 1).cast("long"))).alias("tick"))
     so_far = Window.partitionBy("service_date").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     return (
         grid.join(steps, ["service_date", "tick"], "left")

@@ -1,7 +1,7 @@
 """Named queries with a declared output, and their SQL twins.
 
 The output spec is a string of ``name:kind`` pairs.  Kinds: s text, i whole number,
-f number rounded to 4 places, b boolean, d date, t timestamp.  Dates and timestamps
+f number rounded to 6 places, b boolean, d date, t timestamp.  Dates and timestamps
 leave as text, so that both engines hand out the same values.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUND_TO = 4
+ROUND_TO = 6
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
