@@ -2,7 +2,9 @@
 
 The output spec is a string of ``name:kind`` pairs.  Kinds: s text, i whole number,
 f number rounded to 6 places, b boolean, d date, t timestamp.  Dates and timestamps
-leave as text, so that both engines hand out the same values.
+leave as text, so that both engines hand out the same values.  Numbers get a tiny
+offset before rounding: a value on a rounding tie, up to the float noise of its sum
+order, then rounds the same way on both sides.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUND_TO = 6
+TIE_OFFSET = 1e-8
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -25,7 +28,7 @@ def _spark_column(name: str, kind: str) -> Column:
     if kind == "i":
         c = c.cast("long")
     elif kind == "f":
-        c = F.round(c.cast("double"), ROUND_TO) + F.lit(0.0)
+        c = F.round(c.cast("double") + F.lit(TIE_OFFSET), ROUND_TO) + F.lit(0.0)
     elif kind == "d":
         c = c.cast("date").cast("string")
     elif kind == "t":
@@ -39,7 +42,7 @@ def _sql_column(name: str, kind: str) -> str:
     c = f'q."{name}"'
     body = {
         "i": f"CAST({c} AS BIGINT)",
-        "f": f"ROUND(CAST({c} AS DOUBLE), {ROUND_TO}) + 0.0",
+        "f": f"ROUND(CAST({c} AS DOUBLE) + {TIE_OFFSET:.8f}, {ROUND_TO}) + 0.0",
         "d": f"strftime(CAST({c} AS DATE), '%Y-%m-%d')",
         "t": f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')",
         "s": f"CAST({c} AS VARCHAR)",
