@@ -6,7 +6,10 @@ from importlib import import_module
 
 from busloom.plans.registry import Query
 
-MODULES = ("trip_queries", "gps_queries", "series_queries", "service_queries", "eda_queries", "model_queries")
+MODULES = (
+    "trip_queries", "gps_queries", "series_queries", "service_queries", "eda_queries", "model_queries",
+    "evaluation_queries",
+)
 
 
 def all_queries() -> dict[str, Query]:
