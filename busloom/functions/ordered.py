@@ -44,11 +44,14 @@ def with_neighbour(
     order = [F.col(ts).desc(), F.col(tie).desc()] if following else [F.col(ts), F.col(tie)]
     inside = F.lag(struct_of(sources)).over(Window.partitionBy(*part).orderBy(*order))
 
-    pick = F.min_by if following else F.max_by
     chunk_order = F.col("_chunk").desc() if following else F.col("_chunk")
+    if sources == [ts]:
+        # A plain minimum or maximum aggregates by hash; a struct would need a sort.
+        edge = F.struct((F.min(ts) if following else F.max(ts)).alias(ts))
+    else:
+        edge = (F.min_by if following else F.max_by)(struct_of(sources), struct_of([ts, tie]))
     borders = (
-        chunked.groupBy(*part)
-        .agg(pick(struct_of(sources), struct_of([ts, tie])).alias("_edge"))
+        chunked.groupBy(*part).agg(edge.alias("_edge"))
         .withColumn("_carry", F.lag("_edge").over(Window.partitionBy(*keys).orderBy(chunk_order)))
         .select(*part, "_carry")
     )
@@ -105,12 +108,15 @@ def as_of(
     *,
     following: bool = False,
     tie: str | None = None,
+    monotone: bool = False,
     chunk_minutes: int = 60,
 ) -> DataFrame:
     """Add columns of the last event at or before each probe (or first at or after it).
 
     Both sides are stacked and sorted once per (key, chunk): no probe-event pairs are
-    made.  Keys and times must not be null.
+    made.  Keys and times must not be null.  ``monotone`` tells that every taken column
+    never falls in event order (as times and running counts), so that a chunk's last
+    values are plain maxima.
     """
     sources = list(dict.fromkeys(take.values()))
     tie_col = F.col(tie) if tie else F.lit(0)
@@ -125,12 +131,14 @@ def as_of(
     is_probe = F.col("_probe").isNotNull()
     if following:
         order = [F.col("_ts").desc(), is_probe, F.col("_tie").desc()]
-        chunk_order = F.col("_chunk").desc()
-        edge = F.min_by("_event", F.struct("_ts", "_tie")).alias("_edge")
+        chunk_order, extreme, pick = F.col("_chunk").desc(), F.min, F.min_by
     else:
         order = [F.col("_ts"), is_probe, F.col("_tie")]
-        chunk_order = F.col("_chunk")
-        edge = F.max_by("_event", F.struct("_ts", "_tie")).alias("_edge")
+        chunk_order, extreme, pick = F.col("_chunk"), F.max, F.max_by
+    if monotone:
+        edge = F.struct(*[extreme(F.col("_event").getField(c)).alias(c) for c in sources]).alias("_edge")
+    else:
+        edge = pick("_event", F.struct("_ts", "_tie")).alias("_edge")
 
     so_far = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)

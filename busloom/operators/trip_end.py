@@ -83,7 +83,7 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
     starts = starts.select(*key).distinct()
     probes = starts.withColumn("_until", plus_minutes("actual_start", rules.after_min))
     last = as_of(probes, counted, ["vehicle_id"], "_until", "ping_ts",
-                 {"_end": "ping_ts", **{f"_end_{c}": c for c in sums}}, tie="ping_id")
+                 {"_end": "ping_ts", **{f"_end_{c}": c for c in sums}}, tie="ping_id", monotone=True)
     start = F.col("actual_start")
     state = (
         F.when(F.col("_end").isNull() | (F.col("_end") < plus_minutes(start, -rules.before_min)), NO_GPS)
@@ -96,7 +96,7 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
         .otherwise(start))
     tails = tails.withColumn("_probe", F.col("_low_ts") - F.expr(_JUST_BEFORE))
     tails = as_of(tails, counted, ["vehicle_id"], "_probe", "ping_ts",
-                  {f"_pre_{c}": c for c in sums}, tie="ping_id")
+                  {f"_pre_{c}": c for c in sums}, tie="ping_id", monotone=True)
 
     def inside(c: str) -> Column:
         return F.col(f"_end_{c}") - F.coalesce(F.col(f"_pre_{c}"), F.lit(0))

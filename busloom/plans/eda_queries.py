@@ -10,7 +10,7 @@ from busloom.operators import eda, outliers
 from busloom.operators.eda import WEEKDAY_NAMES
 from busloom.plans.common_sql import block, day_type_sql, sql, values_list
 from busloom.plans.registry import Query
-from busloom.plans.series_queries import full_series, plain_series, ready
+from busloom.plans.series_queries import plain_series, ready, series_30, series_table
 from busloom.sources.tables import CALENDAR_YEARS, long_trips
 
 KEYS = "route_id:s gran_min:i "
@@ -203,12 +203,12 @@ QUERIES = [
     Query("e16_gap_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(op30(s, d), eda.gap_share()),
           sql(_matrix_sql("100.0 * avg(CAST(is_gap AS INT))", "s30_v"))),
     Query("e16_gap_type_matrix", _MATRIX,
-          lambda s, d: eda.weekday_hour_matrix(full_series(s, d, (30,)), eda.gap_type_share("gap_anomalo")),
+          lambda s, d: eda.weekday_hour_matrix(series_30(s, d), eda.gap_type_share("gap_anomalo")),
           sql(_matrix_sql("100.0 * avg(CAST(gap_type = 'gap_anomalo' AS INT))", "series30_v"))),
     Query("e16_outlier_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(odd(s, d), F.count(F.lit(1))),
           sql(_matrix_sql("count(*)", "odd_v"))),
     Query("e17_gap_type_summary", KEYS + "gap_type:s slots:i pct:f",
-          lambda s, d: eda.gap_type_summary(full_series(s, d)),
+          lambda s, d: eda.gap_type_summary(series_table(s, d)),
           sql("""SELECT route_id, gran_min, gap_type, count(*) AS slots, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY route_id, gran_min) AS pct
                  FROM series_v GROUP BY 1, 2, 3""")),
     Query("e18_width_comparison", KEYS + "slots:i gaps:i gap_pct:f metric:f",
@@ -242,7 +242,7 @@ QUERIES = [
                  SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY period) - 1 AS x FROM periods_v WHERE period_type = 'mes')
                  WINDOW w AS (PARTITION BY route_id)""")),
     Query("e25_slice_scorecard", KEYS + "n_rows:i metric:f gaps:i gap_pct:f odd_gaps:i outliers:i",
-          lambda s, d: (lambda f: eda.slice_scorecard(f, outliers.contextual_outliers(f, factor=1.0)))(full_series(s, d, (30,))),
+          lambda s, d: (lambda f: eda.slice_scorecard(f, outliers.contextual_outliers(f, factor=1.0)))(series_30(s, d)),
           sql("""SELECT s.route_id, s.gran_min, count(*) AS n_rows, sum(s.passengers_sum) AS metric, count(*) FILTER (s.is_gap) AS gaps,
                  100.0 * count(*) FILTER (s.is_gap) / count(*) AS gap_pct, count(*) FILTER (s.gap_type = 'gap_anomalo') AS odd_gaps,
                  count(*) FILTER (c.outlier_type <> '') AS outliers FROM series_v s JOIN ctx_v c ON c.route_id = s.route_id AND c.timestamp = s.timestamp

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from busloom.functions.calendar import DAY_TYPES
 from busloom.functions.columns import service_day
-from busloom.functions.reuse import written_once
 from busloom.operators import baselines, features, sequences, splits
 from busloom.plans.common_sql import block, sql
 from busloom.plans.registry import Query
-from busloom.plans.series_queries import full_series, ready
+from busloom.plans.stages import staged
+from busloom.plans.series_queries import ready, series_30
 from busloom.sources.tables import trips
 
 # The events span 30 days: fold lengths in days.
@@ -135,12 +135,13 @@ block("ordinal_v", """
 # ---------------------------------------------------------------- Spark frames
 
 def grid(s, d):
-    return features.add_targets(full_series(s, d, (30,)))
+    return features.add_targets(series_30(s, d))
 
 
+@staged
 def table(s, d):
-    out = features.modeling_table(full_series(s, d, (30,)))
-    return written_once(out.withColumn("service_day", service_day("timestamp")))
+    out = features.modeling_table(series_30(s, d))
+    return out.withColumn("service_day", service_day("timestamp"))
 
 
 def scenario_table(s, d):
@@ -221,7 +222,7 @@ QUERIES = [
     Query("f5_intervals", "route_id:s interval_start:t interval_end:t cutoff_ts:t", lambda s, d: features.add_interval(grid(s, d)),
           sql("SELECT route_id, timestamp AS interval_start, timestamp + INTERVAL 30 MINUTE AS interval_end, timestamp AS cutoff_ts FROM targets_v")),
     Query("f6_modeling_table", "route_id:s timestamp:t is_gap:b day_type:s passengers_sum:f passengers_sum_lag_1:f",
-          lambda s, d: features.modeling_table(full_series(s, d, (30,)), first_days=20),
+          lambda s, d: features.modeling_table(series_30(s, d), first_days=20),
           sql("""SELECT * FROM table_v WHERE timestamp < (SELECT min(timestamp) FROM table_v) + INTERVAL 20 DAY""")),
     Query("f7_leakage_check", "feature:s checked:i mismatches:i", lambda s, d: features.leakage_check(features.add_lags(grid(s, d))),
           sql(" UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) AS checked, 0 AS mismatches FROM targets_v" for n in _CHECK))),
@@ -269,7 +270,7 @@ QUERIES = [
     Query("n15_numeric_features", "route_id:s timestamp:t n_features:i passengers_sum_lag_48:f passengers_per_trip_lag_336:f", _numeric,
           sql("SELECT *, 8 AS n_features FROM table_v")),
     Query("b1_service_day_borders", "route_id:s timestamp:t start_up:t end_down:t",
-          lambda s, d: full_series(s, d, (30,)).withColumns({"start_up": splits.align_start(F.col("timestamp")), "end_down": splits.align_end(F.col("timestamp"))}),
+          lambda s, d: series_30(s, d).withColumns({"start_up": splits.align_start(F.col("timestamp")), "end_down": splits.align_end(F.col("timestamp"))}),
           sql(f"SELECT route_id, timestamp, {_up('timestamp')} AS start_up, {_down('timestamp')} AS end_down FROM targets_v")),
     Query("b2_alignment_summary", "scope:s boundary:s original_ts:t aligned_ts:t rows_cut:i days_cut:i",
           lambda s, d: splits.alignment_summary(table(s, d), PLAN),

@@ -9,6 +9,7 @@ from busloom.functions.calendar import DAY_TYPES
 from busloom.operators import hours, normalize, series
 from busloom.plans.common_sql import block, day_type_sql, sql
 from busloom.plans.registry import Query
+from busloom.plans.stages import staged
 from busloom.sources.tables import CALENDAR_YEARS, trips
 
 # ---------------------------------------------------------------- SQL blocks
@@ -91,6 +92,15 @@ def full_series(spark: SparkSession, d: str, grans=series.GRANULARITIES) -> Data
     return series.add_service_hours(base, hours.estimate_hours(base))
 
 
+@staged
+def series_table(spark: SparkSession, d: str) -> DataFrame:
+    return full_series(spark, d)
+
+
+def series_30(spark: SparkSession, d: str) -> DataFrame:
+    return series_table(spark, d).filter("gran_min = 30")
+
+
 _S = "route_id:s gran_min:i timestamp:t "
 _M = "passengers_sum:f trips:i passengers_mean:f passengers_p95:f "
 
@@ -149,9 +159,9 @@ QUERIES = [
           sql("SELECT route_id, gran_min, minute, " + ", ".join(
               f"max(active_share) FILTER (day_type = '{t}') AS {t}" for t in DAY_TYPES) + " FROM activity_v GROUP BY 1, 2, 3")),
     Query("h5_gap_comparison", "route_id:s gran_min:i day_type:s slots:i gaps:i gap_pct:f hours_slots:i hours_gaps:i hours_gap_pct:f",
-          lambda s, d: hours.gap_comparison(full_series(s, d)), sql("SELECT * FROM gap_cmp_v")),
+          lambda s, d: hours.gap_comparison(series_table(s, d)), sql("SELECT * FROM gap_cmp_v")),
     Query("h6_gap_rollup", "route_id:s gran_min:i slots:i gaps:i hours_slots:i hours_gaps:i gap_pct:f hours_gap_pct:f reduction_points:f",
-          lambda s, d: hours.gap_rollup(hours.gap_comparison(full_series(s, d))),
+          lambda s, d: hours.gap_rollup(hours.gap_comparison(series_table(s, d))),
           sql("""SELECT *, gap_pct - hours_gap_pct AS reduction_points FROM (SELECT route_id, gran_min, sum(slots) AS slots, sum(gaps) AS gaps,
                  sum(hours_slots) AS hours_slots, sum(hours_gaps) AS hours_gaps, 100.0 * sum(gaps) / sum(slots) AS gap_pct,
                  100.0 * sum(hours_gaps) / sum(hours_slots) AS hours_gap_pct FROM gap_cmp_v WHERE hours_gap_pct IS NOT NULL GROUP BY 1, 2)""")),

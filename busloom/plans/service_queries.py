@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from busloom.operators import fleet, service
 from busloom.plans.common_sql import block, minutes, sql
 from busloom.plans.registry import Query
-from busloom.plans.series_queries import full_series, ready
+from busloom.plans.series_queries import ready, series_30
 from busloom.sources.tables import long_trips, trips
 
 N_DAYS = 12
@@ -113,7 +113,7 @@ def detrended(s, d):
 
 
 def loads(s, d):
-    return service.load_factors(full_series(s, d, (30,)))
+    return service.load_factors(series_30(s, d))
 
 
 def work_days(s, d):
@@ -169,7 +169,7 @@ QUERIES = [
           sql("""SELECT route_id, load_state, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY route_id) AS pct
                  FROM loads_v GROUP BY 1, 2""")),
     Query("k8_supply_demand_mismatch", "route_id:s dissimilarity:f relocate_pct:f mean_abs_diff:f slots:i",
-          lambda s, d: service.supply_demand_dissimilarity(full_series(s, d, (30,))),
+          lambda s, d: service.supply_demand_dissimilarity(series_30(s, d)),
           sql("""SELECT route_id, sum(g) / 2 AS dissimilarity, sum(g) * 50 AS relocate_pct, avg(g) AS mean_abs_diff, count(*) AS slots FROM (
                  SELECT route_id, abs(a / sum(a) OVER (PARTITION BY route_id) - b / sum(b) OVER (PARTITION BY route_id)) AS g FROM (
                  SELECT route_id, minute, avg(coalesce(trips, 0)) AS a, avg(coalesce(passengers_sum, 0)) AS b FROM series_v

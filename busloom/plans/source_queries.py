@@ -13,7 +13,7 @@ from busloom.plans.common_sql import block, minutes, sql
 from busloom.plans.model_queries import table
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import plain_series, ready
-from busloom.plans.trip_queries import flagged
+from busloom.plans.trip_queries import qc_table
 from busloom.session import shared_dir
 from busloom.sources import extract, files
 from busloom.sources.tables import pings_from_events, raw_trips_from_events, read_table, trips, trips_from_events
@@ -92,7 +92,7 @@ def snapshots(s, d) -> DataFrame:
 
 
 def quality_split(s, d) -> DataFrame:
-    paths = files.write_quality_split(flagged(s, d), _scratch(s))
+    paths = files.write_quality_split(qc_table(s, d), _scratch(s))
     parts = [s.read.parquet(p).agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, p in paths.items()]
     return reduce(DataFrame.unionByName, parts)
 

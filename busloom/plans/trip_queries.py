@@ -9,6 +9,7 @@ from busloom.functions.columns import service_day
 from busloom.operators import diagnostics, normalize, quality
 from busloom.plans.common_sql import block, minutes, sql
 from busloom.plans.registry import Query
+from busloom.plans.stages import staged
 from busloom.sources.tables import pings, raw_trips, read_table, trips
 
 LIMITS = quality.QualityLimits(valid_status=(0, 1, 2, 3))
@@ -71,14 +72,19 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
     return quality.flag_trips(raw_trips(spark, d), LIMITS)
 
 
+@staged
+def qc_table(spark: SparkSession, d: str) -> DataFrame:
+    return flagged(spark, d)
+
+
 def raw_ready(spark: SparkSession, d: str) -> DataFrame:
-    ready = normalize.model_ready(flagged(spark, d))
+    ready = normalize.model_ready(qc_table(spark, d))
     return normalize.label_trips(ready.withColumn(
         "boardings", normalize.corrected_boardings("boardings_raw", "door_alarms")))
 
 
 def stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    qc = flagged(spark, d)
+    qc = qc_table(spark, d)
     return {"raw": raw_trips(spark, d), "qc": qc, "end": normalize.label_trips(qc.filter(~F.col("qc_hard_fail"))),
             "model_ready": raw_ready(spark, d)}
 
@@ -188,11 +194,11 @@ QUERIES = [
           lambda s, d: quality.operational_flags(raw_trips(s, d), LIMITS), sql("SELECT * FROM flag_base_v")),
     Query("q6_quality_rollup", f"row_id:i {_FLAG_SPEC} qc_score:i", flagged, sql("SELECT * FROM flagged_v")),
     Query("q7_quality_reasons", "row_id:i qc_reason_hard:s qc_reason_soft:s", flagged, sql("SELECT * FROM flagged_v")),
-    Query("q8_flag_summary", "flag:s n:i pct:f", lambda s, d: quality.flag_summary(flagged(s, d)),
+    Query("q8_flag_summary", "flag:s n:i pct:f", lambda s, d: quality.flag_summary(qc_table(s, d)),
           sql(_union((*quality.ALL_FLAGS, *quality.ROLLUPS),
                      "SELECT '{c}' AS flag, count(*) FILTER ({c}) AS n, 100.0 * count(*) FILTER ({c}) / count(*) AS pct FROM flagged_v"))),
     *[Query(f"q9_top_{by.split('_')[0]}s", f"{by}:s qc_any_flag:i qc_hard_fail:i qc_soft_fail:i",
-            lambda s, d, by=by: quality.top_offenders(flagged(s, d), by),
+            lambda s, d, by=by: quality.top_offenders(qc_table(s, d), by),
             sql(f"""SELECT {by}, count(*) FILTER (qc_any_flag) AS qc_any_flag, count(*) FILTER (qc_hard_fail) AS qc_hard_fail,
                    count(*) FILTER (qc_soft_fail) AS qc_soft_fail FROM flagged_v WHERE {by} IS NOT NULL GROUP BY 1
                    ORDER BY 3 DESC, 2 DESC, 1 LIMIT 15""")) for by in ("vehicle_id", "route_id")],

@@ -71,6 +71,7 @@ def main() -> None:
     spark = local_session(8)
     con = connect(folder)
     failed = 0
+    begun = time.time()
     for name, q in all_queries().items():
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
@@ -82,7 +83,7 @@ def main() -> None:
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {time.time() - t0:6.2f}s {name}"
               + ("" if q.sql else " (no SQL)") + (f"\n     {problem}" if problem else ""), flush=True)
-    print(f"{failed} failed")
+    print(f"{failed} failed, {time.time() - begun:.0f} s")
     spark.stop()
 
 
