@@ -16,6 +16,9 @@ Z_LIMIT = 3
 MIN_CONTEXT = 8
 MIN_PAIRS = 10
 
+# Letters by which texts are grouped before they are numbered.
+HEAD_LETTERS = 4
+
 
 def series_outliers(series: DataFrame, value: str = VALUE) -> DataFrame:
     """Slots outside the series' IQR fence or far from their day type's mean.
@@ -83,11 +86,19 @@ def _ranked(counts: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def text_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace texts by their place in sorted order, missing ones by -1."""
+    """Replace texts by their place in sorted order, missing ones by -1.
+
+    Texts are numbered within their first letters and shifted by the number of texts with
+    smaller first letters, so that no column is sorted in one task.
+    """
     out = df
     for c in columns:
-        known = df.filter(F.col(c).isNotNull()).select(c).distinct()
-        codes = known.withColumn(f"_{c}", F.dense_rank().over(Window.partitionBy().orderBy(c)) - 1)
+        known = df.filter(F.col(c).isNotNull()).select(c).distinct().withColumn("_head", F.substring(c, 1, HEAD_LETTERS))
+        smaller = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+        heads = known.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_head", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_head").orderBy(c)) - 1
+        codes = known.withColumn("_place", place).join(heads, "_head").select(c, (F.col("_before") + F.col("_place")).alias(f"_{c}"))
         out = out.join(codes, c, "left").withColumn(c, F.coalesce(F.col(f"_{c}"), F.lit(-1))).drop(f"_{c}")
     return out
 

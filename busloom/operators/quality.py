@@ -229,7 +229,12 @@ def describe(df: DataFrame, value: str, keys: Sequence[str] = (), *, width: floa
     probs = probs or {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     if keys:
         return describe_by(df, list(keys), value, probs, width=width)
-    return describe_by(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, width=width).drop("_all")
+    # Without keys both sides are one row: the percentiles come in as a scalar, not by a join.
+    found = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, width=width)
+    row = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+                 F.min(value).alias("min"), F.max(value).alias("max"))
+    return row.withColumn("_p", found.select(F.struct(*probs).alias("p")).scalar()).select(
+        "n", "mean", "std", "min", "max", *[F.col("_p").getField(p).alias(p) for p in probs])
 
 
 def negative_durations(flagged: DataFrame, tie: str, top: int = 20) -> DataFrame:
