@@ -134,10 +134,18 @@ def demand_by_weekday_hour(df: DataFrame, ts: str = "actual_start") -> DataFrame
 
 
 def duration_by_route(df: DataFrame, route: str = "route_id", value: str = "duration_min") -> DataFrame:
-    """Count, mean, median and p95 per route.  Needs the route to be known."""
-    known = df.filter(F.col(route).isNotNull())
-    means = known.groupBy(route).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return means.join(exact_percentiles(known, [route], value, {"median": 0.5, "p95": 0.95}), route)
+    """Count, mean, median and p95 per route; trips without a route make their own row."""
+    probs = {"median": 0.5, "p95": 0.95}
+    size = [F.count(value).alias("n"), F.avg(value).alias("mean")]
+    known, rest = df.filter(F.col(route).isNotNull()), df.filter(F.col(route).isNull())
+    by_route = known.groupBy(route).agg(*size).join(exact_percentiles(known, [route], value, probs), route, "left")
+    found = exact_percentiles(rest.withColumn("_all", F.lit(1)), ["_all"], value, probs)
+    nameless = (
+        rest.agg(F.max(route).alias(route), *size, F.count(F.lit(1)).alias("_rows")).filter("_rows > 0")
+        .withColumn("_p", found.select(F.struct(*probs).alias("p")).scalar())
+        .select(route, "n", "mean", *[F.col("_p").getField(p).alias(p) for p in probs])
+    )
+    return by_route.unionByName(nameless)
 
 
 def report_bundle(spark: SparkSession, stages: Mapping[str, DataFrame], columns: Sequence[str]) -> dict[str, DataFrame]:

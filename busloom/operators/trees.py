@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import plus_minutes
+from busloom.operators.diagnostics import union_all
 
 # Sentinel of a missing feature, days held back for stopping, objectives.
 MISSING = -1.0
@@ -54,6 +55,22 @@ def fit_predict(table: DataFrame, numeric: Sequence[str], texts: Sequence[str],
     return model.transform(held).drop("features", *[f"{c}_code" for c in texts]), diagnostics
 
 
+def backtest_trees(table: DataFrame, folds: DataFrame, numeric: Sequence[str], texts: Sequence[str],
+                   **options) -> tuple[DataFrame, DataFrame]:
+    """Predictions and diagnostics of both objectives over all folds.
+
+    The folds are a few dozen rows; each is one distributed fit.
+    """
+    predicted, diagnosed = [], []
+    for fold in folds.select("fold", "split", "train_end", "eval_end").collect():
+        for model, loss in OBJECTIVES.items():
+            p, d = fit_predict(table, numeric, texts, str(fold["train_end"]), str(fold["eval_end"]), objective=loss, **options)
+            stamp = {"model": F.lit(model), "fold": F.lit(fold["fold"]), "split": F.lit(fold["split"])}
+            predicted.append(p.withColumns(stamp))
+            diagnosed.append(d.withColumns(stamp))
+    return union_all(predicted), union_all(diagnosed)
+
+
 def importance_table(diagnostics: DataFrame) -> DataFrame:
     """Mean gain per feature over folds, ranked within each model."""
     long = diagnostics.select("model", "fold", F.explode("gain").alias("feature", "gain"))

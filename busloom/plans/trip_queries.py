@@ -257,7 +257,7 @@ QUERIES = [
           sql("""SELECT isodow(actual_start) - 1 AS weekday, hour(actual_start) AS hour, count(*) AS trips,
                  coalesce(sum(boardings), 0) AS passengers_sum FROM trips_v WHERE actual_start IS NOT NULL GROUP BY 1, 2""")),
     Query("d9_duration_by_route", "route_id:s n:i mean:f median:f p95:f",
-          lambda s, d: diagnostics.duration_by_route(normalize.model_ready(trips(s, d))),
+          lambda s, d: diagnostics.duration_by_route(raw_ready(s, d)),
           sql("""SELECT route_id, count(*) AS n, avg(duration_min) AS mean, median(duration_min) AS median,
-                 quantile_cont(duration_min, 0.95) AS p95 FROM ready_v GROUP BY 1""")),
+                 quantile_cont(duration_min, 0.95) AS p95 FROM raw_ready_v GROUP BY 1""")),
 ]
