@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from busloom.session import shared_dir
 
 
-def written_once(df: DataFrame) -> DataFrame:
+def written_once(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
     For a frame that several branches need: it is worked out once, later stages see a
-    plain scan with column pruning, and a lost executor costs no recomputation.
+    plain scan with column pruning, and a lost executor costs no recomputation.  The write
+    happens in this call; queries that use it run jobs while they are built.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/busloom-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Session settings the operators rely on."""
+"""Session settings the operators rely on, and the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_own_folders: dict[str, str] = {}
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -34,13 +36,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediates: the cluster's checkpoint folder.
+    """Folder for written intermediates: this application's own, below ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the session names none (tests).
+    The folder is removed when the driver's JVM ends.  A cluster session must name
+    ``spark.checkpoint.dir``, and it must be a place that every executor can reach (a mounted
+    ``file:`` path is as good as an object store, so the scheme is not judged).  Only a session
+    in one process (``local[...]``) falls back to a temporary folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    fallback = tempfile.mkdtemp(prefix="busloom-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError(
+                    "spark.checkpoint.dir is not set: intermediates need a folder that the driver and all executors share"
+                )
+            base = tempfile.mkdtemp(prefix="busloom-")
+        folder = f"{base.rstrip('/')}/busloom-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _own_folders[app] = folder
+    return _own_folders[app]
