@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from busloom.llm import bpe, packing
+from busloom.llm import bpe, language, packing, quality
+
+
+GOOD_SCORE = 0.3
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,11 +21,38 @@ def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.piece_digests(pieces)
 
 
+def _held_out(of: int, rest: int) -> Column:
+    """Whether crc32 of the document id's text leaves ``rest``; a null id is never held out (and teaches nothing)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == rest, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    return language.fit(docs, ~_held_out(4, 2))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.CompressionModel:
+    return quality.fit(docs, labels, ~_held_out(5, 0))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language.predict(docs, language_model(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality_model(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.round_trip_digests(coded)
 
 
-QUERIES = {f.__name__: f for f in (op1_power_of_two_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (
+    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op10_bpe_round_trip,
+)}
 
 SQL: dict[str, str] = {}
