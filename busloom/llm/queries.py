@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, language, packing, quality
+from busloom.llm import bpe, language, ngram_join, packing, quality
 
 
 GOOD_SCORE = 0.3
@@ -46,13 +46,17 @@ def op3_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
 
 
+def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, folder, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.round_trip_digests(coded)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op10_bpe_round_trip,
+    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op6_minhash_join, op10_bpe_round_trip,
 )}
 
 SQL: dict[str, str] = {}
