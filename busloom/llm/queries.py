@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, language, ngram_join, packing, quality
+from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality
 
 
 GOOD_SCORE = 0.3
@@ -50,13 +50,18 @@ def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents")).select(
+        "doc_id", "lines_in", "lines_out", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.round_trip_digests(coded)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op6_minhash_join, op10_bpe_round_trip,
+    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op6_minhash_join, op9_line_dedup, op10_bpe_round_trip,
 )}
 
 SQL: dict[str, str] = {}
