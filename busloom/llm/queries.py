@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality
+from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality, url_filter
 
 
 GOOD_SCORE = 0.3
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +47,11 @@ def op3_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
 
 
+def op4_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    labels = _table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_filter.judge(_table(spark, folder, "pages"), labels, URL_RULES)
+
+
 def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents"))
 
@@ -61,7 +67,8 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op6_minhash_join, op9_line_dedup, op10_bpe_round_trip,
+    op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
+    op6_minhash_join, op9_line_dedup, op10_bpe_round_trip,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_url_templates": url_filter.judge_sql(URL_RULES)}
