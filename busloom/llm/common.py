@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
@@ -65,6 +65,21 @@ def blocks_for(count: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / F.lit(size))).cast("int")
 
 
+def hash_sample(rows: DataFrame, kind: str, per_kind: int) -> DataFrame:
+    """At most ``per_kind`` rows of each ``kind`` (few kinds), those with the least hash of doc_id, with their rank.
+
+    A share fixed by each kind's count, four times what is wanted, passes first; so what meets
+    for ranking is bounded however many rows and tasks there are.
+    """
+    shares = {r[0]: min(1.0, 4 * per_kind / r[1]) for r in rows.groupBy(kind).count().collect()}
+    if not shares:
+        return rows.withColumn("rank", F.lit(0))
+    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(kind)]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    ranked = rows.where(place < share * (1 << 31)).withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(place, "doc_id")))
+    return ranked.where(F.col("rank") <= per_kind)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): node, component (its smallest node), for nodes with a link.
 

@@ -1,6 +1,6 @@
 """Language identification in two steps: family first, then one-versus-one machines inside the family.
 
-Features are hashed letter n-grams of the words (two to four letters with the word's borders, and
+Features are hashed letter n-grams of the words (two and three letters with the word's borders, and
 the whole word), as shares of a document's n-grams.  Linear support vector machines tell each
 family from the rest; inside the winning family every pair of languages has a machine of its own
 and the languages are ranked by votes, then by summed margins.
@@ -19,17 +19,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import pairs_of, to_batches
+from busloom.llm.common import hash_sample, pairs_of, to_batches
 from busloom.llm.linear import calibrate, fit_svm
 
 TRAINING_ROWS = 4000
 DIMENSIONS = 4096
-GRAMS = (2, 3, 4)
-CACHED_WORDS = 200_000
+GRAMS = (2, 3)
+CACHED_WORDS = 400_000
+CACHED_GRAMS = 200_000
 WORDS_AT_ONCE = 50_000
 UNKNOWN = "und"
 
@@ -75,13 +76,26 @@ def letters_of(word: str) -> list[str]:
     return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
 
 
+class _Grams(dict):
+    """Feature numbers of n-grams; they repeat far more than words do."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHED_GRAMS:
+            self.clear()
+        number = self[gram] = crc32(gram.encode()) % DIMENSIONS
+        return number
+
+
+_number_of = _Grams().__getitem__
+
+
 def word_features(word: str) -> list[int]:
     found = []
     for run in letters_of(word):
         framed = f"^{run}$"
         found.append(crc32(framed.encode()) % DIMENSIONS)
         for n in GRAMS:
-            found += [crc32(framed[i : i + n].encode()) % DIMENSIONS for i in range(len(framed) - n + 1)]
+            found += map(_number_of, [framed[i : i + n] for i in range(len(framed) - n + 1)])
     return found
 
 
@@ -89,27 +103,32 @@ class WordTable:
     """For each distinct word a row of sums: its n-grams' weights for every machine, and how many n-grams it has."""
 
     def __init__(self, weights: np.ndarray, size: int = CACHED_WORDS):
-        self.weights, self.size = weights, size + WORDS_AT_ONCE
+        self.weights = np.vstack([weights, np.zeros(weights.shape[1])])  # the last row is for words without letters
+        self.size = size + WORDS_AT_ONCE
         self.rows = np.zeros((self.size, weights.shape[1] + 1))
-        outer = self
-
-        class Places(dict):
-            def __missing__(self, word: str) -> int:
-                place = self[word] = len(self)
-                features = word_features(word)
-                outer.rows[place, :-1] = weights[features].sum(0)
-                outer.rows[place, -1] = len(features)
-                return place
-
-        self.places = Places()
+        self.places: dict[str, int] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        features = [word_features(w) for w in words]
+        lengths = np.array([len(f) for f in features])
+        flat = np.array([x for f in features for x in f or (DIMENSIONS,)])
+        starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 1))[:-1]])
+        first = len(self.places)
+        self.rows[first : first + len(words), :-1] = np.add.reduceat(self.weights[flat], starts, axis=0)
+        self.rows[first : first + len(words), -1] = lengths
+        self.places.update(zip(words, range(first, first + len(words)), strict=True))
 
     def sums(self, text: str) -> np.ndarray:
         words = text.lower().split()
         total = np.zeros(self.rows.shape[1])
         for at in range(0, len(words), WORDS_AT_ONCE):
             part = words[at : at + WORDS_AT_ONCE]
-            if len(self.places) + len(part) > self.size:
+            new = list(dict.fromkeys([w for w in part if w not in self.places]))
+            if len(self.places) + len(new) > self.size:
                 self.places.clear()
+                new = list(dict.fromkeys(part))
+            if new:
+                self._learn(new)
             total += self.rows[np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))].sum(0)
         return total
 
@@ -142,8 +161,7 @@ def _sample(docs: DataFrame, trainable: Column, rows: int) -> DataFrame:
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & trainable)
     languages = usable.select("lang").distinct().count()
     per_language = max(2, rows // max(1, languages))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    picked = hash_sample(usable.select("doc_id", "lang"), "lang", per_language)
     # The broadcast side has at most ``rows`` rows (two for each language, if there are more languages).
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 

@@ -20,11 +20,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import pairs_of, to_batches
+from busloom.llm.common import hash_sample, pairs_of, to_batches
 from busloom.llm.linear import calibrate, logistic, rising_curve
 
 PER_CLASS = 3000
@@ -96,8 +96,7 @@ def sample_of(labels: DataFrame, trainable: Column, per_class: int) -> DataFrame
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
         .where("quality = _most").select("doc_id", "quality")
     )
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return clear.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_class)
+    return hash_sample(clear, "quality", per_class)
 
 
 def _dictionary(documents: list[str], size: int, chunk: int, level: int) -> tuple[bytes, bool]:

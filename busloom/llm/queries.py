@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality, url_filter
+from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality, url_filter, warc
 
 
 GOOD_SCORE = 0.3
@@ -56,6 +56,13 @@ def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents"))
 
 
+def op8_warc_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages have no capture times; page n counts as captured n seconds after a fixed moment."""
+    captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
+    return warc.archive_pages(_table(spark, folder, "pages"), captured).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture", "position")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, folder, "documents")).select(
         "doc_id", "lines_in", "lines_out", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -68,7 +75,10 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
-    op6_minhash_join, op9_line_dedup, op10_bpe_round_trip,
+    op6_minhash_join, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
 )}
 
-SQL: dict[str, str] = {"op4_url_templates": url_filter.judge_sql(URL_RULES)}
+SQL: dict[str, str] = {
+    "op4_url_templates": url_filter.judge_sql(URL_RULES),
+    "op8_warc_merge": warc.archive_sql(),
+}
