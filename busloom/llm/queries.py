@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, language, line_dedup, ngram_join, packing, quality, url_filter, warc
+from busloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, quality, url_filter, warc
 
 
 GOOD_SCORE = 0.3
@@ -52,6 +52,10 @@ def op4_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), labels, URL_RULES)
 
 
+def op5_hilbert_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents"))
 
@@ -75,7 +79,7 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
-    op6_minhash_join, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
+    op5_hilbert_search, op6_minhash_join, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
 )}
 
 SQL: dict[str, str] = {
