@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, quality, url_filter, warc
+from busloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, quality, url_filter, vector_dedup, warc
 
 
 GOOD_SCORE = 0.3
@@ -60,6 +60,10 @@ def op6_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, folder, "documents"))
 
 
+def op7_subspace_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.dedup_vectors(_table(spark, folder, "embeddings"))
+
+
 def op8_warc_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The pages have no capture times; page n counts as captured n seconds after a fixed moment."""
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
@@ -79,7 +83,7 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
-    op5_hilbert_search, op6_minhash_join, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
+    op5_hilbert_search, op6_minhash_join, op7_subspace_dedup, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
 )}
 
 SQL: dict[str, str] = {
