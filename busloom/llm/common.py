@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from busloom.functions.reuse import written_once
 
@@ -40,6 +42,38 @@ def pairs_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def appended(docs: DataFrame, made: Callable[[], Callable[[str | None], tuple]], ddl: str) -> DataFrame:
+    """``docs`` with columns worked out from each row's text, whole and row by row; nothing is shuffled.
+
+    ``made`` is called once in each task and gives the function from a text (or null) to the new
+    columns' values; ``ddl`` names them.  Columns of ``docs`` with these names are replaced.
+    """
+    new = StructType.fromDDL(ddl)
+    old = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in new.names}]
+    types = to_arrow_schema(new)
+    whole = unused(docs, "whole_text")
+    texted = docs.select(*(F.col(f"`{f.name}`") for f in old), F.col("text").cast("string").alias(whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = made()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = [value(text) for (text,) in pairs_of([part], whole)]
+                fresh = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(old)], *fresh], names=[*(f.name for f in old), *new.names])
+
+    return texted.mapInArrow(run, StructType([*old, *new.fields]))
+
+
 def grouped(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups of a partition that is sorted by ``keys``, one table each; only one group is held."""
     held: list[pa.RecordBatch] = []

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import hash_sample, pairs_of, to_batches
+from busloom.llm.common import appended, hash_sample, pairs_of, to_batches
 from busloom.llm.linear import calibrate, fit_svm
 
 TRAINING_ROWS = 4000
@@ -52,8 +52,6 @@ FAMILIES = {
 }
 FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages.split()}
 
-PREDICTIONS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -219,20 +217,19 @@ def fit(docs: DataFrame, trainable: Column, rows: int = TRAINING_ROWS) -> Langua
     return LanguageModel(members, pairs, weights, np.array(biases), np.array(slopes), np.array(offsets))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every document, from its whole text alone.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1), from each whole text alone.
 
     A null text or one without a letter is ``und`` with score 0; so is everything if nothing was
-    learned.  Repeated rows and null ids pass, an empty table gives no rows, other columns are
-    ignored.  The model (DIMENSIONS numbers per machine) is broadcast; nothing is shuffled.
+    learned.  Repeated rows and null ids pass, an empty table gives no rows, columns already called
+    as the new ones (``names``) are replaced, others come back.  The model (DIMENSIONS numbers per machine) is
+    broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
         fitted = shared.value
         table = WordTable(fitted.weights)
-        rows = ((doc_id, *decide(fitted, table.sums(text or ""))) for doc_id, text in pairs_of(batches, "doc_id", "text"))
-        yield from to_batches(rows, PREDICTIONS)
+        return lambda text: decide(fitted, table.sums(text or ""))
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return appended(docs, made, f"`{names[0]}` string, `{names[1]}` double")

@@ -14,17 +14,15 @@ every text whole and shuffles nothing.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import hash_sample, pairs_of, to_batches
+from busloom.llm.common import appended, hash_sample
 from busloom.llm.linear import calibrate, logistic, rising_curve
 
 PER_CLASS = 3000
@@ -36,8 +34,6 @@ LEVEL = 3
 LOGISTIC_SHARE = 0.05
 CALIBRATION_SHARE = 4  # of the sampled documents every fourth calibrates, the others make dictionaries
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
 
 @dataclass(frozen=True)
 class CompressionModel:
@@ -146,22 +142,18 @@ def fit(
     return replace(model, slope=slope, offset=offset, knots=tuple(knots), values=tuple(values))
 
 
-def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every document; one row per row, repeated rows and null ids included.
+def score(docs: DataFrame, model: CompressionModel, name: str = "score") -> DataFrame:
+    """``docs`` with score (0 to 1, higher: label 1 likelier), a row for every row, from its whole text.
 
-    A null text counts as empty; an empty text gets the curve's value at 0.  The model (two
-    dictionaries of bounded size) is broadcast; columns other than doc_id and text are ignored.
+    A null text counts as empty; an empty text gets the curve's value at 0.  Repeated rows and null
+    ids pass, an empty table gives no rows, a column already called ``name`` is replaced, others come
+    back.  The model (two dictionaries of bounded size) is broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
         fitted = shared.value
         sizer = Sizer(fitted)
-        rows = (
-            (doc_id, fitted.probability(sizer.difference(text or "")))
-            for doc_id, text in pairs_of(batches, "doc_id", "text")
-        )
-        yield from to_batches(rows, SCORES)
-
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, score double")
+        return lambda text: (fitted.probability(sizer.difference(text or "")),)
+
+    return appended(docs, made, f"`{name}` double")

@@ -37,13 +37,13 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.CompressionMode
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return language.predict(docs, language_model(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), language_model(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = quality_model(docs, _table(spark, folder, "labels"))
-    return quality.score(docs, model).select(
+    return quality.score(docs.select("doc_id", "text"), model).select(
         "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
 
 
