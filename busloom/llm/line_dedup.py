@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import pairs_of, to_batches
+from busloom.llm.common import pairs_of, to_batches, unused
 
 PARTS = 3
 NEAR_WORDS = 8
@@ -178,16 +178,18 @@ def _too_near(texts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "digest binary").distinct()
 
 
-def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the text left after deduplication, and lines_in, lines_out.
+def dedup_lines(
+    docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, counts: tuple[str, str] = ("lines_in", "lines_out"),
+) -> DataFrame:
+    """``docs`` with the text left after deduplication, and the numbers of lines before and after (``counts``).
 
     Lines of fewer than ``least_words`` words (blank ones too) always stay; from ``near_words`` words
     on the bound is one edit, below it equality.  A line whose earlier neighbour goes itself still
     goes.  All columns of ``docs`` come back, text changed; one row per row.  A null text stays null
     (0 lines), an empty one has one empty line.  Rows with a null doc_id come last in the order and
     count as one document; rows that repeat a doc_id count as one document too, so what stays of
-    it stays in every copy.  An empty table gives no rows.  Columns called lines_in, lines_out or
-    starting with an underscore are replaced.  Intermediates are written while the frame is built.
+    it stays in every copy.  An empty table gives no rows.  Columns called as ``counts`` are
+    replaced, others come back.  Intermediates are written while the frame is built.
     """
     placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     lines = written_once(
@@ -201,34 +203,29 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int
     # The same line may come back twice, from two rows of one doc_id.
     texts = written_once(_texts(placed, wanted).dropDuplicates(["digest"]), "near-lines")
     near = written_once(_too_near(texts), "too-near")
-    stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("line", "digest")).alias("_stay"))
-    names = [c for c in docs.columns if c not in ("text", "lines_in", "lines_out") and not c.startswith("_")]
-    joined = docs.select(*names, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc")).join(stay, "_doc", "left")
-    fields = [f for f in joined.schema.fields if f.name in names]
-    out = pa.schema([("text", pa.string()), ("lines_in", pa.int32()), ("lines_out", pa.int32())])
+    place, stays_in = unused(docs, "place"), unused(docs, "stay")
+    stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.struct("line", "digest")).alias(stays_in))
+    joined = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(stay, place, "left")
+    out = StructType.fromDDL(f"text string, `{counts[0]}` int, `{counts[1]}` int")
+    old = [f for f in joined.schema.fields if f.name not in (*out.names, place, stays_in)]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for text, stays in pairs_of([batch], "text", "_stay"):
-                if text is None:
-                    yield None, 0, 0
-                    continue
-                found = {(s["line"], s["digest"]) for s in stays or ()}
-                every = text.split("\n")
-                kept = []
-                for number, line in enumerate(every):
-                    words = words_of(line)
-                    if len(words) < least_words or (number, _digest(words)) in found:
-                        kept.append(line)
-                yield "\n".join(kept), len(every), len(kept)
+        def rest_of(text: str | None, stays: list[dict] | None) -> tuple:
+            if text is None:
+                return None, 0, 0
+            found = {(s["line"], s["digest"]) for s in stays or ()}
+            every = text.split("\n")
+            rest = [
+                line for number, line in enumerate(every)
+                if len(words := words_of(line)) < least_words or (number, _digest(words)) in found
+            ]
+            return "\n".join(rest), len(every), len(rest)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                text, lines_in, lines_out = zip(*rows(part), strict=True)
-                columns = [part.column(n) for n in names] + [pa.array(text, pa.string()), pa.array(lines_in, pa.int32()), pa.array(lines_out, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *out.names])
+                text, lines_in, lines_out = zip(*(rest_of(*row) for row in pairs_of([part], "text", stays_in)), strict=True)
+                fresh = [pa.array(text, pa.string()), pa.array(lines_in, pa.int32()), pa.array(lines_out, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in old), *fresh], names=[*(f.name for f in old), *out.names])
 
-    by_name = {f.name: f for f in fields}
-    schema = StructType([by_name[n] for n in names] + [StructField("text", StringType()), StructField("lines_in", IntegerType()), StructField("lines_out", IntegerType())])
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(rebuild, StructType([*old, *out.fields]))

@@ -1,16 +1,62 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
-Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and its
-result is written as Parquet in the shared folder and read again as the next one's ``docs``.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.  Its
+result is written as Parquet in the shared folder and read again as the next one's ``docs``.  All
+but the last return the columns of ``docs``.
+
+Rows with null or empty texts have a defined way through: the language stage rejects them, as
+they have no letter.  A row with a null doc_id is kept or rejected like any other by the first
+two stages; it comes last in the order of lines, and is no one's near copy.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm import packing
+from busloom.llm import language, line_dedup, ngram_join, packing, quality
+from busloom.llm.common import unused
+from busloom.llm.queries import GOOD_SCORE, language_model, quality_model
+
+SURE_LANGUAGE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model recognises; without letters or in doubt, they go."""
+    names = unused(docs, "lang_pred"), unused(docs, "score")
+    found = language.identify(docs, language_model(docs), names)
+    return found.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= SURE_LANGUAGE)).select(*docs.columns)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, fitted on what is left and its labels, takes for good."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = unused(docs, "score")
+    return quality.score(docs, model, name).where(F.col(name) >= GOOD_SCORE).select(*docs.columns)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has; those of which no word is left go.
+
+    ``n_chars``, where there is one, follows the new text.
+    """
+    counts = unused(docs, "lines_in"), unused(docs, "lines_out")
+    left = line_dedup.dedup_lines(docs, counts=counts)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.where((F.col(counts[1]) == F.col(counts[0])) | F.col("text").rlike("\\S")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of near copies; rows that repeat a document count as copies.
+
+    Documents that link with nothing (no words, or no id) stay as they are.
+    """
+    kept = ngram_join.jaccard_join(docs).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,18 +65,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("quality classifier", filter_quality),
+    ("line dedup", remove_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
     ("packing", pack_sequences),
 ]
 
-#: No SQL twin: tokenizers, trained models and edit distances have no SQL form; tests/llm checks
-#: the stages against brute force.
+#: No SQL twin: tokenizers, trained models and compressors have no SQL form; tests/llm checks the
+#: stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the intermediate tables are written while the frame is built."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = written_once(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
