@@ -179,9 +179,10 @@ def _too_near(texts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, counts: tuple[str, str] = ("lines_in", "lines_out"),
+    docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, counts: tuple[str, str, str] = ("lines_in", "lines_out", "lines_own"),
 ) -> DataFrame:
-    """``docs`` with the text left after deduplication, and the numbers of lines before and after (``counts``).
+    """``docs`` with the text left after deduplication, and how many lines it had, has left, and has
+    left of those long enough to be compared (``counts``).
 
     Lines of fewer than ``least_words`` words (blank ones too) always stay; from ``near_words`` words
     on the bound is one edit, below it equality.  A line whose earlier neighbour goes itself still
@@ -206,26 +207,28 @@ def dedup_lines(
     place, stays_in = unused(docs, "place"), unused(docs, "stay")
     stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.struct("line", "digest")).alias(stays_in))
     joined = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(stay, place, "left")
-    out = StructType.fromDDL(f"text string, `{counts[0]}` int, `{counts[1]}` int")
+    out = StructType.fromDDL(f"text string, `{counts[0]}` int, `{counts[1]}` int, `{counts[2]}` int")
     old = [f for f in joined.schema.fields if f.name not in (*out.names, place, stays_in)]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rest_of(text: str | None, stays: list[dict] | None) -> tuple:
             if text is None:
-                return None, 0, 0
+                return None, 0, 0, 0
             found = {(s["line"], s["digest"]) for s in stays or ()}
-            every = text.split("\n")
-            rest = [
-                line for number, line in enumerate(every)
-                if len(words := words_of(line)) < least_words or (number, _digest(words)) in found
-            ]
-            return "\n".join(rest), len(every), len(rest)
+            every, rest, own = text.split("\n"), [], 0
+            for number, line in enumerate(every):
+                words = words_of(line)
+                long = len(words) >= least_words
+                if not long or (number, _digest(words)) in found:
+                    rest.append(line)
+                    own += long
+            return "\n".join(rest), len(every), len(rest), own
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                text, lines_in, lines_out = zip(*(rest_of(*row) for row in pairs_of([part], "text", stays_in)), strict=True)
-                fresh = [pa.array(text, pa.string()), pa.array(lines_in, pa.int32()), pa.array(lines_out, pa.int32())]
+                text, *numbers = zip(*(rest_of(*row) for row in pairs_of([part], "text", stays_in)), strict=True)
+                fresh = [pa.array(text, pa.string()), *(pa.array(n, pa.int32()) for n in numbers)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in old), *fresh], names=[*(f.name for f in old), *out.names])
 
     return joined.mapInArrow(rebuild, StructType([*old, *out.fields]))

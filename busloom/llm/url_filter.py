@@ -104,7 +104,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFra
     shaped = written_once(urls.groupBy("host", "shapes").agg(
         F.count("*").alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")), "shapes")
     named = templates(shaped)
-    overall = shaped.agg((F.sum("good") / F.sum("labelled")).alias("share"))
+    overall = shaped.agg(F.try_divide(F.sum("good"), F.sum("labelled")).alias("share"))
     hosts = _summed(shaped, "host").crossJoin(F.broadcast(overall)).select(  # one row
         "host", ((F.col("good") + SMOOTHING * F.coalesce("share", F.lit(1.0))) / (F.col("labelled") + SMOOTHING)).alias("share"))
     purity = (F.col("good") + SMOOTHING * F.col("share")) / (F.col("labelled") + SMOOTHING)
