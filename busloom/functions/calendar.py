@@ -56,9 +56,29 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
     return spark.createDataFrame([(d,) for d in holidays(first_year, last_year)], schema)
 
 
-def is_holiday(day: Column, first_year: int, last_year: int) -> Column:
-    """Membership as a literal set: no join, and evaluated inside the scan stage."""
-    return F.coalesce(day.isin(*holidays(first_year, last_year)), F.lit(False))
+def easter_day(year: Column) -> Column:
+    """Easter Sunday of each year, by the same rule as ``easter``."""
+    def div(x: Column, n: int) -> Column:
+        return F.floor(x / F.lit(n))
+
+    golden, century, rest = year % 19, div(year, 100), year % 100
+    moon = (19 * golden + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
+    to_sunday = (32 + 2 * (century % 4) + 2 * div(rest, 4) - moon - rest % 4) % 7
+    number = moon + to_sunday - 7 * div(golden + 11 * moon + 22 * to_sunday, 451) + 114
+    return F.make_date(year, div(number, 31).cast("int"), (number % 31 + 1).cast("int"))
+
+
+def is_holiday(day: Column) -> Column:
+    """Whether a date of any year is a public holiday, worked out from the date: no join and no range of years."""
+    year = F.year(day)
+    fixed = F.lit(False)
+    for m, d in FIXED_DAYS:
+        fixed = fixed | ((F.month(day) == m) & (F.dayofmonth(day) == d))
+    moved = F.lit(False)
+    for m, d in MOVED_TO_MONDAY:
+        moved = moved | F.datediff(day, F.make_date(year, F.lit(m), F.lit(d))).between(0, 6)
+    since = F.datediff(day, easter_day(year))
+    return F.coalesce(fixed | (moved & (F.weekday(day) == 0)) | since.isin(*EASTER_OFFSETS), F.lit(False))
 
 
 def day_type(weekday: Column, holiday: Column) -> Column:

@@ -185,16 +185,16 @@ def window_sweep(table: DataFrame, cuts: Sequence[str], windows: Sequence[int |
                  value: str = "passengers_sum") -> DataFrame:
     """Error and bias of the day-type x slot mean, per cut, training window and regime.
 
-    Cut x window pairs are expanded to days and joined by day.  A window longer than the
-    data is left out; None uses all history (window 999).
+    Cut x window pairs are numbered, expanded to days and joined by day.  A window longer than
+    the data is left out; None uses all history and has a null window.
     """
     rows = with_slot(table).filter(F.col(value).isNotNull())
     spark = table.sparkSession
-    pairs = spark.createDataFrame([(c, w or 999) for c in cuts for w in windows], "cut string, window_days int")
+    pairs = spark.createDataFrame([(i, c, w) for i, (c, w) in enumerate((c, w) for c in cuts for w in windows)], "_pair int, cut string, window_days int")
     pairs = pairs.withColumn("cut", F.to_date("cut")).withColumn("_first", rows.agg(F.min("service_day").alias("d")).scalar())
-    start = F.when(F.col("window_days") == 999, F.col("_first")).otherwise(F.date_sub("cut", F.col("window_days")))
+    start = F.when(F.col("window_days").isNull(), F.col("_first")).otherwise(F.date_sub("cut", F.col("window_days")))
     pairs = pairs.withColumn("_start", start).filter("_start >= _first")
-    key, cell = ["cut", "window_days"], ["route_id", "day_type", "slot"]
+    key, cell = ["_pair"], ["route_id", "day_type", "slot"]
 
     def days(first: Column, last: Column) -> DataFrame:
         return pairs.select(*key, F.explode(F.sequence(first, last)).alias("service_day"))
@@ -207,8 +207,9 @@ def window_sweep(table: DataFrame, cuts: Sequence[str], windows: Sequence[int |
     held = rows.join(days(F.col("cut"), F.date_add("cut", eval_days - 1)), "service_day")
     scored = held.join(means, [*key, *cell], "left").join(route, [*key, "route_id"], "left")
     error = F.coalesce("_cell", "_route") - F.col(value)
-    return scored.withColumn("_e", error).groupBy(*key, regime(F.col("day_type")).alias("regime")).agg(
+    found = scored.withColumn("_e", error).groupBy(*key, regime(F.col("day_type")).alias("regime")).agg(
         F.count("_e").alias("n"), F.avg(F.abs("_e")).alias("mae"), F.avg("_e").alias("bias"))
+    return pairs.select(*key, "cut", "window_days").join(found, key).drop(*key)  # one row per pair and regime
 
 
 def sweep_summary(sweep: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import haversine_m, plus_minutes, true_or_false
-from busloom.functions.ordered import as_of
+from busloom.functions.ordered import as_of, time_chunk
+from busloom.functions.reuse import written_once
 from busloom.operators.normalize import clean_positions
 
 # Search windows and fence radii in metres, outcomes of a search.
@@ -146,26 +147,36 @@ def search_audit(imputed: DataFrame) -> DataFrame:
 
 
 def fence_radius_study(trips: DataFrame, pings: DataFrame, yards: Sequence[Yard], *,
-                       sample: int = 200, minutes: int = STUDY_MINUTES) -> DataFrame:
-    """Smallest distance to the yard around the planned start, for a sample of trips
-    without a start.
+                       minutes: int = STUDY_MINUTES) -> DataFrame:
+    """Smallest distance to the yard around the planned start, for every trip without a start.
 
-    The sample is the operator's own: ``sample`` trips in a fixed pseudo-random order.
-    It has at most that many rows, so it is the side that is broadcast.
+    The span around a plan is as long as a chunk of ``2 * minutes``, so it is the end of one
+    chunk and the start of the next.  Distances carry the running minimum from either end of
+    their (vehicle, chunk); a trip looks up one value in each chunk, and no trip-ping
+    pairs are made.  Trips that share vehicle, yard and plan are looked up once.
     """
     routes = [r for y in yards for r in y.routes]
     route = F.col("route_id")
-    chosen = (
-        trips.filter(F.col("actual_start").isNull() & F.col("planned_start").isNotNull()
-                     & F.col("vehicle_id").isNotNull() & route.isin(*routes))
-        .orderBy(F.col("trip_id") * 7919 % 10007, "trip_id").limit(sample)
-        .select("trip_id", "vehicle_id", "planned_start",
-                _yard_of(route, yards, lambda y: F.lit(y.lat)).alias("_yard_lat"),
-                _yard_of(route, yards, lambda y: F.lit(y.lon)).alias("_yard_lon"))
-    )
-    near = F.col("ping_ts").between(plus_minutes("planned_start", -minutes), plus_minutes("planned_start", minutes))
-    return (
-        clean_positions(pings).join(F.broadcast(chosen), "vehicle_id").filter(near)
-        .groupBy("trip_id")
-        .agg(F.min(haversine_m("lat", "lon", "_yard_lat", "_yard_lon")).alias("min_distance_m"))
-    )
+    wanted = trips.filter(F.col("actual_start").isNull() & F.col("planned_start").isNotNull()
+                          & F.col("vehicle_id").isNotNull() & route.isin(*routes)).select(
+        "trip_id", "vehicle_id", "planned_start", _yard_of(route, yards).alias("yard"))
+    far = F.array(*[F.struct(F.lit(y.name).alias("yard"), haversine_m("lat", "lon", F.lit(y.lat), F.lit(y.lon)).alias("distance_m")) for y in yards])
+    placed = clean_positions(pings).filter("vehicle_id IS NOT NULL AND ping_ts IS NOT NULL").select("vehicle_id", "ping_ts", F.inline(far))
+    per_moment = placed.groupBy("vehicle_id", "yard", "ping_ts").agg(F.min("distance_m").alias("distance_m"))
+    chunked = per_moment.withColumn("chunk", time_chunk(F.col("ping_ts"), 2 * minutes))
+    inside = Window.partitionBy("vehicle_id", "yard", "chunk").orderBy("ping_ts")
+    least = written_once(chunked.select(
+        "vehicle_id", "yard", "chunk", "ping_ts",
+        F.min("distance_m").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.min("distance_m").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("onward")), "distances")
+    plans = wanted.select("vehicle_id", "yard", "planned_start").distinct()
+    key = ["vehicle_id", "yard", "chunk"]
+
+    def look(side: str, at: Column, following: bool) -> DataFrame:
+        probes = plans.withColumn("_at", at).withColumn("chunk", time_chunk(F.col("_at"), 2 * minutes))
+        return as_of(probes, least, key, "_at", "ping_ts", {"_near": side}, following=following).select(
+            "vehicle_id", "yard", "planned_start", "_near")
+
+    both = look("onward", plus_minutes("planned_start", -minutes), True).unionByName(look("upto", plus_minutes("planned_start", minutes), False))
+    found = both.groupBy("vehicle_id", "yard", "planned_start").agg(F.min("_near").alias("min_distance_m")).filter("min_distance_m IS NOT NULL")
+    return wanted.join(found, ["vehicle_id", "yard", "planned_start"]).select("trip_id", "min_distance_m")

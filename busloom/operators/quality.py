@@ -127,12 +127,18 @@ def percentile_flag(
         limit = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, {"limit": probability},
                                   width=width).select("limit").scalar()
         return df.withColumn(flag, true_or_false(v > limit) | over_cap)
-    limits = percentile_limits(df, {value: (probability, width)}, route).withColumnRenamed(value, "_limit")
-    return (
-        df.join(limits, route, "left")
-        .withColumn(flag, true_or_false(v > F.col("_limit")) | over_cap)
-        .select(*df.columns, flag)
-    )
+    limits = limits_by_route(percentile_limits(df, {value: (probability, width)}, route), [value], route)
+    return df.withColumn(flag, true_or_false(v > F.try_element_at(limits, F.col(route))[value]) | over_cap)
+
+
+def limits_by_route(limits: DataFrame, measures: Sequence[str], route: str) -> Column:
+    """The limits as one map from route to a struct, looked up in place: the trips are not moved by their route.
+
+    One entry per route.  Routes are lines of a network, so the map is short; it stays a scalar
+    subquery of the same plan.
+    """
+    entries = F.map_from_entries(F.collect_list(F.struct(route, F.struct(*measures))))
+    return limits.agg(entries.alias("_limits")).scalar()
 
 
 def operational_flags(df: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
@@ -180,9 +186,8 @@ def flag_trips(df: DataFrame, limits: QualityLimits = QualityLimits(), *, key: s
                route: str | None = "route_id") -> DataFrame:
     """All flags, their roll-ups, reasons and score.
 
-    The percentile limits come from an aggregate of the same scan, joined back by
-    route; a hot route is split by the runtime skew handling, or not shuffled at all
-    when the few limits fit a broadcast.
+    The percentile limits come from an aggregate of the same scan and are looked up in a map,
+    so no trip is shuffled by its route.
     """
     rows = operational_flags(temporal_flags(df), limits)
     checks = {
@@ -194,12 +199,12 @@ def flag_trips(df: DataFrame, limits: QualityLimits = QualityLimits(), *, key: s
             rows = percentile_flag(rows, value, flag, p, route=None, cap=cap, width=width)
         return roll_up_flags(structural_flags(rows, key))
     found = percentile_limits(rows, {v: (p, w) for v, (_, p, _, w) in checks.items()}, route)
-    found = found.withColumnsRenamed({v: f"_limit_{v}" for v in checks})
-    out = structural_flags(rows, key).join(found, route, "left")
+    limit = F.try_element_at(limits_by_route(found, list(checks), route), F.col(route))
+    out = structural_flags(rows, key)
     for value, (flag, _, cap, _) in checks.items():
-        over = true_or_false(F.col(value) > F.col(f"_limit_{value}"))
+        over = true_or_false(F.col(value) > limit[value])
         out = out.withColumn(flag, over | true_or_false(F.col(value) > cap) if cap is not None else over)
-    return roll_up_flags(out.drop(*[f"_limit_{v}" for v in checks]))
+    return roll_up_flags(out)
 
 
 def flag_summary(flagged: DataFrame) -> DataFrame:

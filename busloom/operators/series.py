@@ -94,12 +94,12 @@ def fill_gaps(grid: DataFrame, how: str = "mark") -> DataFrame:
     raise ValueError(f"unknown gap filling: {how}")
 
 
-def add_calendar(df: DataFrame, years: tuple[int, int], ts: str = "timestamp") -> DataFrame:
+def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     c = F.col(ts)
     out = df.withColumns({
         "hour": F.hour(c), "weekday": F.weekday(c), "month": F.month(c),
         "iso_week": F.weekofyear(c), "quarter": F.quarter(c),
-        "is_holiday": is_holiday(F.to_date(c), *years),
+        "is_holiday": is_holiday(F.to_date(c)),
     })
     return out.withColumns({
         "is_weekend": F.col("weekday") >= 5,
@@ -126,12 +126,11 @@ def add_service_hours(series: DataFrame, hours: DataFrame) -> DataFrame:
     )
 
 
-def calendar_series(trips: DataFrame, years: tuple[int, int],
-                    granularities: Sequence[int] = GRANULARITIES, *,
+def calendar_series(trips: DataFrame, granularities: Sequence[int] = GRANULARITIES, *,
                     fill: str = "mark", **bin_options) -> DataFrame:
     """Bins, grid, gap filling and calendar in one plan."""
     bins = demand_bins(trips, granularities, **bin_options)
-    return add_calendar(fill_gaps(complete_grid(bins), fill), years)
+    return add_calendar(fill_gaps(complete_grid(bins), fill))
 
 
 def validate_series(series: DataFrame, min_span_days: int = MIN_SPAN_DAYS) -> DataFrame:

@@ -58,14 +58,14 @@ def all_headways(ready: DataFrame, keys: Sequence[str] = ("route_id", "service_d
 
 
 def headways(ready: DataFrame, *, hours: tuple[int, int] = SERVICE_HOURS,
-             holiday_years: tuple[int, int] | None = None) -> DataFrame:
+             holidays: bool = False) -> DataFrame:
     """Plausible headways in service hours.
 
-    Day types come from the weekday alone unless ``holiday_years`` is given.
+    Day types come from the weekday alone unless ``holidays`` asks for the calendar.
     """
     in_hours = ready.filter(F.col("start_hour").between(*hours)).select(
         "trip_id", "route_id", "service_date", "actual_start", "start_hour", "weekday")
-    holiday = is_holiday(F.col("service_date"), *holiday_years) if holiday_years else F.lit(False)
+    holiday = is_holiday(F.col("service_date")) if holidays else F.lit(False)
     return all_headways(in_hours).filter(F.col("headway_min").between(*HEADWAY_RANGE)).withColumns({
         "day_type": day_type(F.col("weekday"), holiday),
         "hour_band": hour_band(F.col("start_hour")),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import plus_minutes, require_columns, true_or_false
 from busloom.functions.reuse import written_once
-from busloom.functions.ordered import as_of, keep_first, time_chunk, with_running_counts
+from busloom.functions.ordered import as_of, keep_first, with_running_counts
 
 # End types and sources.
 COMPLETE = "COMPLETO"
@@ -36,6 +36,8 @@ class EndRules:
     power_off_text: str = "Móvil Apagado"
 
 
+# Speeds are looked up in blocks of so many.
+SPEED_BLOCK = 64
 _JUST_BEFORE = "INTERVAL '0.000001' SECOND"
 
 
@@ -112,7 +114,7 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
     plain = tails.filter((F.col("_n") > 0) & ~half).withColumn("_fast", F.col("_above") * 2 > F.col("_n"))
 
     split = tails.filter(half)
-    decided = split.join(_middle_values(split.select("vehicle_id", "_low_ts", "_end").distinct(), counted, rules),
+    decided = split.join(_middle_values(split.select("vehicle_id", "_low_ts", "_end", "_last_no", "_n").distinct(), counted, rules),
                          ["vehicle_id", "_low_ts", "_end"], "left")
     earlier = _last_numbered(tails.filter("_n = 0"), counted, rules)
 
@@ -123,23 +125,41 @@ def ends_for_starts(starts: DataFrame, pings: DataFrame, rules: EndRules = EndRu
 
 
 def _middle_values(tails: DataFrame, counted: DataFrame, rules: EndRules) -> DataFrame:
-    """Median test for tails with exactly half of the speeds at or above the limit."""
-    minutes = rules.tail_min
-    width = 60 * minutes
-    spans = tails.withColumn("_chunk", F.explode(F.sequence(
-        time_chunk(F.col("_low_ts"), minutes), time_chunk(F.col("_end"), minutes))))
-    limit = rules.returning_kmh
-    v = F.col("speed_kmh")
-    # Copies and near copies of a reading collapse to the two extremes per second.
-    readings = counted.filter(v.isNotNull()).groupBy(
-        "vehicle_id", "ping_ts", time_chunk(F.col("ping_ts"), width // 60).alias("_chunk")).agg(
-        F.max(F.when(v < limit, v)).alias("_below"), F.min(F.when(v >= limit, v)).alias("_over"))
-    return (
-        spans.join(readings, ["vehicle_id", "_chunk"])
-        .filter(F.col("ping_ts").between(F.col("_low_ts"), F.col("_end")))
-        .groupBy("vehicle_id", "_low_ts", "_end")
-        .agg(((F.max("_below") + F.min("_over")) / 2 >= limit).alias("_fast"))
-    )
+    """Median test for tails with exactly half of the speeds at or above the limit.
+
+    The two middle values are the largest speed below the limit and the smallest at or above
+    it.  Speeds are numbered per vehicle, and a tail is a run of numbers: the end of one
+    block of ``SPEED_BLOCK`` numbers, whole blocks, and the start of another.  Each of these
+    is one look-up by (vehicle, number) or (vehicle, block); only a tail inside one block
+    looks at its speeds, at most ``SPEED_BLOCK``.  So a busy vehicle makes no pairs.
+    """
+    key, limit, v = ["vehicle_id", "_low_ts", "_end"], rules.returning_kmh, F.col("speed_kmh")
+    block = F.floor((F.col("c_speed") - 1) / SPEED_BLOCK)
+    speeds = counted.filter(v.isNotNull()).select(
+        "vehicle_id", "c_speed", block.alias("_block"), F.when(v < limit, v).alias("_below"), F.when(v >= limit, v).alias("_over"))
+    inside = Window.partitionBy("vehicle_id", "_block").orderBy("c_speed")
+    upto, onward = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    running = speeds.withColumns({
+        f"_{value}_{side}": extreme(f"_{value}").over(w)
+        for side, w in (("from", onward), ("upto", upto)) for value, extreme in (("below", F.max), ("over", F.min))})
+    edges = running.select("vehicle_id", "c_speed", F.inline(F.array(*[
+        F.struct(F.lit(side).alias("_side"), F.col(f"_below_{side}").alias("_below"), F.col(f"_over_{side}").alias("_over"))
+        for side in ("from", "upto")])))
+    whole = speeds.groupBy("vehicle_id", "_block").agg(F.max("_below").alias("_below"), F.min("_over").alias("_over"))
+
+    first, last = F.col("_last_no") - F.col("_n") + 1, F.col("_last_no")
+    runs = tails.select(*key, first.alias("_first"), last.alias("_last"))
+    runs = runs.withColumns({"_b1": F.floor((F.col("_first") - 1) / SPEED_BLOCK), "_b2": F.floor((F.col("_last") - 1) / SPEED_BLOCK)})
+    short = runs.filter("_b1 = _b2").select(*key, F.explode(F.sequence("_first", "_last")).alias("c_speed"))
+    ends = runs.filter("_b1 < _b2").select(*key, F.inline(F.array(
+        F.struct(F.col("_first").alias("c_speed"), F.lit("from").alias("_side")),
+        F.struct(F.col("_last").alias("c_speed"), F.lit("upto").alias("_side")))))
+    between = runs.filter("_b1 + 1 < _b2").select(*key, F.explode(F.sequence(F.col("_b1") + 1, F.col("_b2") - 1)).alias("_block"))
+    values = [*key, "_below", "_over"]
+    found = short.join(speeds, ["vehicle_id", "c_speed"]).select(*values).unionByName(
+        ends.join(edges, ["vehicle_id", "c_speed", "_side"]).select(*values)).unionByName(
+        between.join(whole, ["vehicle_id", "_block"]).select(*values))
+    return found.groupBy(*key).agg(((F.max("_below") + F.min("_over")) / 2 >= limit).alias("_fast"))
 
 
 def _last_numbered(tails: DataFrame, counted: DataFrame, rules: EndRules) -> DataFrame:

@@ -11,7 +11,7 @@ from busloom.operators.eda import WEEKDAY_NAMES
 from busloom.plans.common_sql import block, day_type_sql, sql, values_list
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import plain_series, ready, series_30, series_table
-from busloom.sources.tables import CALENDAR_YEARS, long_trips
+from busloom.sources.tables import long_trips
 
 KEYS = "route_id:s gran_min:i "
 FEATURES = ("duration_min", "distance", "door_alarms", "start_hour", "end_hour", "weekday", "day")
@@ -93,7 +93,7 @@ def daily_series(s, d):
     t = long_trips(s, d)
     day = t.groupBy("route_id", F.lit(60).alias("gran_min"), floor_to_minutes("service_date", 1440).alias("timestamp")).agg(
         F.sum("boardings").cast("double").alias("passengers_sum"), F.count(F.lit(1)).alias("trips"))
-    holiday = is_holiday(F.to_date("timestamp"), *CALENDAR_YEARS)
+    holiday = is_holiday(F.to_date("timestamp"))
     return day.withColumns({"is_gap": F.lit(False), "weekday": F.weekday("timestamp"), "hour": F.lit(0),
                             "day_type": day_type(F.weekday("timestamp"), holiday)})
 

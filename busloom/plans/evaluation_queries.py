@@ -16,7 +16,7 @@ from busloom.plans.common_sql import block, day_type_sql, sql
 from busloom.plans.eda_queries import daily_series
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import ready
-from busloom.sources.tables import CALENDAR_YEARS, long_trips
+from busloom.sources.tables import long_trips
 
 ROUTES = ("click", "error", "purchase", "signup", "view")
 _MODELS = {"last": "lag1", "second_last": "lag2", "slot_mean": "slot_mean"}
@@ -88,7 +88,7 @@ def predictions(s, d):
     return rows.select(
         "route_id", "timestamp", F.hour("timestamp").alias("hour"), "trips", gap.alias("is_gap"), F.when(~gap, v).alias("y_real"),
         F.lit("base").alias("scenario"), F.lit("passengers_sum").alias("target"),
-        day_type(F.weekday("timestamp"), is_holiday(F.to_date("timestamp"), *CALENDAR_YEARS)).alias("day_type"),
+        day_type(F.weekday("timestamp"), is_holiday(F.to_date("timestamp"))).alias("day_type"),
         (F.floor(F.date_diff("_day", F.lit("2023-12-31").cast("date")) / 6) + 1).cast("string").alias("fold"),
         F.when(F.col("_day") >= F.lit("2024-01-24").cast("date"), "test_final").otherwise("validation").alias("split"),
         F.when(trips <= 1, "bajo").when(trips <= 2, "medio").otherwise("alto").alias("history_level"),

@@ -118,7 +118,7 @@ QUERIES = [
                  quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.75) AS p75, quantile_cont(m, 0.9) AS p90,
                  quantile_cont(m, 0.95) AS p95, quantile_cont(m, 0.99) AS p99 FROM (
                  SELECT t.trip_id, min({haversine_sql('la', 'lo', 'yard_lat', 'yard_lon')}) AS m
-                 FROM (SELECT * FROM trips_v WHERE actual_start IS NULL ORDER BY trip_id * 7919 % 10007, trip_id LIMIT 200) t
+                 FROM (SELECT * FROM trips_v WHERE actual_start IS NULL) t
                  JOIN yards_v y ON y.route_id = t.route_id JOIN placed_v p ON p.vehicle_id = t.vehicle_id
                  AND p.ping_ts BETWEEN t.planned_start - INTERVAL 10 MINUTE AND t.planned_start + INTERVAL 10 MINUTE GROUP BY 1)""")),
     Query("t1_trip_end_types", "end_type:s n:i", lambda s, d: resolved(s, d).groupBy("end_type").agg(F.count("*").alias("n")),

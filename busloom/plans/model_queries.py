@@ -115,10 +115,10 @@ block("walk_days_v", """
   SELECT * FROM (SELECT route_id, service_day, arg_min(day_type, timestamp) AS day_type, count(*) AS n, avg(y_real) AS demand_mean, avg(abs(y_pred - y_real)) AS mae,
     avg(y_pred - y_real) AS bias, max(y_pred) - min(y_pred) AS range_pred, max(y_real) - min(y_real) AS range_real, count(*) FILTER (no_precedent) AS no_precedent
     FROM walk_v WHERE y_pred IS NOT NULL GROUP BY 1, 2) WHERE n >= 8""")
-_pairs = ", ".join(f"(DATE '{c}', {w or 999})" for c in CUTS for w in SWEEP_WINDOWS)
+_pairs = ", ".join(f"(DATE '{c}', {'NULL' if w is None else w})" for c in CUTS for w in SWEEP_WINDOWS)
 block("cut_pairs_v", f"""
-  SELECT * FROM (SELECT cut, win, CASE WHEN win = 999 THEN first ELSE cut - win END AS lo, first
-    FROM (VALUES {_pairs}) AS p(cut, win), (SELECT min(service_day) AS first FROM obs_v)) WHERE lo >= first""")
+  SELECT * FROM (SELECT cut, win, CASE WHEN win IS NULL THEN first ELSE cut - win END AS lo, first
+    FROM (SELECT cut, CAST(win AS INT) AS win FROM (VALUES {_pairs}) AS p(cut, win)), (SELECT min(service_day) AS first FROM obs_v)) WHERE lo >= first""")
 block("sweep_v", """
   SELECT cut, win AS window_days, regime, count(e) AS n, avg(abs(e)) AS mae, avg(e) AS bias FROM (
     SELECT p.cut, p.win, CASE WHEN o.day_type LIKE 'FESTIVO%' THEN 'raro' ELSE 'ordinario' END AS regime, coalesce(

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busloom.functions.calendar import DAY_TYPES
+from busloom.functions.reuse import written_once
 from busloom.operators import hours, normalize, series
 from busloom.plans.common_sql import block, day_type_sql, sql
 from busloom.plans.registry import Query
 from busloom.plans.stages import staged
-from busloom.sources.tables import CALENDAR_YEARS, trips
+from busloom.sources.tables import trips
 
 # ---------------------------------------------------------------- SQL blocks
 
@@ -83,12 +84,12 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_series(spark: SparkSession, d: str, grans=series.GRANULARITIES, fill: str = "mark", **kw) -> DataFrame:
-    return series.calendar_series(ready(spark, d), CALENDAR_YEARS, grans, fill=fill, **kw)
+    return series.calendar_series(ready(spark, d), grans, fill=fill, **kw)
 
 
 def full_series(spark: SparkSession, d: str, grans=series.GRANULARITIES) -> DataFrame:
-    """Bins, hours and gap types in one plan."""
-    base = plain_series(spark, d, grans)
+    """Hours and gap types over bins that are written once, as the hours are worked out from them too."""
+    base = written_once(plain_series(spark, d, grans), "series")
     return series.add_service_hours(base, hours.estimate_hours(base))
 
 
@@ -122,7 +123,7 @@ QUERIES = [
           lambda s, d: plain_series(s, d, (30,)), sql("SELECT * FROM cal_v WHERE gran_min = 30")),
     Query("s5_day_types", "timestamp:t weekday:i is_holiday:b day_type:s",
           lambda s, d: series.add_calendar(
-              s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("timestamp")).distinct(), CALENDAR_YEARS),
+              s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("timestamp")).distinct()),
           sql(f"""SELECT *, day_type LIKE 'FESTIVO%' AS is_holiday FROM (SELECT timestamp, isodow(timestamp) - 1 AS weekday,
                  {day_type_sql('timestamp')} AS day_type FROM (SELECT DISTINCT o_orderdate AS timestamp FROM orders))""")),
     Query("s6_gap_types", _S + "is_gap:b day_type:s in_hours:b gap_type:s", full_series, sql("SELECT * FROM series_v")),

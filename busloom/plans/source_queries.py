@@ -19,6 +19,8 @@ from busloom.sources import extract, files
 from busloom.sources.tables import pings_from_events, raw_trips_from_events, read_table, trips, trips_from_events
 from busloom.streaming import streams
 
+# An event that no real one follows; it closes the replayed streams.
+CLOSING = {"event_id": 1, "ts": "9000-01-01 00:00:00", "user_id": 0, "event_type": "closing", "value": 0.0}
 NUMERIC = ("hour", "weekday", "passengers_sum_lag_48", "passengers_sum_lag_96", "passengers_sum_lag_336", "trips_lag_48")
 TEXTS = ("route_id", "day_type", "day_part")
 
@@ -163,13 +165,11 @@ QUERIES = [
           lambda s, d: streams.run_available(streams.dedup_trips(stream_of(s, d, raw_trips_from_events)).select("trip_id")),
           sql("SELECT DISTINCT trip_id FROM raw_trips_v WHERE trip_id IS NOT NULL AND actual_start IS NOT NULL")),
     Query("st2_stream_bins", "bin_start:t route_id:s trips:i passengers_sum:i",
-          lambda s, d: streams.run_available(streams.demand_bins(stream_of(s, d, trips_from_events))),
-          sql("""SELECT * FROM (SELECT time_bucket(INTERVAL 30 MINUTE, actual_start) AS bin_start, route_id, count(*) AS trips, sum(boardings) AS passengers_sum
-                 FROM trips_v WHERE actual_start IS NOT NULL GROUP BY 1, 2)
-                 WHERE bin_start + INTERVAL 30 MINUTE <= (SELECT max(actual_start) - INTERVAL 1 HOUR FROM trips_v)""")),
+          lambda s, d: streams.replay(s, d, "events", lambda e: streams.demand_bins(trips_from_events(e)), CLOSING),
+          sql("""SELECT time_bucket(INTERVAL 30 MINUTE, actual_start) AS bin_start, route_id, count(*) AS trips, sum(boardings) AS passengers_sum
+                 FROM trips_v WHERE actual_start IS NOT NULL GROUP BY 1, 2""")),
     Query("st3_stream_sessions", "vehicle_id:s first_ping:t last_ping:t pings:i speed_mean:f last_speed:f",
-          lambda s, d: streams.run_available(streams.ping_sessions(stream_of(s, d, pings_from_events))),
-          sql("""SELECT * FROM (SELECT vehicle_id, min(ping_ts) AS first_ping, max(ping_ts) AS last_ping, count(*) AS pings, avg(speed_kmh) AS speed_mean,
-                 last(speed_kmh ORDER BY ping_ts) FILTER (speed_kmh IS NOT NULL) AS last_speed FROM runs_v GROUP BY vehicle_id, run)
-                 WHERE last_ping + INTERVAL 20 MINUTE <= (SELECT max(ping_ts) - INTERVAL 1 HOUR FROM pings_v)""")),
+          lambda s, d: streams.replay(s, d, "events", lambda e: streams.ping_sessions(pings_from_events(e)), CLOSING),
+          sql("""SELECT vehicle_id, min(ping_ts) AS first_ping, max(ping_ts) AS last_ping, count(*) AS pings, avg(speed_kmh) AS speed_mean,
+                 last(speed_kmh ORDER BY ping_ts) FILTER (speed_kmh IS NOT NULL) AS last_speed FROM runs_v GROUP BY vehicle_id, run""")),
 ]

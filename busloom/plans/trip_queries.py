@@ -105,6 +105,9 @@ def _union(names, template: str) -> str:
     return " UNION ALL ".join(template.replace("{c}", n) for n in names)
 
 
+# Columns that quality checks add besides the duration (13 flags, 3 roll-ups, 2 reasons, the score), and that
+# make a trip model-ready (end, 6 clock parts, readiness, boardings, 4 labels).
+_ADDED_BY_QC, _ADDED_BY_READY = 19, 13
 _RAW_COLUMNS = ("trip_id", "vehicle_id", "route_id", "row_id", "actual_start", "actual_end", "boardings_raw",
                 "door_alarms", "distance", "frequency_min", "trip_status")
 
@@ -212,12 +215,11 @@ QUERIES = [
           lambda s, d: quality.negative_durations(quality.temporal_flags(raw_trips(s, d)), "row_id"),
           sql("SELECT row_id, duration_min FROM flag_base_v WHERE duration_min < 0 ORDER BY row_id LIMIT 20")),
     Query("d1_stage_overview", "stage:s available:b n_rows:i n_columns:i",
-          lambda s, d: diagnostics.stage_overview(s, {**stages(s, d), "end": None}).select(
-              "stage", "available", "n_rows", F.when(F.col("stage").isin("raw", "trip_end_resolved"), F.col("n_columns")).alias("n_columns")),
+          lambda s, d: diagnostics.stage_overview(s, {**stages(s, d), "end": None}),
           sql(f"""SELECT 'raw' AS stage, true AS available, count(*) AS n_rows, {len(_RAW_COLUMNS)} AS n_columns FROM raw_trips_v
-                 UNION ALL SELECT 'quality_checked', true, count(*), NULL FROM flagged_v
+                 UNION ALL SELECT 'quality_checked', true, count(*), {len(_RAW_COLUMNS) + 1 + _ADDED_BY_QC} FROM flagged_v
                  UNION ALL SELECT 'trip_end_resolved', false, 0, 0
-                 UNION ALL SELECT 'model_ready', true, count(*), NULL FROM raw_ready_v""")),
+                 UNION ALL SELECT 'model_ready', true, count(*), {len(_RAW_COLUMNS) + 1 + _ADDED_BY_QC + _ADDED_BY_READY} FROM raw_ready_v""")),
     Query("d2_retention", "raw_rows:i final_rows:i rows_difference:i retention_pct:f",
           lambda s, d: diagnostics.retention(raw_trips(s, d), raw_ready(s, d)),
           sql("""SELECT a AS raw_rows, b AS final_rows, a - b AS rows_difference, 100.0 * b / a AS retention_pct

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from busloom.functions.columns import plus_minutes
 from busloom.operators.gps import Yard
 
-# First and last calendar year any benchmark table reaches.
-CALENDAR_YEARS = (1992, 2026)
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

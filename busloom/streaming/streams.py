@@ -5,6 +5,7 @@ Event times are cast to TIMESTAMP, which watermarks need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +53,36 @@ def read_growing(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
 
 
-def run_available(stream: DataFrame) -> DataFrame:
+def run_available(stream: DataFrame, base: str | None = None) -> DataFrame:
     """Process what is there, append it to a table in the shared folder, and read that.
 
-    The checkpoint next to the table makes a rerun go on where it stopped.
+    The checkpoint next to the table makes a rerun with the same ``base`` go on where it stopped.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid4().hex}"
     query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def replay(spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame], closing: dict) -> DataFrame:
+    """Run a finished table through a stream to its very end.
+
+    In append mode the last windows stay open for want of a later event.  So a second source
+    gets one ``closing`` row, far in the future, once everything else is through: the watermark
+    passes all windows but the closing row's own, which is never handed out.
+    """
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/closing")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+
+    def stream() -> DataFrame:
+        late = spark.readStream.schema(schema).parquet(f"{base}/closing")
+        return build(read_growing(spark, folder, name).unionByName(late))
+
+    run_available(stream(), base)
+    row = spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    row.write.mode("append").parquet(f"{base}/closing")
+    return run_available(stream(), base)

@@ -165,7 +165,7 @@ def trips_every(spark, minutes=10, n=288, route=1):
 
 def test_bins_and_grid(spark):
     t = trips_every(spark).filter("trip_id < 12 or trip_id > 23")
-    rows = series.calendar_series(t, (2024, 2024)).filter("gran_min = 60").orderBy("timestamp").collect()
+    rows = series.calendar_series(t).filter("gran_min = 60").orderBy("timestamp").collect()
     assert [r["is_gap"] for r in rows[:5]] == [False, False, True, True, False]
     assert rows[0]["trips"] == 6 and rows[0]["passengers_sum"] == 120 and rows[0]["passengers_p95"] == 20
     filled = series.fill_gaps(series.complete_grid(series.demand_bins(t, (60,))), "ffill").orderBy("timestamp").collect()
@@ -183,7 +183,7 @@ def test_validation_finds_short_series(spark):
 def test_service_hours(spark):
     rows = [(1, 60, datetime(2024, 4, 1) + timedelta(days=d, hours=h), not 5 <= h <= 20) for d in range(28) for h in range(24)]
     df = spark.createDataFrame(rows, "route_id int, gran_min int, timestamp timestamp_ntz, is_gap boolean")
-    out = {r["day_type"]: r for r in hours.estimate_hours(series.add_calendar(df, (2024, 2024))).collect()}
+    out = {r["day_type"]: r for r in hours.estimate_hours(series.add_calendar(df)).collect()}
     assert len(out) == 5 and (out["LABORAL"]["start_min"], out["LABORAL"]["end_min"], out["LABORAL"]["service_h"]) == (300, 1200, 16.0)
     assert out["SABADO"]["borrowed"] and out["SABADO"]["start_clock"] == "05:00"
 
@@ -208,7 +208,7 @@ def model_series(spark, n):
     start = datetime(2024, 1, 1, 4)
     rows = [("r", 30, start + timedelta(minutes=30 * i), float(i % 50), 2 if i % 9 else 0, False, i) for i in range(n)]
     df = spark.createDataFrame(rows, "route_id string, gran_min int, timestamp timestamp_ntz, passengers_sum double, trips int, is_gap boolean, i int")
-    return series.add_calendar(df, (2024, 2024))
+    return series.add_calendar(df)
 
 
 def test_frozen_baselines(spark):
