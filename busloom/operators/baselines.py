@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from busloom.functions.calendar import RARE_DAY_TYPES, regime
 from busloom.functions.columns import day_of, minute_of_day
+from busloom.functions.reuse import written_once
 from busloom.operators.splits import assign_folds, spread_over_folds
 
 # Lags of the naive models, observations a cell needs, window multiplier,
@@ -49,6 +50,7 @@ def historical_average(rows: DataFrame, folds: DataFrame) -> DataFrame:
     train = rows.filter(F.col("first_fold").isNotNull() & F.col("observed") & F.col("y").isNotNull())
     cells = train.groupBy(*CELL, "first_fold").agg(F.sum("y").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     cells = spread_over_folds(cells, folds).groupBy(*CELL, "fold_no").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    cells = written_once(cells, "cells")  # the coarser levels roll these up
     held = rows.filter("fold_no is not null")
     for i, keys in enumerate((list(CELL), ["scenario", "route_id", "slot"], ["scenario", "route_id"], ["scenario"])):
         held = held.join(cells.groupBy(*keys, "fold_no").agg(_mean().alias(f"_p{i}")), [*keys, "fold_no"], "left")
@@ -79,6 +81,7 @@ def rolling_average(rows: DataFrame, folds: DataFrame, windows: Sequence[int],
     near = lambda c: F.sum(F.when(F.col("_near"), F.col(c)))
     cells = daily.join(_window_days(folds, windows), "service_day").groupBy(*CELL, *key).agg(
         near("_sum").alias("_s1"), near("_n").alias("_n1"), F.sum("_sum").alias("_s2"), F.sum("_n").alias("_n2"))
+    cells = written_once(cells, "cells")  # the five levels roll these up
 
     def mean(s: Column, n: Column, least: int = 1) -> Column:
         return F.when(n >= least, s / n)
@@ -108,8 +111,8 @@ def rolling_average(rows: DataFrame, folds: DataFrame, windows: Sequence[int],
     }).drop("window_days", *[f"_v{i}" for i in range(1, 7)])
 
 
-def history_level(rows: DataFrame, folds: DataFrame, history: str = "trips_lag_48") -> DataFrame:
-    """Evaluation rows classed by tertiles of the fold's training history.
+def with_history_level(rows: DataFrame, folds: DataFrame, history: str = "trips_lag_48") -> DataFrame:
+    """Evaluation rows classed by tertiles of the fold's training history; other rows get no class.
 
     Fixed values: bajo / medio / alto.  The history is a small whole number, so each fold
     keeps few distinct values.
@@ -119,10 +122,14 @@ def history_level(rows: DataFrame, folds: DataFrame, history: str = "trips_lag_4
     limits = spread_over_folds(counts, folds).groupBy("scenario", "fold_no").agg(
         F.percentile(history, F.array(F.lit(1 / 3), F.lit(2 / 3)), F.col("_n")).alias("_q"))
     v, low, high = F.col(history), F.col("_q")[0], F.col("_q")[1]
-    return rows.filter("fold_no is not null").join(limits, ["scenario", "fold_no"], "left").withColumn(
+    return rows.join(limits, ["scenario", "fold_no"], "left").withColumn(
         "history_level", F.when(v <= low, "bajo").when(v <= high, "medio").when(v > high, "alto")).drop("_q")
 
 
+def history_level(rows: DataFrame, folds: DataFrame, history: str = "trips_lag_48") -> DataFrame:
+    return with_history_level(rows, folds, history).filter("fold_no is not null")
+
+
 PREDICTION_COLUMNS = ("scenario", "target", "feature_set", "model", "split", "fold", "fold_no", "route_id", "gran_min", "timestamp",
                       "day_type", "hour", "is_gap", "gap_type", "observed", "trips", "history_level", "fallback_level",
                       "y_real", "y_pred")
@@ -136,20 +143,22 @@ def with_errors(predictions: DataFrame) -> DataFrame:
 def backtest(table: DataFrame, folds: DataFrame, windows: Sequence[int] = (28, 56, 84, 182)) -> DataFrame:
     """Long predictions of every baseline, scenario and fold.
 
-    ``table`` holds scenario rows; the fold is a column, so there is no loop over folds.
+    ``table`` holds scenario rows; the fold is a column, so there is no loop over folds.  Folds,
+    assigned rows and their history class are written once, as every model reads them.
     """
-    rows = assign_folds(with_slot(table), folds)
-    levels = history_level(rows, folds).select("scenario", "route_id", "timestamp", "history_level")
+    folds = written_once(folds, "folds")
+    rows = written_once(assign_folds(with_slot(table), folds), "assigned")
+    rows = written_once(with_history_level(rows, folds), "assigned")
     held = rows.filter("fold_no is not null")
     parts = [naive_predictions(held), historical_average(rows, folds)]
     out = [p.withColumn("fallback_level", F.lit(None).cast("string")) for p in parts]
     if windows:
         out.append(rolling_average(rows, folds, windows))
-    keep = [c for c in PREDICTION_COLUMNS if c not in ("history_level", "y_real")]
+    keep = [c for c in PREDICTION_COLUMNS if c != "y_real"]
     all_models = out[0].select(*keep, F.col("y").alias("y_real"))
     for p in out[1:]:
         all_models = all_models.unionByName(p.select(*keep, F.col("y").alias("y_real")))
-    return with_errors(all_models.join(levels, ["scenario", "route_id", "timestamp"], "left"))
+    return with_errors(all_models)
 
 
 # ---------------------------------------------------------------- walk-forward and sweeps

@@ -144,19 +144,28 @@ def table(s, d):
     return out.withColumn("service_day", service_day("timestamp"))
 
 
+@staged
 def scenario_table(s, d):
     return features.scenario_rows(table(s, d))
 
 
+@staged
+def folds_table(s, d):
+    return splits.make_folds(scenario_table(s, d), PLAN)
+
+
+@staged
+def assigned_rows(s, d):
+    return splits.assign_folds(baselines.with_slot(scenario_table(s, d)), folds_table(s, d))
+
+
 def assigned(s, d):
-    t = scenario_table(s, d)
-    folds = splits.make_folds(t, PLAN)
-    return splits.assign_folds(baselines.with_slot(t), folds), folds
+    return assigned_rows(s, d), folds_table(s, d)
 
 
+@staged
 def predictions(s, d):
-    t = scenario_table(s, d)
-    return baselines.backtest(t, splits.make_folds(t, PLAN), WINDOWS)
+    return baselines.backtest(scenario_table(s, d), folds_table(s, d), WINDOWS)
 
 
 def _on(fn):
