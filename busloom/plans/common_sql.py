@@ -17,6 +17,14 @@ def block(name: str, body: str) -> None:
     _BLOCKS[name] = body
 
 
+def clone(prefix: str, names: list[str], **replaced: str) -> None:
+    """Copies of blocks under new names, reading each other and ``replaced`` blocks instead of the originals."""
+    new = {n: f"{prefix}{n}" for n in names} | replaced
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, new)) + r")\b")
+    for n in names:
+        block(new[n], pattern.sub(lambda m: new[m[1]], _BLOCKS[n]))
+
+
 def sql(body: str) -> str:
     """``body`` with every named block it uses, directly or not, put in front."""
     needed: list[str] = []
