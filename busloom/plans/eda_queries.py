@@ -158,7 +158,16 @@ QUERIES = [
     Query("e6_autocorrelation_long", KEYS + "n:i lag:i acf:f ci:f is_significant:b is_relevant:b",
           lambda s, d: eda.autocorrelation(op30(s, d), max_lag=eda.OPERATING_MAX_LAG), sql("SELECT * FROM acf_long_v")),
     Query("e7_partial_autocorrelation", KEYS + "lag:i pacf:f is_significant:b",
-          lambda s, d: eda.partial_autocorrelation(acf(s, d))),
+          lambda s, d: eda.partial_autocorrelation(acf(s, d)),
+          sql("""SELECT route_id, gran_min, k AS lag, pacf, abs(pacf) > 1.96 / sqrt(n) AS is_significant FROM (
+                 WITH RECURSIVE known AS (SELECT route_id, gran_min, any_value(n) AS n, list(acf ORDER BY lag) AS r FROM acf_v GROUP BY 1, 2),
+                 solved AS (
+                   SELECT route_id, gran_min, n, r, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS pacf FROM known
+                   UNION ALL
+                   SELECT route_id, gran_min, n, r, k + 1, list_append([phi[j] - last * phi[k + 1 - j] FOR j IN range(1, k + 1)], last), last FROM (
+                     SELECT *, (r[k + 2] - coalesce(list_sum([phi[j] * r[k + 2 - j] FOR j IN range(1, k + 1)]), 0))
+                       / (1 - coalesce(list_sum([phi[j] * r[j + 1] FOR j IN range(1, k + 1)]), 0)) AS last FROM solved WHERE k + 2 <= len(r)))
+                 SELECT * FROM solved)""")),
     Query("e8_dickey_fuller", KEYS + "n:i statistic:f is_stationary:b",
           lambda s, d: eda.dickey_fuller(op30(s, d)),
           sql("""SELECT *, statistic < -2.86 AS is_stationary FROM (SELECT route_id, gran_min, count(*) AS n,

@@ -155,7 +155,12 @@ QUERIES = [
           lambda s, d: quality.describe(normalize.model_ready(trips(s, d)), "duration_min", ["route_id"]),
           sql(f"""SELECT route_id, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90,
                  quantile_cont(x, 0.95) AS p95, quantile_cont(x, 0.99) AS p99 FROM (SELECT route_id, {minutes('actual_start', 'final_end')} AS x FROM ready_v) GROUP BY 1""")),
-    Query("io10_fingerprint", "n_rows:i checksum:s", lambda s, d: files.fingerprint(trips(s, d))),
+    Query("io10_fingerprint", "n_rows:i checksum:s", lambda s, d: files.fingerprint(trips(s, d)),
+          sql("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(
+              f"coalesce({c}, '\\N')" for c in (
+                  "CAST(trip_id AS VARCHAR)", "vehicle_id", "route_id", "CAST(epoch_us(planned_start) AS VARCHAR)", "CAST(epoch_us(actual_start) AS VARCHAR)",
+                  "CAST(epoch_us(actual_end) AS VARCHAR)", "CAST(boardings_raw AS VARCHAR)", "CAST(door_alarms AS VARCHAR)", "CAST(boardings AS VARCHAR)",
+                  "printf('%.9e', distance)", "CAST(trip_status AS VARCHAR)")) + ")), 1, 15) AS HUGEINT)) AS VARCHAR) AS checksum FROM trips_v")),
     Query("io11_identical_columns", "column_a:s column_b:s", doubled_columns,
           sql(" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b FROM trips_v HAVING count(*) > 0" for a, b in _PAIRS))),
     Query("b13_tree_forecast", "route_id:s timestamp:t y_real:f y_pred:f", tree_forecast),
