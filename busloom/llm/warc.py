@@ -263,7 +263,8 @@ def archive_pages(pages: DataFrame, captured: Column, least_bytes: int = LEAST_B
     runs = write_archives(captures(pages, captured, least_bytes), folder)
     index = merged_index(runs)
     archives = runs.select("archive").distinct()
-    read = read_archives(archives, folder)
+    # The planner takes the archives' few names for the size of what is read from them.
+    read = read_archives(archives, folder).hint("merge")
     return index.drop("page_id").join(read, ["archive", "start"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
         "position", "url_key", "capture", "captured", "archive", "start", "length")
