@@ -32,7 +32,7 @@ from busloom.llm.vectors import distinct_vectors, matrix, usable
 COSINE = 0.95
 BLOCKS = 4
 GRID = 2
-CHUNK = 2048
+CHUNK = 8192
 PAIRS_AT_ONCE = 50_000
 SLACK = 1e-9  # on squared distances, far above rounding; pairs are verified exactly afterwards
 
