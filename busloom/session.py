@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="busloom-")
         folder = f"{base.rstrip('/')}/busloom-{app}"
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)  # a folder that isn't there yet can't be marked
+        store.deleteOnExit(path)
         _own_folders[app] = folder
     return _own_folders[app]
