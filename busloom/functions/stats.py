@@ -7,6 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busloom.functions.reuse import written_once
+
+
+# Bands of equal width up to so many widths from 0; further out they grow with the value, so many to a doubling.
+LINEAR_BANDS = 1 << 16
+BANDS_PER_DOUBLING = 1 << 12
+
+
+def value_band(widths: Column) -> Column:
+    """Monotone band number of a value given in band widths; outliers add few bands, however far they lie."""
+    far = F.abs(widths)
+    out = F.lit(LINEAR_BANDS) + F.floor((F.log2(far) - LINEAR_BANDS.bit_length() + 1) * BANDS_PER_DOUBLING)
+    return F.when(far < LINEAR_BANDS, F.floor(widths)).when(widths > 0, out).otherwise(-out - 1)
+
+
+def running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, out: str) -> DataFrame:
+    """Add the running total of ``amount`` per key in the given order, the row itself included.
+
+    Rows are cut into ranges of the whole order, totalled inside their range and shifted by the
+    ranges before it (one row per key and range), so neither a key nor a prefix has to fit one
+    task.  The ranges are written once, as they are read twice.
+    """
+    cut = written_once(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    part = [*keys, "_range"]
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*part).agg(F.sum(amount).alias("_s")).select(
+        *part, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_inside", F.sum(amount).over(inside)).join(offsets, part).withColumn(
+        out, F.col("_inside") + F.col("_before")).select(*rows.columns, out)
+
 
 def exact_percentiles(
     df: DataFrame,
@@ -26,7 +57,7 @@ def exact_percentiles(
     w = F.lit(width) if isinstance(width, (int, float)) else width
     v = F.col(value).cast("double")
     rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, v.alias("_value"), F.floor(v / w).alias("_band"))
+        *keys, v.alias("_value"), value_band(v / w).alias("_band"))
     part = [*keys, "_band"]
 
     per_key = Window.partitionBy(*keys)

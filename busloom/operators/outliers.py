@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busloom.functions.reuse import written_once
+from busloom.functions.stats import running_total
 from busloom.operators.eda import VALUE, operating
 from busloom.operators.series import SERIES
 
@@ -16,9 +18,6 @@ Z_LIMIT = 3
 MIN_CONTEXT = 8
 MIN_PAIRS = 10
 
-# Letters by which texts are grouped before they are numbered.
-HEAD_LETTERS = 4
-
 
 def series_outliers(series: DataFrame, value: str = VALUE) -> DataFrame:
     """Slots outside the series' IQR fence or far from their day type's mean.
@@ -65,40 +64,19 @@ def contextual_outliers(series: DataFrame, value: str = VALUE, factor: float = I
     })
 
 
-def _band(v: Column) -> Column:
-    """Monotone value band, about 0.3 % wide; keeps every value's order."""
-    return F.when(v >= 0, F.floor(F.log2(1 + v) * 256)).otherwise(-F.floor(F.log2(1 - v) * 256) - 1)
-
-
 def _ranked(counts: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of each (feature, value): counts before it plus half its own.
-
-    Running counts go band by band, with the band totals added, so that no feature has to
-    be sorted in one task.
-    """
-    values = counts.groupBy("feature", value).agg(F.sum("_n").alias("_n")).withColumn("_b", _band(F.col(value)))
-    earlier = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = values.groupBy("feature", "_b").agg(F.sum("_n").alias("_s")).select(
-        "feature", "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
-    upto = F.sum("_n").over(Window.partitionBy("feature", "_b").orderBy(value))
-    return (values.withColumn("_upto", upto).join(offset, ["feature", "_b"])
-            .select("feature", value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)))
+    """Average rank of each (feature, value): counts before it plus half its own."""
+    values = counts.groupBy("feature", value).agg(F.sum("_n").alias("_n"))
+    return running_total(values, ["feature"], [value], "_n", "_upto").select(
+        "feature", value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def text_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace texts by their place in sorted order, missing ones by -1.
-
-    Texts are numbered within their first letters and shifted by the number of texts with
-    smaller first letters, so that no column is sorted in one task.
-    """
+    """Replace texts by their place in sorted order, missing ones by -1."""
     out = df
     for c in columns:
-        known = df.filter(F.col(c).isNotNull()).select(c).distinct().withColumn("_head", F.substring(c, 1, HEAD_LETTERS))
-        smaller = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-        heads = known.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).select(
-            "_head", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_before"))
-        place = F.row_number().over(Window.partitionBy("_head").orderBy(c)) - 1
-        codes = known.withColumn("_place", place).join(heads, "_head").select(c, (F.col("_before") + F.col("_place")).alias(f"_{c}"))
+        known = df.filter(F.col(c).isNotNull()).select(c).distinct().withColumn("_one", F.lit(1))
+        codes = running_total(known, [], [c], "_one", "_upto").select(c, (F.col("_upto") - 1).alias(f"_{c}"))
         out = out.join(codes, c, "left").withColumn(c, F.coalesce(F.col(f"_{c}"), F.lit(-1))).drop(f"_{c}")
     return out
 
@@ -114,7 +92,7 @@ def spearman_by_feature(df: DataFrame, target: str, features: Sequence[str], tex
         F.col(target).cast("double").alias("y"),
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in (*features, *texts)])),
     ).filter(F.col("x").isNotNull())
-    counts = pairs.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written_once(pairs.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("_n")), "counts")
     n, rx, ry = F.col("_n"), F.col("rx"), F.col("ry")
     ranked = counts.join(_ranked(counts, "x", "rx"), ["feature", "x"]).join(_ranked(counts, "y", "ry"), ["feature", "y"])
     total = F.sum(n)
