@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from busloom.functions.calendar import DAY_TYPES, WEEKDAY
 from busloom.functions.columns import count_if, minute_of_day, percent
+from busloom.functions.reuse import written_once
 from busloom.operators.series import SERIES
 
 # Activity that counts as service, activity below which a slot is odd,
@@ -48,8 +49,10 @@ def estimate_hours(
     """One row per series and day type.
 
     A day type with too few days borrows the weekday slots when there are any; with no
-    active slot the row carries the sentinel -1.
+    active slot the row carries the sentinel -1.  The activity and the days are written once, as
+    every step below reads them.
     """
+    series = written_once(series.select(*SERIES, "timestamp", "day_type", "is_gap"), "slots")
     activity = slot_activity(series)
     days = sample_days(series)
     wanted = days.select(*SERIES).distinct().withColumn(

@@ -11,6 +11,7 @@ from busloom.operators.eda import WEEKDAY_NAMES
 from busloom.plans.common_sql import block, day_type_sql, sql, values_list
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import plain_series, ready, series_30, series_table
+from busloom.plans.stages import staged
 from busloom.sources.tables import long_trips
 
 KEYS = "route_id:s gran_min:i "
@@ -84,6 +85,7 @@ block("odd_v", "SELECT * FROM ctx_v WHERE outlier_type <> ''")
 block("series30_v", "SELECT * FROM series_v WHERE gran_min = 30")
 
 
+@staged
 def op30(s, d):
     return plain_series(s, d, (30,))
 

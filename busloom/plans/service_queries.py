@@ -8,6 +8,7 @@ from busloom.operators import fleet, service
 from busloom.plans.common_sql import block, minutes, sql
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import ready, series_30
+from busloom.plans.stages import staged
 from busloom.sources.tables import long_trips, trips
 
 N_DAYS = 12
@@ -104,10 +105,12 @@ block("vehicle_last_v", """
     FROM (SELECT vehicle_id, CAST(max(date_trunc('month', service_date)) AS DATE) AS last_month FROM long_trips_v GROUP BY 1))""")
 
 
+@staged
 def headways(s, d):
     return service.headways(ready(s, d))
 
 
+@staged
 def detrended(s, d):
     return service.detrended_productivity(service.weekly_productivity(long_trips(s, d)))
 
@@ -125,6 +128,7 @@ def occupancy(s, d):
     return fleet.yard_occupancy(fleet.vehicle_timeline(r), r.select("service_date"))
 
 
+@staged
 def by_day(s, d):
     return fleet.availability_by_day(ready(s, d), fleet.spaced_days(work_days(s, d), N_DAYS))
 
