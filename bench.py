@@ -28,6 +28,11 @@ HEADLINE = (
     "f2_lags",
     "b8_historical_average",
     "v3_common_support",
+    "b12_backtest_summary",
+    "e13_feature_correlation",
+    "k26_kpi_table",
+    "t3_resume_trip_ends",
+    "p1_pipeline",
 )
 
 

@@ -44,7 +44,7 @@ class Scenario:
 SCENARIOS = (
     Scenario("sin_oferta", DEMAND, DEMAND_SET),
     Scenario("oferta_historica_rezagada", DEMAND, DEMAND_TRIPS_SET),
-    Scenario("productividad_rezagada", PER_TRIP, ALL_SET),
+    Scenario("productividad_por_despacho", PER_TRIP, ALL_SET),
 )
 
 

@@ -100,7 +100,8 @@ def find_departures(plans: DataFrame, pings: DataFrame, yards: Sequence[Yard],
             F.struct(F.lit(w).alias("window_min"), F.lit(k).alias("kind"))
             for w in windows for k in ("text", "fence")])))
     probes = probes.withColumn("_from", plus_minutes("planned_start", -F.col("window_min")))
-    seen = as_of(probes, yard_hits(pings, yards, radius_m), ["vehicle_id", "yard", "kind"],
+    hits = written_once(yard_hits(pings, yards, radius_m), "hits")  # few of the pings, read twice
+    seen = as_of(probes, hits, ["vehicle_id", "yard", "kind"],
                  "_from", "ping_ts", {"_hit": "ping_ts"}, following=True, monotone=True)
     inside = F.col("_hit") <= plus_minutes("planned_start", F.col("window_min"))
     order = F.struct("window_min", (F.col("kind") == "fence").alias("_late"))

@@ -203,8 +203,8 @@ QUERIES = [
                  UNION ALL SELECT route_id, gran_min, 'Contexto horario mas fuerte', {_names}[weekday + 1] || printf(' %02d:00', hour), v FROM (
                  SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY v DESC NULLS LAST, weekday, hour) AS k
                  FROM (SELECT route_id, gran_min, weekday, hour, avg(passengers_sum) AS v FROM s30_v GROUP BY 1, 2, 3, 4)) WHERE k = 1
-                 UNION ALL SELECT route_id, gran_min, 'Franjas imputadas como gap', 'Porcentaje sobre la serie filtrada', 100.0 * avg(CAST(is_gap AS INT)) FROM s30_v GROUP BY 1, 2
-                 UNION ALL SELECT route_id, gran_min, 'Atipicos detectados', 'Altos y bajos segun IQR por dia/hora', count(*) FROM ctx_v WHERE outlier_type <> '' GROUP BY 1, 2""")),
+                 UNION ALL SELECT route_id, gran_min, 'Franjas imputadas como gap', 'percent of all slots', 100.0 * avg(CAST(is_gap AS INT)) FROM s30_v GROUP BY 1, 2
+                 UNION ALL SELECT route_id, gran_min, 'Atipicos detectados', 'slots off the range of their weekday and hour', count(*) FROM ctx_v WHERE outlier_type <> '' GROUP BY 1, 2""")),
     Query("e15_moving_average", KEYS + "timestamp:t moving_avg:f",
           lambda s, d: eda.moving_average(op30(s, d), 6),
           sql("""SELECT route_id, gran_min, timestamp, avg(passengers_sum) OVER (PARTITION BY route_id ORDER BY timestamp ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
