@@ -62,14 +62,20 @@ def logistic(x: float) -> float:
 def rising_curve(margin: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
     """Knots of the weighted isotonic regression of ``positive`` on ``margin``; empty without data.
 
-    Neighbours that violate the order are pooled; a pool's mean margin is its knot and its smoothed
-    share the value.
+    Neighbours that violate the order are pooled.  A pool is level from its least to its largest
+    margin and has its share as value, smoothed if it is pure; between pools the curve is straight.
     """
-    pools: list[list[float]] = []  # weight, weighted positives, weighted margins
+    pools: list[list[float]] = []  # weight, weighted positives, least and largest margin
     for i in np.argsort(margin, kind="stable"):
-        pools.append([weight[i], weight[i] * positive[i], weight[i] * margin[i]])
+        pools.append([weight[i], weight[i] * positive[i], margin[i], margin[i]])
         while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
             last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    shown = [p for p in pools if p[0] > 0]
-    return [p[2] / p[0] for p in shown], [(p[1] + 0.5) / (p[0] + 1) if p[1] in (0, p[0]) else p[1] / p[0] for p in shown]
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    knots, values = [], []
+    for total, up, least, largest in pools:
+        if total > 0:
+            value = (up + 0.5) / (total + 1) if up in (0, total) else up / total
+            for x in dict.fromkeys((float(least), float(largest))):
+                knots.append(x)
+                values.append(float(value))
+    return knots, values

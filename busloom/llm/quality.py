@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained on labelled text.  A document is cut into chunks of
 ``chunk`` bytes, so that the dictionary and not the document's own past explains it; every chunk is
 compressed with both.  (bytes with the bad dictionary - bytes with the good one) / bytes of text is
-the normalised difference.  A rising curve fitted on other labelled documents (isotonic regression,
+the normalised difference; ``PRIOR_BYTES`` of typical text are added to every document, so that a few
+words of it decide little.  A rising curve fitted on other labelled documents (isotonic regression,
 with a small share of a logistic curve so that it never stays level) turns it into the probability
 of label 1.
 
@@ -32,6 +33,7 @@ DICTIONARY_BYTES = 1 << 18
 SAMPLE_BYTES = 8 << 20
 LEVEL = 3
 LOGISTIC_SHARE = 0.05
+PRIOR_BYTES = 64
 CALIBRATION_SHARE = 4  # of the sampled documents every fourth calibrates, the others make dictionaries
 
 
@@ -44,10 +46,16 @@ class CompressionModel:
     offset: float
     knots: tuple[float, ...] = ()
     values: tuple[float, ...] = ()
+    typical: float = 0.0  # the mean normalised difference
     chunk: int = CHUNK
     level: int = LEVEL
 
-    def probability(self, difference: float) -> float:
+    def margin(self, difference: int, size: int) -> float:
+        return (difference + PRIOR_BYTES * self.typical) / (size + PRIOR_BYTES)
+
+    def probability(self, difference: int, size: int) -> float:
+        """Of label 1, from (size by bad - size by good) and the size of the text."""
+        difference = self.margin(difference, size)
         smooth = logistic(self.slope * difference + self.offset)
         if not self.knots:
             return smooth
@@ -71,15 +79,15 @@ class Sizer:
         dictionary.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=dictionary, level=level, **plain)
 
-    def difference(self, text: str) -> float:
-        """(size by bad - size by good) / size of the text; 0 for no text."""
+    def sizes(self, text: str) -> tuple[int, int]:
+        """Size by bad - size by good, and size of the text."""
         data = text.encode()
         good = bad = 0
         for at in range(0, len(data), self.chunk):
             part = data[at : at + self.chunk]
             good += len(self.good.compress(part))
             bad += len(self.bad.compress(part))
-        return (bad - good) / len(data) if data else 0.0
+        return bad - good, len(data)
 
 
 def sample_of(labels: DataFrame, trainable: Column, per_class: int) -> DataFrame:
@@ -130,13 +138,15 @@ def fit(
     sides = [_dictionary([t for q, rank, t in rows if q == side and rank % CALIBRATION_SHARE], dictionary_bytes, chunk, level) for side in (1, 0)]
     model = CompressionModel(sides[0][0], sides[1][0], (sides[0][1], sides[1][1]), 0.0, 0.0, chunk=chunk, level=level)
     sizer = Sizer(model)
-    held = [(q, sizer.difference(t)) for q, rank, t in rows if rank % CALIBRATION_SHARE == 0] or [(q, 0.0) for q, _, _ in rows]
-    positive = np.array([q == 1 for q, _ in held], bool)
+    held = [(q, *sizer.sizes(t)) for q, rank, t in rows if rank % CALIBRATION_SHARE == 0] or [(q, 0, 0) for q, _, _ in rows]
+    positive = np.array([q == 1 for q, _, _ in held], bool)
     counts = {True: int(positive.sum()), False: int((~positive).sum())}
     # Weights add up to the number of documents, split as the labels are.
     total = sum(shares.values()) or 1
     weight = np.array([len(held) * shares.get(int(p), 0) / total / counts[bool(p)] for p in positive])
-    margin = np.array([x for _, x in held])
+    typical = float(np.average([x / max(1, n) for _, x, n in held], weights=weight)) if weight.sum() else 0.0
+    model = replace(model, typical=typical)
+    margin = np.array([model.margin(x, n) for _, x, n in held])
     slope, offset = calibrate(margin, positive, weight)
     knots, values = rising_curve(margin, positive, weight) if counts[True] and counts[False] else ((), ())
     return replace(model, slope=slope, offset=offset, knots=tuple(knots), values=tuple(values))
@@ -145,7 +155,7 @@ def fit(
 def score(docs: DataFrame, model: CompressionModel, name: str = "score") -> DataFrame:
     """``docs`` with score (0 to 1, higher: label 1 likelier), a row for every row, from its whole text.
 
-    A null text counts as empty; an empty text gets the curve's value at 0.  Repeated rows and null
+    A null text counts as empty; an empty text scores as typical text does.  Repeated rows and null
     ids pass, an empty table gives no rows, a column already called ``name`` is replaced, others come
     back.  The model (two dictionaries of bounded size) is broadcast; nothing is shuffled.
     """
@@ -154,6 +164,6 @@ def score(docs: DataFrame, model: CompressionModel, name: str = "score") -> Data
     def made():
         fitted = shared.value
         sizer = Sizer(fitted)
-        return lambda text: (fitted.probability(sizer.difference(text or "")),)
+        return lambda text: (fitted.probability(*sizer.sizes(text or "")),)
 
     return appended(docs, made, f"`{name}` double")
