@@ -37,7 +37,7 @@ CACHED_LENGTH = 48
 STEP = 2048
 DECODED_TOKENS = 8192
 
-_BLANK = r"\t-\r \x85\xa0  -     　"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split of the byte-level pre-tokenizer, with white space spelled out; and the same for texts
 #: of printable Latin-1 and common blanks, where ``re`` knows the classes and is faster.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
