@@ -109,18 +109,18 @@ QUERIES = [
     Query("s1_demand_bins", _S + _M, lambda s, d: series.demand_bins(ready(s, d)), sql("SELECT * FROM bins_v")),
     Query("s2_complete_grid", _S + "is_gap:b", lambda s, d: series.complete_grid(series.demand_bins(ready(s, d))),
           sql("SELECT * FROM grid_v")),
-    Query("s3_fill_zero", _S + _M, lambda s, d: plain_series(s, d, (30,), "zero"),
+    Query("s3_fill_zero", _S + _M, lambda s, d: plain_series(s, d, fill="zero"),
           sql("""SELECT route_id, gran_min, timestamp, coalesce(passengers_sum, 0) AS passengers_sum, coalesce(trips, 0) AS trips,
-                 coalesce(passengers_mean, 0) AS passengers_mean, coalesce(passengers_p95, 0) AS passengers_p95 FROM grid_v WHERE gran_min = 30""")),
-    Query("s3_fill_forward", _S + _M, lambda s, d: plain_series(s, d, (30,), "ffill"),
+                 coalesce(passengers_mean, 0) AS passengers_mean, coalesce(passengers_p95, 0) AS passengers_p95 FROM grid_v""")),
+    Query("s3_fill_forward", _S + _M, lambda s, d: plain_series(s, d, fill="ffill"),
           sql("""SELECT route_id, gran_min, timestamp, last_value(passengers_sum IGNORE NULLS) OVER w AS passengers_sum,
                  last_value(trips IGNORE NULLS) OVER w AS trips, last_value(passengers_mean IGNORE NULLS) OVER w AS passengers_mean,
-                 last_value(passengers_p95 IGNORE NULLS) OVER w AS passengers_p95 FROM grid_v WHERE gran_min = 30
+                 last_value(passengers_p95 IGNORE NULLS) OVER w AS passengers_p95 FROM grid_v
                  WINDOW w AS (PARTITION BY route_id, gran_min ORDER BY timestamp)""")),
-    Query("s3_mark_gaps", _S + _M + "is_gap:b", lambda s, d: plain_series(s, d, (60,)),
-          sql("SELECT * FROM grid_v WHERE gran_min = 60")),
+    Query("s3_mark_gaps", _S + _M + "is_gap:b", plain_series,
+          sql("SELECT * FROM grid_v")),
     Query("s4_calendar_parts", _S + "hour:i weekday:i is_weekend:b month:i iso_week:i quarter:i day_part:s",
-          lambda s, d: plain_series(s, d, (30,)), sql("SELECT * FROM cal_v WHERE gran_min = 30")),
+          plain_series, sql("SELECT * FROM cal_v")),
     Query("s5_day_types", "timestamp:t weekday:i is_holiday:b day_type:s",
           lambda s, d: series.add_calendar(
               s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("timestamp")).distinct()),
