@@ -4,7 +4,7 @@ A path is a list of segments.  Digits in a segment become ``#`` and long hexadec
 the tree of each host is built from the root down, one level at a time.  A child becomes the
 wildcard ``*``
 
-* if it is rare among its siblings (variable segments: slugs, user names), or
+* if it has too few pages to tell (variable segments: slugs, user names), or
 * if its share of good labels does not differ from that of the whole node by more than chance
   (statistically similar branches merge).
 
@@ -24,7 +24,7 @@ from busloom.functions.reuse import written_once
 
 DEPTH = 6
 LEAST_PAGES = 5
-LEAST_SHARE = 0.01
+LEAST_SHARE = 0.01  # of the SQL twin alone
 SPREAD = 2.576  # standard errors; 1 % two-sided
 SMOOTHING = 20.0
 LEAST_PURITY = 0.5
@@ -75,7 +75,7 @@ def templates(shaped: DataFrame) -> DataFrame:
         node = _summed(child, "host", "template").withColumnsRenamed({c: f"all_{c}" for c in ("pages", "labelled", "good")})
         share = F.col("all_good") / F.greatest(F.col("all_labelled"), F.lit(1))
         apart = F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - share) > SPREAD * F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-        common = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
+        common = F.col("pages") >= LEAST_PAGES
         branch = child.join(node, ["host", "template"]).select(
             "host", "template", "segment", F.when(common & (F.col("labelled") > 0) & apart, F.col("segment")).otherwise("*").alias("branch"))
         state = written_once(

@@ -127,6 +127,20 @@ def test_templates_learn_from_labels(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int"), {}).count() == 0
 
 
+def test_a_small_bad_section_of_a_hot_host_is_blocked(spark):
+    def path(i):
+        return f"bad/{i}" if i % 200 == 7 else f"s{'abcdefghijklmnop'[i % 16]}/{i}"
+
+    pages = [(i, f"http://hot.example/{path(i)}") for i in range(20_000)]
+    # A host of 150 sections, each with under 1 % of its pages; one in ten is bad.
+    names = ["".join("abcdefghij"[int(c)] for c in f"{k:03d}") for k in range(150)]
+    pages += [(20_000 + i, f"http://wide.example/{names[i % 150]}/{i}") for i in range(6000)]
+    labels = [(i, int(i % 200 != 7)) for i in range(20_000)] + [(20_000 + i, int(i % 150 % 10 != 3)) for i in range(6000)]
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), {}).collect()
+    bad = {p for p, good in labels if not good}
+    assert {r.page_id for r in found if r.verdict == "block"} == bad
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     random_ = random.Random(k)
