@@ -2,7 +2,8 @@
 
 Lines are compared as lower-case word sequences.  A line goes if the corpus holds an earlier equal
 line, or (from ``near_words`` words on) an earlier line within one edit: a word replaced, put in or
-left out.  Earlier means a smaller document id, then a smaller line number; the earliest stays.
+left out.  With ``meet_shorter`` the longer line of a pair decides, so a line at that bound meets those
+of one word less too.  Earlier means a smaller document id, then a smaller line number; the earliest stays.
 
 Leaving one word out of both lines makes two lines within the bound equal, so equal variants are the
 candidates.  Three things keep this small at scale:
@@ -33,7 +34,8 @@ from busloom.llm.common import pairs_of, to_batches, unused
 
 PARTS = 3
 NEAR_WORDS = 8
-LEAST_WORDS = 3
+LEAST_WORDS = 1
+NEAR_EVERY = {"near_words": 3, "meet_shorter": True}  # below, one edit may leave no word in common
 LAST = (1 << 63) - 1  # place of documents without an id
 
 
@@ -67,11 +69,12 @@ def rest_keys(words: list[str]) -> list[int]:
     return found
 
 
-def variants(words: list[str], parts: list[int]) -> Iterator[tuple[int, int]]:
+def variants(words: list[str], parts: list[int], near_words: int = 0) -> Iterator[tuple[int, int]]:
     """(kind, key) of a line for the given numbers of ``rest_keys``.
 
     Kind 0: a word replaced, the variant has a mark in its place.  Kind 1: the line itself, kind 2: the
     line without one word; a line of kind 1 is the shorter of a pair with each line of kind 2.
+    A line of less than ``near_words`` words is only ever the shorter of a pair.
     """
     n, whole = len(words), False
     bounds = [part_bounds(n), part_bounds(n - 1)]
@@ -82,7 +85,7 @@ def variants(words: list[str], parts: list[int]) -> Iterator[tuple[int, int]]:
             for at in range(start, end + 1):
                 yield 2, _signed(xxh3_64_intdigest("in " + " ".join(words[:at] + words[at + 1 :])))
         else:
-            for at in range(start, end):
+            for at in range(start, end if n >= near_words else start):
                 yield 0, _signed(xxh3_64_intdigest("re " + " ".join([*words[:at], "\n", *words[at + 1 :]])))
             if not whole:
                 whole = True
@@ -101,7 +104,7 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[start + (len(a) == len(b)) :] == b[start + 1 :]
 
 
-def _lines(docs: DataFrame, near_words: int, least_words: int) -> DataFrame:
+def _lines(docs: DataFrame, near_words: int, least_words: int, meet_shorter: bool) -> DataFrame:
     """digest, doc, line, keys of every line of ``least_words`` words or more."""
     schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
@@ -111,7 +114,8 @@ def _lines(docs: DataFrame, near_words: int, least_words: int) -> DataFrame:
                 for number, line in enumerate((text or "").split("\n")):
                     words = words_of(line)
                     if len(words) >= least_words:
-                        yield _digest(words), doc, number, rest_keys(words) if len(words) >= near_words else None
+                        keys = rest_keys(words) if len(words) >= near_words - meet_shorter else None
+                        yield _digest(words), doc, number, keys[:PARTS] if keys and len(words) < near_words else keys
 
         yield from to_batches(found(), schema)
 
@@ -138,7 +142,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc", "text").join(lists, "doc").mapInArrow(run, "digest binary, doc long, line int, parts array<int>, words string")
 
 
-def _neighbours(texts: DataFrame) -> DataFrame:
+def _neighbours(texts: DataFrame, near_words: int) -> DataFrame:
     """digest and candidate place of the earliest line that shares a variant, if earlier than the line itself."""
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("digest", pa.binary()), ("doc", pa.int64()), ("line", pa.int32())])
 
@@ -146,7 +150,7 @@ def _neighbours(texts: DataFrame) -> DataFrame:
         rows = (
             (key, kind, digest, doc, line)
             for digest, doc, line, parts, words in pairs_of(batches, "digest", "doc", "line", "parts", "words")
-            for kind, key in variants(words.split(" "), parts)
+            for kind, key in variants(words.split(" "), parts, near_words)
         )
         yield from to_batches(rows, schema)
 
@@ -163,7 +167,7 @@ def _neighbours(texts: DataFrame) -> DataFrame:
         "digest", F.col("candidate.doc").alias("doc"), F.col("candidate.line").alias("line")).distinct()
 
 
-def _too_near(texts: DataFrame) -> DataFrame:
+def _too_near(texts: DataFrame, near_words: int) -> DataFrame:
     """Digests of lines with a verified earlier neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +177,21 @@ def _too_near(texts: DataFrame) -> DataFrame:
         )
         yield from to_batches(rows, pa.schema([("digest", pa.binary())]))
 
-    pairs = _neighbours(texts).join(texts.select("doc", "line", F.col("words").alias("other")), ["doc", "line"])
+    pairs = _neighbours(texts, near_words).join(texts.select("doc", "line", F.col("words").alias("other")), ["doc", "line"])
     pairs = pairs.select("digest", "other").join(texts.select("digest", F.col("words").alias("mine")), "digest")
     return pairs.mapInArrow(run, "digest binary").distinct()
 
 
 def dedup_lines(
     docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, counts: tuple[str, str, str] = ("lines_in", "lines_out", "lines_own"),
+    meet_shorter: bool = False,
 ) -> DataFrame:
     """``docs`` with the text left after deduplication, and how many lines it had, has left, and has
     left of those long enough to be compared (``counts``).
 
     Lines of fewer than ``least_words`` words (blank ones too) always stay; from ``near_words`` words
-    on the bound is one edit, below it equality.  A line whose earlier neighbour goes itself still
+    on (of both lines, or of the longer one with ``meet_shorter``) the bound is one edit, below it
+    equality.  A line whose earlier neighbour goes itself still
     goes.  All columns of ``docs`` come back, text changed; one row per row.  A null text stays null
     (0 lines), an empty one has one empty line.  Rows with a null doc_id come last in the order and
     count as one document; rows that repeat a doc_id count as one document too, so what stays of
@@ -194,7 +200,7 @@ def dedup_lines(
     """
     placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     lines = written_once(
-        _lines(placed, near_words, least_words).groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("keys").alias("keys")),
+        _lines(placed, near_words, least_words, meet_shorter).groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("keys").alias("keys")),
         "lines").select("digest", "place.doc", "place.line", "keys")
     # A short stand-in for the digest: if two collide, a line emits variants in vain.
     keyed = lines.where("keys IS NOT NULL").select(F.xxhash64("digest").alias("id"), F.posexplode("keys").alias("part", "key"))
@@ -203,7 +209,7 @@ def dedup_lines(
     wanted = lines.select(F.xxhash64("digest").alias("id"), "digest", "doc", "line").join(parts, "id").drop("id")
     # The same line may come back twice, from two rows of one doc_id.
     texts = written_once(_texts(placed, wanted).dropDuplicates(["digest"]), "near-lines")
-    near = written_once(_too_near(texts), "too-near")
+    near = written_once(_too_near(texts, near_words), "too-near")
     place, stays_in = unused(docs, "place"), unused(docs, "stay")
     stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.struct("line", "digest")).alias(stays_in))
     joined = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(stay, place, "left")

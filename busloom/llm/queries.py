@@ -72,7 +72,7 @@ def op8_warc_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, folder, "documents")).select(
+    return line_dedup.dedup_lines(_table(spark, folder, "documents"), **line_dedup.NEAR_EVERY).select(
         "doc_id", "lines_in", "lines_out", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 

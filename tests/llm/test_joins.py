@@ -188,6 +188,33 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.text, r.lines_in, r.lines_out) for r in found), key=str) == sorted(expected, key=str)
 
 
+def test_every_line_is_compared(spark):
+    """The bounds of the query and the pipeline: equality for all lines that are not blank, one edit if the longer has three words."""
+    rows = [(d, t) for d, t in line_rows() if d is not None]
+    rows += [(500 + i, "\n".join(" ".join(RANDOM.choice("abcd") for _ in range(RANDOM.randrange(1, 5))) for _ in range(3))) for i in range(40)]
+    rows += [(600, "les."), (601, "Les.\nonly here"), (602, "e1 e2 e3 e4 e5 e6 e7 e8"), (603, "e1 e2 e3 e4 e6 e7 e8"), (604, "f1 f2 f3"), (605, "f1 f3"), (606, "f1"), (607, "g1 g2"), (608, "g1 x2")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **line_dedup.NEAR_EVERY).collect()
+    first = {}
+    for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for n, line in enumerate(text.split("\n")):
+            words = tuple(line_dedup.words_of(line))
+            first[words] = min(first.get(words, (doc, n)), (doc, n))
+    every, near = list(first.items()), set()
+    for x, (a, p) in enumerate(every):
+        for b, q in every[x + 1 :]:
+            if max(len(a), len(b)) >= 3 and min(len(a), len(b)) and edit_distance(a, b) <= 1:
+                near.add(a if p > q else b)
+    expected = []
+    for doc, text in rows:
+        lines = [] if text is None else text.split("\n")
+        own = [bool(w) and first[w] == (doc, n) and w not in near for n, w in enumerate(tuple(line_dedup.words_of(x)) for x in lines)]
+        left = [x for x, o in zip(lines, own) if o or not x.strip()]
+        expected.append((doc, None if text is None else "\n".join(left), len(left), sum(own)))
+    assert sorted(((r.doc_id, r.text, r.lines_out, r.lines_own) for r in found), key=str) == sorted(expected, key=str)
+    left = {r.doc_id: r.text for r in found}
+    assert [left[i] for i in range(600, 609)] == ["les.", "only here", "e1 e2 e3 e4 e5 e6 e7 e8", "", "f1 f2 f3", "", "f1", "g1 g2", "g1 x2"]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
