@@ -40,11 +40,11 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; those of which no line of their own is left go.
 
-    Lines too short to be compared are no one's own: what is left of a copy may be a few of them.
+    A line of its own is any that is not blank and repeats no earlier one, however short.
     ``n_chars``, where there is one, follows the new text.
     """
     counts = tuple(unused(docs, n) for n in ("lines_in", "lines_out", "lines_own"))
-    left = line_dedup.dedup_lines(docs, counts=counts)
+    left = line_dedup.dedup_lines(docs, counts=counts, **line_dedup.NEAR_EVERY)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.where((F.col(counts[1]) == F.col(counts[0])) | (F.col(counts[2]) > 0)).select(*docs.columns)

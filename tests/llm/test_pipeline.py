@@ -56,6 +56,14 @@ def test_stages_in_order(spark, planted):
     assert final == expected
 
 
+def test_a_list_keeps_its_own_short_lines(spark):
+    footer = "this footer stands below every single page of the site"
+    items = ["Tea", "Black coffee", "Cake", "Juice"]
+    docs = [(1, f"Some first page\n{footer}"), (2, "\n".join([*items, footer])), (3, f"\n{footer}"), (4, f"TEA\n\n{footer}")]
+    left = corpus_pipeline.remove_repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL)
+    assert sorted(tuple(r) for r in left.collect()) == [docs[0], (2, "\n".join(items))]
+
+
 def test_repeated_rows_leave_one(spark):
     text = "a passage of some ten words that is twice here"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "other")], "doc_id long, text string")
