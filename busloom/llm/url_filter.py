@@ -8,6 +8,9 @@ wildcard ``*``
 * if its share of good labels does not differ from that of the whole node by more than chance
   (statistically similar branches merge).
 
+A node whose labelled pages are all good or all bad, or that holds one shape only, can't be split further
+down, so the rest of its paths is ``*`` at once; the tree ends at the deepest node that can.
+
 What is left are templates such as ``shop.example/*/#.html``.  A template whose share of good
 labels, smoothed towards its host's and that towards all hosts', is below one half is rejected.
 
@@ -17,12 +20,14 @@ host with a third of all pages is no one's single task.  Explicit rules come fir
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
 
-DEPTH = 6
+DEPTH = 6  # of the SQL twin alone
 LEAST_PAGES = 5
 LEAST_SHARE = 0.01  # of the SQL twin alone
 SPREAD = 2.576  # standard errors; 1 % two-sided
@@ -54,36 +59,44 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 
 
 def shapes(path: Column) -> Column:
-    """Segments with digits and long hexadecimal names generalised; what lies deeper than DEPTH is one ``**``."""
+    """Segments with digits and long hexadecimal names generalised, however many."""
     segments = F.slice(F.split(path, "/"), 2, 1 << 30)
-    shaped = F.transform(segments, lambda s: F.when(
+    return F.transform(segments, lambda s: F.when(
         s.rlike("^[0-9a-f-]{8,}$") & s.rlike("[0-9]") & s.rlike("[a-f-]"), "{hex}").otherwise(F.regexp_replace(s, "[0-9]+", "#")))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
 
 
-def _summed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "good")))
+COUNTS = ("pages", "labelled", "good")
+
+
+def _summed(df: DataFrame, *keys: str, counts: tuple[str, ...] = COUNTS) -> DataFrame:
+    return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
 
 
 def templates(shaped: DataFrame) -> DataFrame:
     """host, shapes, template for distinct (host, shapes) with their counts of pages, labelled and good ones."""
-    state = shaped.withColumn("template", F.lit(""))
-    deepest = shaped.agg(F.max(F.size("shapes"))).first()[0] or 0  # at most DEPTH + 1
-    for level in range(1, deepest + 1):
-        state = state.withColumn("segment", F.try_element_at("shapes", F.lit(level)))
-        child = _summed(state.where("segment IS NOT NULL"), "host", "template", "segment")
-        node = _summed(child, "host", "template").withColumnsRenamed({c: f"all_{c}" for c in ("pages", "labelled", "good")})
+    counts = (*COUNTS, "rows")
+    columns = ("host", "shapes", *COUNTS, "template")
+    state, done, level = shaped.withColumns({"template": F.lit(""), "open": F.size("shapes") > 0}), [], 0
+    while True:
+        done.append(state.where("NOT open").select(*columns))
+        state = state.where("open")
+        if state.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        level += 1
+        state = state.withColumns({"segment": F.element_at("shapes", level), "rows": F.lit(1)})
+        child = _summed(state, "host", "template", "segment", counts=counts)
+        node = _summed(child, "host", "template", counts=counts).withColumnsRenamed({c: f"all_{c}" for c in counts})
         share = F.col("all_good") / F.greatest(F.col("all_labelled"), F.lit(1))
         apart = F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - share) > SPREAD * F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
         common = F.col("pages") >= LEAST_PAGES
+        splits = (F.col("all_good") > 0) & (F.col("all_good") < F.col("all_labelled")) & (F.col("all_rows") > 1)
         branch = child.join(node, ["host", "template"]).select(
-            "host", "template", "segment", F.when(common & (F.col("labelled") > 0) & apart, F.col("segment")).otherwise("*").alias("branch"))
+            "host", "template", "segment", splits.alias("splits"), F.when(common & (F.col("labelled") > 0) & apart, F.col("segment")).otherwise("*").alias("branch"))
+        rest = F.when(F.col("splits"), "").otherwise(F.repeat(F.lit("/*"), F.size("shapes") - level))
         state = written_once(
-            state.join(branch, ["host", "template", "segment"], "left").select(
-                "host", "shapes", "pages", "labelled", "good",
-                F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template")),
+            state.join(branch, ["host", "template", "segment"]).select(
+                *columns[:-1], F.concat("template", F.lit("/"), "branch", rest).alias("template"), (F.col("splits") & (F.size("shapes") > level)).alias("open")),
             "templates")
-    return state
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFrame:

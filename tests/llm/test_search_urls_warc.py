@@ -141,6 +141,18 @@ def test_a_small_bad_section_of_a_hot_host_is_blocked(spark):
     assert {r.page_id for r in found if r.verdict == "block"} == bad
 
 
+def test_branches_of_any_depth(spark):
+    sections = {"/en/shop/a/b/c/d/good": 1, "/en/shop/a/b/c/d/spam": 0, "/x/a/b/c/d/e/f/g/h/i/j/good": 1, "/x/a/b/c/d/e/f/g/h/i/j/spam": 0}
+    pages = [(i, f"http://deep.example{list(sections)[i % 4]}/{i}") for i in range(400)]
+    labels = [(i, list(sections.values())[i % 4]) for i in range(400)]
+    pages += [(1000, f"http://deep.example/{'/'.join(str(i) for i in range(500))}"), (1001, "http://deep.example"), (1002, "http://deep.example/en/shop/a/b/c/d/spam"), (1003, "http://deep.example/en/shop")]
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), {}).collect()
+    assert len(found) == len(pages) and {(r.page_id % 4, r.verdict) for r in found if r.page_id < 400} == {(0, "allow"), (1, "block"), (2, "allow"), (3, "block")}
+    templates = {r.page_id: r.template for r in found}
+    assert templates[0] == "deep.example/*/*/*/*/*/*/good/*" and templates[3] == "deep.example/*/*/*/*/*/*/*/*/*/*/*/spam/*"
+    assert templates[1000] == "deep.example" + "/*" * 500 and templates[1001] == "deep.example" and templates[1002] == "deep.example/*/*/*/*/*/*/spam"
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     random_ = random.Random(k)
