@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, quality, url_filter, vector_dedup, warc
+from busloom.llm import ann, bpe, language, lexical, line_dedup, ngram_join, packing, quality, url_filter, vector_dedup, warc, whitening
 
 
 GOOD_SCORE = 0.3
@@ -81,12 +81,22 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(coded)
 
 
+def op11_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, folder, "embeddings"))
+
+
+def op12_mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
     op5_hilbert_search, op6_minhash_join, op7_subspace_dedup, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
+    op11_cholesky_whitening, op12_mask_search,
 )}
 
 SQL: dict[str, str] = {
     "op4_url_templates": url_filter.judge_sql(URL_RULES),
     "op8_warc_merge": warc.archive_sql(),
+    "op12_mask_search": lexical.search_sql(),
 }
