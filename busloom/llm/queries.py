@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from busloom.llm import ann, bpe, language, lexical, line_dedup, ngram_join, packing, quality, url_filter, vector_dedup, warc, whitening
+from busloom.llm import ann, bpe, language, lexical, line_dedup, ngram_join, packing, quality, token_counts, url_filter, vector_dedup, warc, whitening
 
 
 GOOD_SCORE = 0.3
@@ -89,10 +89,14 @@ def op12_mask_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_power_of_two_packing, op2_language_id, op3_compression_quality, op4_url_templates,
     op5_hilbert_search, op6_minhash_join, op7_subspace_dedup, op8_warc_merge, op9_line_dedup, op10_bpe_round_trip,
-    op11_cholesky_whitening, op12_mask_search,
+    op11_cholesky_whitening, op12_mask_search, op13_token_counts,
 )}
 
 SQL: dict[str, str] = {
