@@ -100,20 +100,28 @@ def blocks_for(count: Column, size: int) -> Column:
 
 
 def hash_sample(rows: DataFrame, kind: str, per_kind: int) -> DataFrame:
-    """At most ``per_kind`` rows of each ``kind`` (few kinds), those with the least hash of doc_id, with their rank.
+    """doc_id, ``kind``, rank of at most ``per_kind`` documents of each kind (few kinds), those with the least hash of doc_id.
 
-    A share fixed by each kind's count, four times what is wanted, passes first; so what meets
-    for ranking is bounded however many rows and tasks there are.
+    An id counts once, however many rows repeat it; with several kinds it is of the least.  A share
+    fixed by each kind's number of ids, four times what is wanted, passes first; so what meets for ranking is
+    bounded however many rows and tasks there are.
     """
-    shares = {r[0]: min(1.0, 4 * per_kind / r[1]) for r in rows.groupBy(kind).count().collect()}
+    ids = rows.groupBy(kind).agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    shares = {r[0]: min(1.0, 4 * per_kind / max(1, r[1])) for r in ids}
     if not shares:
-        return rows.withColumn("rank", F.lit(0))
+        return rows.select("doc_id", kind, F.lit(0).alias("rank"))
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(kind)]
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    ranked = rows.where(place < share * (1 << 31)).withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(place, "doc_id")))
+    passed = rows.where(place < share * (1 << 31)).groupBy("doc_id").agg(F.min(kind).alias(kind))
+    ranked = passed.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(place, "doc_id")))
     return ranked.where(F.col("rank") <= per_kind)
 
 
+def least_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per ``keys``: of the texts that share them, the one with the least digest."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.sha1(F.encode("text", "UTF-8"))).alias("text"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): node, component (its smallest node), for nodes with a link.
 

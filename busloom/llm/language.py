@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import appended, hash_sample, pairs_of, to_batches
+from busloom.llm.common import appended, hash_sample, least_text, pairs_of, to_batches
 from busloom.llm.linear import calibrate, fit_svm
 
 TRAINING_ROWS = 4000
@@ -161,7 +161,8 @@ def _sample(docs: DataFrame, trainable: Column, rows: int) -> DataFrame:
     per_language = max(2, rows // max(1, languages))
     picked = hash_sample(usable.select("doc_id", "lang"), "lang", per_language)
     # The broadcast side has at most ``rows`` rows (two for each language, if there are more languages).
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
+    return least_text(texts, "doc_id", "lang", "rank")
 
 
 def fit(docs: DataFrame, trainable: Column, rows: int = TRAINING_ROWS) -> LanguageModel:
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, trainable: Column, rows: int = TRAINING_ROWS) -> Langua
     ``rows`` bounds the sample: that many documents in all, the same number of each language,
     taken by hash.  n-grams are counted in tasks; the sums that reach the driver are one sparse row
     per sampled document.  Every fifth document calibrates.  Rows with a null text, language
-    or id teach nothing.  A language outside the family table is a family of its own.
+    or id teach nothing; an id teaches once, its least language and of that the text with the least digest.  A language outside the family table is a family of its own.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

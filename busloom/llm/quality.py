@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
-from busloom.llm.common import appended, hash_sample
+from busloom.llm.common import appended, hash_sample, least_text
 from busloom.llm.linear import calibrate, logistic, rising_curve
 
 PER_CLASS = 3000
@@ -126,13 +126,13 @@ def fit(
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); ``trainable`` is a condition on doc_id.
 
     ``per_class`` bounds what is collected: that many documents of each label at most, of which
-    every fourth calibrates.  The calibration weighs both labels by their counts in ``labels``.
+    every fourth calibrates; of an id's texts, the one with the least digest.  The calibration weighs both labels by their counts in ``labels``.
     Without labels of both kinds the score is the smoothed share of label 1 for every document.
     """
     picked = sample_of(labels, trainable, per_class)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The broadcast side has at most 2 * per_class rows of three numbers.
-    sample = written_once(texts.join(F.broadcast(picked), "doc_id"), "quality-sample")
+    sample = written_once(least_text(texts.join(F.broadcast(picked), "doc_id"), "doc_id", "quality", "rank"), "quality-sample")
     rows = sorted(((r.quality, r.rank, r.text) for r in sample.toLocalIterator()), key=lambda r: r[:2])
     shares = {r.quality: r.n for r in labels.where(F.col("quality").isin(0, 1) & trainable).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     sides = [_dictionary([t for q, rank, t in rows if q == side and rank % CALIBRATION_SHARE], dictionary_bytes, chunk, level) for side in (1, 0)]

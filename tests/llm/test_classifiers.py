@@ -66,6 +66,66 @@ def test_language_edges(spark, language_model):
     assert {r.lang_pred for r in language.identify(spark.createDataFrame(EDGE, EDGE_DDL), one).collect()} == {"und", "xx"}
 
 
+def test_repeated_ids_teach_once(spark, docs):
+    """A hot id is one row of the sample; an id that also comes with a null text is no trouble."""
+    own = docs.select("doc_id", "text", "lang").limit(40)
+    hot = [(1_000_000, f"der text nummer {i} und mehr", "de") for i in range(300)] + [(1_000_000, None, "de"), (1_000_001, "ein wort", "de"), (1_000_001, None, "de")]
+    rows = own.unionByName(spark.createDataFrame(hot, own.schema))
+    sample = language._sample(rows, F.lit(True), 4000).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == 42
+    assert language.fit(rows, F.lit(True)).members
+    labels = spark.createDataFrame([(1_000_000, 1)] * 3 + [(1_000_001, 0)], "doc_id long, quality int")
+    texts = quality.least_text(rows.join(quality.sample_of(labels, F.lit(True), 10), "doc_id"), "doc_id", "quality", "rank").collect()
+    assert sorted(r.doc_id for r in texts) == [1_000_000, 1_000_001]
+    assert 0 <= quality.fit(rows, labels, F.lit(True)).probability(0, 10) <= 1
+
+
+def plain_language(model, text):
+    """Machine by machine and word by word, without tables."""
+    counts = np.zeros(language.DIMENSIONS)
+    for word in text.lower().split():
+        for feature in language.word_features(word):
+            counts[feature] += 1
+    if not counts.sum():
+        return "und"
+    sure = 1 / (1 + np.exp(-(model.slopes * (counts / counts.sum() @ model.weights + model.biases) + model.offsets)))
+    first = len(model.family_machines)
+    family = model.family_machines[int(np.argmax(sure[:first]))]
+    votes = {x: 0.0 for x in model.members[family]}
+    for k, (a, b) in enumerate(model.pairs, start=first):
+        if a in votes:
+            votes[a if sure[k] >= 0.5 else b] += 1
+    return max(votes, key=votes.get)
+
+
+def test_language_equals_the_plain_definition(docs, language_model):
+    rows = language.identify(docs.where("doc_id % 10 = 3"), language_model).collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert r.lang_pred == plain_language(language_model, r.text or ""), r.doc_id
+
+
+def test_quality_equals_the_plain_definition(spark, docs):
+    import zstandard
+
+    model = queries.quality_model(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+
+    def size(data, content, trained):
+        kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+        packer = zstandard.ZstdCompressor(
+            level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind),
+            write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(packer.compress(data[i : i + model.chunk])) for i in range(0, len(data), model.chunk))
+
+    for r in quality.score(docs.where("doc_id % 25 = 4"), model).collect():
+        data = (r.text or "").encode()
+        good, bad = (size(data, c, t) for c, t in zip((model.good, model.bad), model.trained, strict=True))
+        margin = (bad - good + quality.PRIOR_BYTES * model.typical) / (len(data) + quality.PRIOR_BYTES)
+        smooth = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        expected = 0.95 * np.interp(margin, model.knots, model.values) + 0.05 * smooth
+        assert r.score == pytest.approx(expected, abs=1e-9), r.doc_id
+
+
 def test_held_out_languages_teach_nothing(spark, docs, language_model):
     changed = docs.withColumn("lang", F.when(queries._held_out(4, 2), "xx").otherwise(F.col("lang")))
     again = queries.language_model(changed)
