@@ -37,6 +37,7 @@ ARCHIVE_BYTES = 64 << 20
 GZIP_LEVEL = 4
 READ_BYTES = 1 << 20
 ROWS_PER_RANGE = 50_000
+READERS_PER_CORE = 4
 
 RUNS = pa.schema([
     ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("run", pa.int32()), ("seq", pa.int64()),
@@ -60,8 +61,9 @@ def _headers(fields: Iterable[tuple[str, object]]) -> bytes:
     return "\r\n".join(x.replace("\r", "%0D").replace("\n", "%0A") for x in lines).encode() + b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, captured: str, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response with the payload, or a revisit without it."""
+def record(page_id: int | None, url: str | None, captured: str, payload: bytes | None, size: int, digest: str, refers_to: int | None,
+           first_url: str | None = None, first_captured: str | None = None) -> bytes:
+    """One record: a response with the payload, or a revisit without it that names the response's page, URL and date."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if payload is None else http + payload
     fields = [
@@ -71,7 +73,9 @@ def record(page_id: int | None, url: str | None, captured: str, payload: bytes |
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
     ]
     if payload is None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-ID", refers_to), ("Payload-Length", size)]
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To-Target-URI", first_url), ("WARC-Refers-To-Date", first_captured), ("Refers-To-Page-ID", refers_to), ("Payload-Length", size)]
     return _headers([*fields, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]) + block + b"\r\n\r\n"
 
 
@@ -97,18 +101,24 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def captures(pages: DataFrame, captured: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, url_key, captured, payload (null for a revisit), size, digest, refers_to."""
+    """page_id, url, url_key, captured, payload (null for a revisit), size, digest, refers_to and the response's first_url, first_captured."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), payload.alias("payload")
+        F.coalesce(F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("captured"), payload.alias("payload")
     ).withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    copied = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = keyed.join(copied.select("digest", "first"), "digest", "left")
+    copied = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(
+        F.max(F.struct("page_id", "captured", "url")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    copied = copied.select(
+        F.col("digest").alias("meets"), F.col("one.page_id").alias("first"), F.col("one.captured").alias("first_captured"), F.col("one.url").alias("first_url"))
+    # Short payloads meet nothing, so they are spread instead of sharing a few digests.
+    meets = F.when(F.col("size") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url"))))
+    known = keyed.withColumn("meets", meets).join(copied, "meets", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.select(
-        "page_id", "url", url_key(F.col("url")).alias("url_key"), F.coalesce("captured", F.lit("1970-01-01T00:00:00Z")).alias("captured"),
-        F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
+        "page_id", "url", url_key(F.col("url")).alias("url_key"), "captured",
+        F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest",
+        *(F.when(revisit, F.col(c)).alias(as_) for c, as_ in (("first", "refers_to"), ("first_url", "first_url"), ("first_captured", "first_captured"))))
 
 
 def write_archives(found: DataFrame, folder: str) -> DataFrame:
@@ -122,15 +132,16 @@ def write_archives(found: DataFrame, folder: str) -> DataFrame:
         def rows() -> Iterator[tuple]:
             stream, name, at, seq = None, "", 0, 0
             try:
-                for key, captured, page_id, *rest in pairs_of(batches, "url_key", "captured", "page_id", "url", "payload", "size", "digest", "refers_to"):
+                columns = ("url", "payload", "size", "digest", "refers_to", "first_url", "first_captured")
+                for key, captured, page_id, *rest in pairs_of(batches, "url_key", "captured", "page_id", *columns):
                     if stream is None or at >= ARCHIVE_BYTES:
                         if stream is not None:
                             stream.close()
                         name, at = f"{number:06d}-{uuid4().hex}.warc.gz", 0
                         stream = store.open_output_stream(f"{root}/{name}", compression=None)
-                    url, payload, size, digest, refers_to = rest
+                    url, *rest = rest
                     packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-                    member = packer.compress(record(page_id, url, captured, payload, size, digest, refers_to)) + packer.flush()
+                    member = packer.compress(record(page_id, url, captured, *rest)) + packer.flush()
                     stream.write(member)
                     yield key, captured, page_id, number, seq, name, at, len(member)
                     at, seq = at + len(member), seq + 1
@@ -263,6 +274,9 @@ def archive_pages(pages: DataFrame, captured: Column, least_bytes: int = LEAST_B
     runs = write_archives(captures(pages, captured, least_bytes), folder)
     index = merged_index(runs)
     archives = runs.select("archive").distinct()
+    # A few short names that stand for much work: an explicit number of tasks, which runtime re-planning leaves as it is.
+    readers = min(archives.count(), READERS_PER_CORE * pages.sparkSession.sparkContext.defaultParallelism)
+    archives = archives.repartition(max(1, readers))
     # The planner takes the archives' few names for the size of what is read from them.
     read = read_archives(archives, folder).hint("merge")
     return index.drop("page_id").join(read, ["archive", "start"]).select(

@@ -188,6 +188,22 @@ def test_archives_round_trip(spark, monkeypatch):
         assert warc.parse(gzip.decompress(f.read_at(some.length, some.start)))[:2] == (74, 3_000_000)
 
 
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = spark.range(400).selectExpr("id AS page_id", "'http://a/' || id AS url", "repeat(sha2(CAST(id AS STRING), 256), 20) AS html").repartition(4)
+    tasks = []
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda archives, folder: read(tasks.append(archives.rdd.getNumPartitions()) or archives, folder))
+    rows = warc.archive_pages(pages, F.lit(None).cast("timestamp")).collect()
+    assert len(rows) == 400 and tasks[0] > 8
+
+
+def test_revisits_name_their_response():
+    data = warc.record(1, "http://x", "1970-01-01T00:00:00Z", None, 3, "a9993e364706816aba3e25717850c26c9cd0d89d", 7, "http://y", "1999-01-01T00:00:00Z")
+    assert b"WARC-Refers-To-Target-URI: http://y\r\n" in data and b"WARC-Refers-To-Date: 1999-01-01T00:00:00Z\r\n" in data
+    assert warc.parse(data) == (1, 3, "a9993e364706816aba3e25717850c26c9cd0d89d", "revisit", 7)
+
+
 def _archive_folder(spark):
     """The archives' folder of the last test run: the newest below the shared one."""
     from busloom.session import shared_dir
