@@ -6,7 +6,7 @@ left out.  With ``meet_shorter`` the longer line of a pair decides, so a line at
 of one word less too.  Earlier means a smaller document id, then a smaller line number; the earliest stays.
 
 Leaving one word out of both lines makes two lines within the bound equal, so equal variants are the
-candidates.  Three things keep this small at scale:
+candidates.  Four things keep this small at scale:
 
 * Equal lines are merged first, by an aggregate on their digest.
 * *Which part.*  Lines are cut into ``PARTS`` parts.  If two lines differ by one edit, it lies in one
@@ -15,6 +15,8 @@ candidates.  Three things keep this small at scale:
 * *Which key.*  A variant for a replaced word keeps the word's place, so all lines that share it are
   neighbours of each other.  A variant for a word put in equals exactly one whole line.  Either way
   the earliest neighbour is a minimum per key: no pairs within a group are made, however large it is.
+* *One step per variant.*  A variant's key is a polynomial in the line's word hashes, so leaving a word out or
+  replacing it changes one term: a line of n words costs n, not n squared.
 
 Each line's candidates, one per shared variant, are then verified by their edit distance.
 """
@@ -22,6 +24,7 @@ Each line's candidates, one per shared variant, are then verified by their edit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +40,18 @@ NEAR_WORDS = 8
 LEAST_WORDS = 1
 NEAR_EVERY = {"near_words": 3, "meet_shorter": True}  # below, one edit may leave no word in common
 LAST = (1 << 63) - 1  # place of documents without an id
+PRIME = (1 << 61) - 1
+BASE = 0x1B873593CC9E2D51 % PRIME
+MARK = 0x0A  # stands for a replaced word
+INSERTED, REPLACED = 0, 1 << 61  # told apart above the prime
 
 
 def words_of(line: str) -> list[str]:
     return line.lower().split()
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxh3_128_digest(" ".join(words))
+def _joined(words: list[str]) -> bytes:
+    return " ".join(words).encode()
 
 
 def _signed(x: int) -> int:
@@ -55,17 +62,18 @@ def part_bounds(length: int) -> list[tuple[int, int]]:
     return [(length * i // PARTS, length * (i + 1) // PARTS) for i in range(PARTS)]
 
 
-def rest_keys(words: list[str]) -> list[int]:
+def rest_keys(joined: bytes) -> list[int]:
     """For the length n, then n - 1 (the line as the longer of a pair): for each part the hash of the rest.
 
     Key number i of length l is the hash of what a pair whose shorter line has l words shares if
     its edit lies in part i: the words before the part, and as many words from the end as follow it.
     """
-    n, found = len(words), []
+    starts = [0, *accumulate(len(w) + 1 for w in joined.split(b" "))]
+    n, found = len(starts) - 1, []
     for short in (n, n - 1):
         for i, (start, end) in enumerate(part_bounds(short)):
-            after = words[n - (short - end) :] if short > end else []
-            found.append(_signed(xxh3_64_intdigest(f"{short} {i} {' '.join(words[:start])}\n{' '.join(after)}")))
+            rest = b"%b\n%b" % (joined[: starts[start]], joined[starts[n - (short - end)] :])
+            found.append(_signed(xxh3_64_intdigest(rest, PARTS * short + i)))
     return found
 
 
@@ -77,19 +85,22 @@ def variants(words: list[str], parts: list[int], near_words: int = 0) -> Iterato
     A line of less than ``near_words`` words is only ever the shorter of a pair.
     """
     n, whole = len(words), False
+    hashes = list(map(xxh3_64_intdigest, words))
+    before = list(accumulate(hashes, lambda sum_, h: (sum_ * BASE + h) % PRIME, initial=0))
+    powers = list(accumulate(range(n), lambda power, _: power * BASE % PRIME, initial=1))
     bounds = [part_bounds(n), part_bounds(n - 1)]
     for number in parts:
         longer, i = divmod(number, PARTS)
         start, end = bounds[longer][i]
         if longer:
             for at in range(start, end + 1):
-                yield 2, _signed(xxh3_64_intdigest("in " + " ".join(words[:at] + words[at + 1 :])))
+                yield 2, INSERTED | (before[n] - (before[at + 1] - before[at]) * powers[n - 1 - at]) % PRIME
         else:
             for at in range(start, end if n >= near_words else start):
-                yield 0, _signed(xxh3_64_intdigest("re " + " ".join([*words[:at], "\n", *words[at + 1 :]])))
+                yield 0, REPLACED | (before[n] - (hashes[at] - MARK) * powers[n - 1 - at]) % PRIME
             if not whole:
                 whole = True
-                yield 1, _signed(xxh3_64_intdigest("in " + " ".join(words)))
+                yield 1, INSERTED | before[n]
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -105,56 +116,59 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
 
 
 def _lines(docs: DataFrame, near_words: int, least_words: int, meet_shorter: bool) -> DataFrame:
-    """digest, doc, line, keys of every line of ``least_words`` words or more."""
-    schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    """digest, doc, tie, line, keys of every line of ``least_words`` words or more."""
+    schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for doc, text in pairs_of(batches, "doc", "text"):
+            for doc, tie, text in pairs_of(batches, "doc", "tie", "text"):
                 for number, line in enumerate((text or "").split("\n")):
                     words = words_of(line)
                     if len(words) >= least_words:
-                        keys = rest_keys(words) if len(words) >= near_words - meet_shorter else None
-                        yield _digest(words), doc, number, keys[:PARTS] if keys and len(words) < near_words else keys
+                        joined = _joined(words)
+                        keys = rest_keys(joined) if len(words) >= near_words - meet_shorter else None
+                        yield xxh3_128_digest(joined), doc, tie, number, keys[:PARTS] if keys and len(words) < near_words else keys
 
         yield from to_batches(found(), schema)
 
-    return docs.select("doc", "text").mapInArrow(run, "digest binary, doc long, line int, keys array<long>")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "digest binary, doc long, tie long, line int, keys array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, doc, line, parts and text of wanted lines (digest, doc, line, parts), by their place."""
-    schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("line", pa.int32()), ("parts", pa.list_(pa.int32())), ("words", pa.string())])
+    """digest, doc, tie, line, parts and text of wanted lines (digest, doc, tie, line, parts), by their place."""
+    schema = pa.schema([
+        ("digest", pa.binary()), ("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("parts", pa.list_(pa.int32())), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for doc, text, places in pairs_of(batches, "doc", "text", "places"):
+            for doc, tie, text, places in pairs_of(batches, "doc", "tie", "text", "places"):
                 lines = (text or "").split("\n")
                 for place in places:
-                    words = words_of(lines[place["line"]]) if place["line"] < len(lines) else []
-                    if _digest(words) == place["digest"]:  # an id may be repeated with another text
-                        yield place["digest"], doc, place["line"], place["parts"], " ".join(words)
+                    joined = _joined(words_of(lines[place["line"]])) if place["line"] < len(lines) else b""
+                    if xxh3_128_digest(joined) == place["digest"]:  # two texts of an id may have the same tie
+                        yield place["digest"], doc, tie, place["line"], place["parts"], joined.decode()
 
         yield from to_batches(found(), schema)
 
-    # A list has at most as many places as the document has lines.
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "digest", "parts")).alias("places"))
-    return docs.select("doc", "text").join(lists, "doc").mapInArrow(run, "digest binary, doc long, line int, parts array<int>, words string")
+    # A list has at most as many places as the text has lines.
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "digest", "parts")).alias("places"))
+    return docs.select("doc", "tie", "text").join(lists, ["doc", "tie"]).mapInArrow(
+        run, "digest binary, doc long, tie long, line int, parts array<int>, words string")
 
 
 def _neighbours(texts: DataFrame, near_words: int) -> DataFrame:
     """digest and candidate place of the earliest line that shares a variant, if earlier than the line itself."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("digest", pa.binary()), ("doc", pa.int64()), ("line", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("digest", pa.binary()), ("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
-            (key, kind, digest, doc, line)
-            for digest, doc, line, parts, words in pairs_of(batches, "digest", "doc", "line", "parts", "words")
+            (key, kind, digest, doc, tie, line)
+            for digest, doc, tie, line, parts, words in pairs_of(batches, "digest", "doc", "tie", "line", "parts", "words")
             for kind, key in variants(words.split(" "), parts, near_words)
         )
         yield from to_batches(rows, schema)
 
-    emitted = texts.mapInArrow(run, "key long, kind int, digest binary, doc long, line int").withColumn("place", F.struct("doc", "line"))
+    emitted = texts.mapInArrow(run, "key long, kind int, digest binary, doc long, tie long, line int").withColumn("place", F.struct("doc", "tie", "line"))
     emitted = written_once(emitted.select("key", "kind", "digest", "place"), "variants")
     earliest = emitted.groupBy("key").agg(
         F.count("*").alias("n"),
@@ -164,7 +178,7 @@ def _neighbours(texts: DataFrame, near_words: int) -> DataFrame:
     ).where("n > 1").drop("n")
     candidate = F.expr("CASE kind WHEN 0 THEN replaced WHEN 1 THEN shortened ELSE whole END")
     return emitted.join(earliest, "key").select("digest", "place", candidate.alias("candidate")).where("candidate < place").select(
-        "digest", F.col("candidate.doc").alias("doc"), F.col("candidate.line").alias("line")).distinct()
+        "digest", F.col("candidate.doc").alias("doc"), F.col("candidate.tie").alias("tie"), F.col("candidate.line").alias("line")).distinct()
 
 
 def _too_near(texts: DataFrame, near_words: int) -> DataFrame:
@@ -177,7 +191,8 @@ def _too_near(texts: DataFrame, near_words: int) -> DataFrame:
         )
         yield from to_batches(rows, pa.schema([("digest", pa.binary())]))
 
-    pairs = _neighbours(texts, near_words).join(texts.select("doc", "line", F.col("words").alias("other")), ["doc", "line"])
+    pairs = _neighbours(texts, near_words).join(
+        texts.select("doc", "tie", "line", F.col("words").alias("other")), ["doc", "tie", "line"])
     pairs = pairs.select("digest", "other").join(texts.select("digest", F.col("words").alias("mine")), "digest")
     return pairs.mapInArrow(run, "digest binary").distinct()
 
@@ -193,28 +208,30 @@ def dedup_lines(
     on (of both lines, or of the longer one with ``meet_shorter``) the bound is one edit, below it
     equality.  A line whose earlier neighbour goes itself still
     goes.  All columns of ``docs`` come back, text changed; one row per row.  A null text stays null
-    (0 lines), an empty one has one empty line.  Rows with a null doc_id come last in the order and
-    count as one document; rows that repeat a doc_id count as one document too, so what stays of
-    it stays in every copy.  An empty table gives no rows.  Columns called as ``counts`` are
+    (0 lines), an empty one has one empty line.  Rows with a null doc_id come last in the order.  Among them, and
+    among rows of one doc_id, texts follow each other by their hash; rows that repeat both count as one document,
+    so what stays of it stays in every copy.  An empty table gives no rows.  Columns called as ``counts`` are
     replaced, others come back.  Intermediates are written while the frame is built.
     """
-    placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
+    whole, order = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    placed = docs.select(order.alias("doc"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
     lines = written_once(
-        _lines(placed, near_words, least_words, meet_shorter).groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("keys").alias("keys")),
-        "lines").select("digest", "place.doc", "place.line", "keys")
+        _lines(placed, near_words, least_words, meet_shorter).groupBy("digest").agg(F.min(F.struct("doc", "tie", "line")).alias("place"), F.first("keys").alias("keys")),
+        "lines").select("digest", "place.doc", "place.tie", "place.line", "keys")
     # A short stand-in for the digest: if two collide, a line emits variants in vain.
     keyed = lines.where("keys IS NOT NULL").select(F.xxhash64("digest").alias("id"), F.posexplode("keys").alias("part", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     parts = keyed.join(shared, "key").groupBy("id").agg(F.collect_set("part").alias("parts"))  # at most 2 * PARTS numbers
-    wanted = lines.select(F.xxhash64("digest").alias("id"), "digest", "doc", "line").join(parts, "id").drop("id")
-    # The same line may come back twice, from two rows of one doc_id.
+    wanted = lines.select(F.xxhash64("digest").alias("id"), "digest", "doc", "tie", "line").join(parts, "id").drop("id")
+    # The same line may come back twice, from two rows with one doc_id and text.
     texts = written_once(_texts(placed, wanted).dropDuplicates(["digest"]), "near-lines")
     near = written_once(_too_near(texts, near_words), "too-near")
-    place, stays_in = unused(docs, "place"), unused(docs, "stay")
-    stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.struct("line", "digest")).alias(stays_in))
-    joined = docs.withColumn(place, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(stay, place, "left")
+    place, tie, stays_in = unused(docs, "place"), unused(docs, "tie"), unused(docs, "stay")
+    stay = lines.join(near, "digest", "left_anti").groupBy(F.col("doc").alias(place), F.col("tie").alias(tie)).agg(
+        F.collect_list(F.struct("line", "digest")).alias(stays_in))
+    joined = docs.withColumns({place: order, tie: F.xxhash64(whole)}).join(stay, [place, tie], "left")
     out = StructType.fromDDL(f"text string, `{counts[0]}` int, `{counts[1]}` int, `{counts[2]}` int")
-    old = [f for f in joined.schema.fields if f.name not in (*out.names, place, stays_in)]
+    old = [f for f in joined.schema.fields if f.name not in (*out.names, place, tie, stays_in)]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rest_of(text: str | None, stays: list[dict] | None) -> tuple:
@@ -225,7 +242,7 @@ def dedup_lines(
             for number, line in enumerate(every):
                 words = words_of(line)
                 long = len(words) >= least_words
-                if not long or (number, _digest(words)) in found:
+                if not long or (number, xxh3_128_digest(_joined(words))) in found:
                     rest.append(line)
                     own += long
             return "\n".join(rest), len(every), len(rest), own

@@ -1,12 +1,15 @@
 """The n-gram join, line deduplication and vector deduplication against brute force."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from busloom.llm import line_dedup, ngram_join, vector_dedup
 
 RANDOM = random.Random(11)
@@ -97,14 +100,20 @@ def test_jaccard_join_of_nothing(spark):
     assert ngram_join.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def place_of(doc, text, n):
+    """Where a line stands in the order: by id (none last), then the text's hash, then its number."""
+    x = xxh64_intdigest(text.encode(), 42)
+    return line_dedup.LAST if doc is None else doc, x - (1 << 64) if x >> 63 else x, n
+
+
 def brute_lines(rows):
     """Place of every kept line, from all pairs of distinct lines."""
     first = {}
-    for doc, text in sorted(((line_dedup.LAST if d is None else d, t) for d, t in rows if t is not None), key=lambda r: r[0]):
+    for doc, text in (r for r in rows if r[1] is not None):
         for n, line in enumerate(text.split("\n")):
-            words = tuple(line_dedup.words_of(line))
+            words, place = tuple(line_dedup.words_of(line)), place_of(doc, text, n)
             if len(words) >= line_dedup.LEAST_WORDS:
-                first[words] = min(first.get(words, (doc, n)), (doc, n))
+                first[words] = min(first.get(words, place), place)
     near = set()
     every = [(w, p) for w, p in first.items() if len(w) >= line_dedup.NEAR_WORDS]
     for x, (a, p) in enumerate(every):
@@ -158,7 +167,7 @@ def test_lines_within_one_edit_share_a_rest_and_a_variant():
         b[at : at + RANDOM.randrange(2)] = ["x"] * RANDOM.randrange(2)
         if a == b or edit_distance(a, b) > 1:
             continue
-        keys = [line_dedup.rest_keys(w) for w in (a, b)]
+        keys = [line_dedup.rest_keys(" ".join(w).encode()) for w in (a, b)]
         shared = set(keys[0]) & set(keys[1])
         assert shared
         emitted = [set(line_dedup.variants(w, [i for i, k in enumerate(ks) if k in shared])) for w, ks in zip((a, b), keys)]
@@ -182,7 +191,7 @@ def test_line_dedup_equals_brute_force(spark):
         kept = []
         for n, line in enumerate(text.split("\n")):
             words = tuple(line_dedup.words_of(line))
-            if len(words) < line_dedup.LEAST_WORDS or first[words] == (line_dedup.LAST if doc is None else doc, n) and words not in near:
+            if len(words) < line_dedup.LEAST_WORDS or first[words] == place_of(doc, text, n) and words not in near:
                 kept.append(line)
         expected.append((doc, "\n".join(kept), len(text.split("\n")), len(kept)))
     assert sorted(((r.doc_id, r.text, r.lines_in, r.lines_out) for r in found), key=str) == sorted(expected, key=str)
@@ -197,8 +206,8 @@ def test_every_line_is_compared(spark):
     first = {}
     for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         for n, line in enumerate(text.split("\n")):
-            words = tuple(line_dedup.words_of(line))
-            first[words] = min(first.get(words, (doc, n)), (doc, n))
+            words, place = tuple(line_dedup.words_of(line)), place_of(doc, text, n)
+            first[words] = min(first.get(words, place), place)
     every, near = list(first.items()), set()
     for x, (a, p) in enumerate(every):
         for b, q in every[x + 1 :]:
@@ -207,7 +216,7 @@ def test_every_line_is_compared(spark):
     expected = []
     for doc, text in rows:
         lines = [] if text is None else text.split("\n")
-        own = [bool(w) and first[w] == (doc, n) and w not in near for n, w in enumerate(tuple(line_dedup.words_of(x)) for x in lines)]
+        own = [bool(w) and first[w] == place_of(doc, text, n) and w not in near for n, w in enumerate(tuple(line_dedup.words_of(x)) for x in lines)]
         left = [x for x, o in zip(lines, own) if o or not x.strip()]
         expected.append((doc, None if text is None else "\n".join(left), len(left), sum(own)))
     assert sorted(((r.doc_id, r.text, r.lines_out, r.lines_own) for r in found), key=str) == sorted(expected, key=str)
@@ -215,6 +224,27 @@ def test_every_line_is_compared(spark):
     assert [left[i] for i in range(600, 609)] == ["les.", "only here", "e1 e2 e3 e4 e5 e6 e7 e8", "", "f1 f2 f3", "", "f1", "g1 g2", "g1 x2"]
 
 
+def test_a_line_of_200_000_words_costs_its_length(spark):
+    words = [f"w{i % 977}" for i in range(200_000)]
+    other = [*words[:70_000], "odd", *words[70_001:]]
+    parts = list(range(2 * line_dedup.PARTS))
+    start = time.perf_counter()
+    emitted = [set(line_dedup.variants(w, parts)) for w in (words, other, words[:-1])]
+    assert time.perf_counter() - start < 20
+    assert {k for kind, k in emitted[0] if kind == 0} & {k for kind, k in emitted[1] if kind == 0}
+    assert {k for kind, k in emitted[0] if kind == 2} & {k for kind, k in emitted[2] if kind == 1}
+    rows = [(1, " ".join(words)), (2, " ".join(other) + "\nits own end"), (3, " ".join(words[:-1]))]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **line_dedup.NEAR_EVERY)
+    assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "its own end", 3: ""}
+
+
+def test_rows_without_an_id_have_lines_of_their_own(spark):
+    rows = [(None, f"the only line that number {i} has for itself {i * i}\nand one they share") for i in range(300)] + [(9, "and one they share")] * 2
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in found if r.doc_id is None) == sorted(t.split("\n")[0] for d, t in rows if d is None)
+    assert [r.text for r in found if r.doc_id == 9] == ["and one they share"] * 2
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
