@@ -11,10 +11,14 @@ from busloom.sources.tables import YARDS
 CALENDAR_YEARS = (1992, 2026)
 
 _BLOCKS: dict[str, str] = {}
+_kept: set[str] = set()
 
 
-def block(name: str, body: str) -> None:
+def block(name: str, body: str, kept: bool = False) -> None:
+    """``kept``: worked out once for all who read it, which a long chain of blocks needs."""
     _BLOCKS[name] = body
+    if kept:
+        _kept.add(name)
 
 
 def clone(prefix: str, names: list[str], **replaced: str) -> None:
@@ -40,7 +44,7 @@ def sql(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    blocks = ",\n".join(f"{n} AS ({_BLOCKS[n]})" for n in needed)
+    blocks = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _kept else ''}({_BLOCKS[n]})" for n in needed)
     return f"WITH {blocks}\n{body}"
 
 

@@ -1,4 +1,4 @@
-"""Queries over sources, sinks, trees and streams."""
+"""Queries over sources, sinks and streams."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busloom.operators import features, normalize, quality, trees
+from busloom.operators import normalize, quality
 from busloom.plans.common_sql import block, minutes, sql
-from busloom.plans.model_queries import folds_table, table
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import plain_series, ready
 from busloom.plans.stages import staged
@@ -22,8 +21,6 @@ from busloom.streaming import streams
 
 # An event that no real one follows; it closes the replayed streams.
 CLOSING = {"event_id": 1, "ts": "9000-01-01 00:00:00", "user_id": 0, "event_type": "closing", "value": 0.0}
-NUMERIC = ("hour", "weekday", "passengers_sum_lag_48", "passengers_sum_lag_96", "passengers_sum_lag_336", "trips_lag_48")
-TEXTS = ("route_id", "day_type", "day_part")
 
 block("counters_v", """SELECT l_orderkey AS trip_id, l_partkey * 1000 + l_suppkey AS counter_id, l_shipdate AS exit_date, CAST(l_quantity AS BIGINT) AS boardings_raw
   FROM lineitem WHERE l_linenumber = 2""")
@@ -105,31 +102,6 @@ def doubled_columns(s, d) -> DataFrame:
     return files.identical_columns(t, "trip_id")
 
 
-# The benchmark's plan spans a month, a seventh of the default plan's lengths; so do the days that decide when to stop.
-TREE_STOP_DAYS = trees.STOP_DAYS // 7
-
-
-@staged
-def tree_backtest(s, d) -> DataFrame:
-    """Predictions and fit diagnostics of all folds and both objectives, from one round of fits.
-
-    A prediction has no ``trees``, a row of diagnostics nothing else.
-    """
-    t = features.add_cycles(table(s, d))
-    predicted, diagnosed = trees.backtest_trees(t, folds_table(s, d), NUMERIC, TEXTS, stop_days=TREE_STOP_DAYS)
-    key = ["model", "fold", "split"]
-    rows = predicted.select(*key, "route_id", "timestamp", F.col("passengers_sum").alias("y_real"), "y_pred")
-    return rows.unionByName(diagnosed.select(*key, "trees", "gain"), allowMissingColumns=True)
-
-
-def tree_forecast(s, d) -> DataFrame:
-    return tree_backtest(s, d).filter("trees IS NULL")
-
-
-def tree_diagnostics(s, d) -> DataFrame:
-    return tree_backtest(s, d).filter("trees IS NOT NULL").select("model", "fold", "split", "trees", "gain")
-
-
 def stream_of(s, d, adapter) -> DataFrame:
     return adapter(streams.read_growing(s, d, "events"))
 
@@ -174,13 +146,6 @@ QUERIES = [
                   "printf('%.9e', distance)", "CAST(trip_status AS VARCHAR)")) + ")), 1, 15) AS HUGEINT)) AS VARCHAR) AS checksum FROM trips_v")),
     Query("io11_identical_columns", "column_a:s column_b:s", doubled_columns,
           sql(" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b FROM trips_v HAVING count(*) > 0" for a, b in _PAIRS))),
-    Query("b13_tree_forecast", "model:s fold:s split:s route_id:s timestamp:t y_real:f y_pred:f", tree_forecast),
-    Query("b13_tree_rows", "model:s fold:s split:s route_id:s timestamp:t y_real:f predicted:b",
-          lambda s, d: tree_forecast(s, d).withColumn("predicted", F.col("y_pred").isNotNull()),
-          sql("""SELECT model, f.fold, f.split, t.route_id, t.timestamp, t.passengers_sum AS y_real, true AS predicted
-                 FROM table_v t JOIN folds_v f ON t.timestamp >= f.eval_start AND t.timestamp < f.eval_end, (VALUES ('trees_l2'), ('trees_l1')) AS m(model)""")),
-    Query("b14_feature_importance", "model:s feature:s gain_mean:f place:i", lambda s, d: trees.importance_table(tree_diagnostics(s, d))),
-    Query("b14_tree_counts", "model:s folds:i mean:f std:f min:i max:i", lambda s, d: trees.tree_counts(tree_diagnostics(s, d))),
     Query("st1_stream_dedup", "trip_id:i",
           lambda s, d: streams.run_available(streams.dedup_trips(stream_of(s, d, raw_trips_from_events)).select("trip_id")),
           sql("SELECT DISTINCT trip_id FROM raw_trips_v WHERE trip_id IS NOT NULL AND actual_start IS NOT NULL")),
