@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.calendar import day_part, day_type, is_holiday
@@ -27,32 +27,25 @@ MEASURES = ("passengers_sum", "trips", "passengers_mean", "passengers_p95")
 SERIES = ("route_id", "gran_min")
 
 
-def demand_bins(
-    trips: DataFrame,
-    granularities: Sequence[int] = GRANULARITIES,
-    *,
-    route: str | None = "route_id",
-    ts: str = "actual_start",
-    passengers: str = "boardings",
-    key: str = "trip_id",
-) -> DataFrame:
-    """Sum, trip count, mean and exact p95 per (route, width, bin).
+def fine_counts(trips: DataFrame, width: int, *, route: str | None = "route_id", ts: str = "actual_start", passengers: str = "boardings",
+                key: str = "trip_id", by: dict[str, Column] | None = None) -> DataFrame:
+    """Trips counted per (route, bin of ``width`` minutes, passengers): what all wider bins, exact percentiles included, follow from.
 
-    All widths come from one pass: trips are first counted per (route, finest bin,
-    passengers), which collapses a hot route before the shuffle and keeps few rows per
-    bin; only these counts are then copied to each width.  ``route=None`` puts all
-    routes in one series with a null route.
+    ``by`` adds further columns to count by.
     """
     require_columns(trips, [ts, passengers, key])
-    finest = gcd(*granularities)
     rows = trips.filter(F.col(ts).isNotNull() & F.col(passengers).isNotNull())
     if route is not None:
         rows = rows.filter(F.col(route).isNotNull())
     route_col = F.col(route) if route is not None else F.lit(None).cast("string")
-    fine = rows.groupBy(
-        route_col.alias("route_id"), floor_to_minutes(ts, finest).alias("_fine"),
-        F.col(passengers).alias("_pax"),
+    return rows.groupBy(
+        route_col.alias("route_id"), floor_to_minutes(ts, width).alias("_fine"),
+        F.col(passengers).alias("_pax"), *(c.alias(n) for n, c in (by or {}).items()),
     ).agg(F.count(F.lit(1)).alias("_n"), F.count(key).alias("_keys"))
+
+
+def bins_of(fine: DataFrame, granularities: Sequence[int] = GRANULARITIES) -> DataFrame:
+    """Sum, trip count, mean and exact p95 per (route, width, bin), from ``fine_counts`` of a common divisor of the widths."""
     widths = F.explode(F.array(*[F.lit(g) for g in granularities]))
     wide = fine.withColumn("gran_min", widths).withColumn("timestamp", floor_to_minutes("_fine", "gran_min"))
     return wide.groupBy("route_id", "gran_min", "timestamp").agg(
@@ -63,6 +56,25 @@ def demand_bins(
     )
 
 
+def demand_bins(
+    trips: DataFrame,
+    granularities: Sequence[int] = GRANULARITIES,
+    *,
+    route: str | None = "route_id",
+    ts: str = "actual_start",
+    passengers: str = "boardings",
+    key: str = "trip_id",
+) -> DataFrame:
+    """Sum, trip count, mean and exact p95 per (route, width, bin).
+
+    All widths come from one pass: trips are first counted per (route, finest bin,
+    passengers), which collapses a hot route before the shuffle and keeps few rows per
+    bin; only these counts are then copied to each width.  ``route=None`` puts all
+    routes in one series with a null route.
+    """
+    return bins_of(fine_counts(trips, gcd(*granularities), route=route, ts=ts, passengers=passengers, key=key), granularities)
+
+
 def complete_grid(bins: DataFrame) -> DataFrame:
     """Every slot from the first to the last bin of each series; ``is_gap`` where none was."""
     spans = bins.groupBy(*SERIES).agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
@@ -129,7 +141,11 @@ def add_service_hours(series: DataFrame, hours: DataFrame) -> DataFrame:
 def calendar_series(trips: DataFrame, granularities: Sequence[int] = GRANULARITIES, *,
                     fill: str = "mark", **bin_options) -> DataFrame:
     """Bins, grid, gap filling and calendar in one plan."""
-    bins = demand_bins(trips, granularities, **bin_options)
+    return series_of(demand_bins(trips, granularities, **bin_options), fill)
+
+
+def series_of(bins: DataFrame, fill: str = "mark") -> DataFrame:
+    """Grid, gap filling and calendar of bins that are there already."""
     return add_calendar(fill_gaps(complete_grid(bins), fill))
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busloom.functions.columns import plus_minutes, require_columns, true_or_false
+from busloom.functions.columns import plus_minutes, require_columns, service_day, true_or_false
 from busloom.functions.reuse import written_once
 from busloom.functions.ordered import as_of, keep_first, with_running_counts
+from busloom.sources.versions import DAY, manifest, publish_days, read_published
 
 # End types and sources.
 COMPLETE = "COMPLETO"
@@ -235,3 +237,36 @@ def resume_trip_ends(trips: DataFrame, pings: DataFrame, previous: DataFrame | N
         open_trip = open_trip & (F.col("estimated_end").isNull() | F.col("end_type").isNull())
     pending = base.filter(open_trip)
     return merge_ends(base, resolve_trip_ends(pending, pings, rules, key), key)
+
+
+# The day of trips without a start; no ping is looked up for them.
+NO_START_DAY = "1900-01-01"
+
+
+def publish_trip_ends(trips: DataFrame, pings: DataFrame, folder: str, *, run: str, days_per_batch: int = 7,
+                      recompute: bool = False, rules: EndRules = EndRules(), key: str = "trip_id") -> Iterator[Sequence[str]]:
+    """Work out trip ends a batch of service days at a time; the days of each batch, once it is published.
+
+    ``folder`` is a published table, one row per trip with its key, end columns and service day.  ``run`` names the
+    state of the input: days that this run has published already are left out, so a run that died goes on where
+    it stopped, and readers see whole batches.  Estimates of earlier runs are kept unless ``recompute``.
+    A batch reads its own days' trips and estimates, and the pings within the rules' reach of them; the loop is over calendar
+    days, not over rows.  A trip without a key is left out, as in ``resume_trip_ends`` it could not be found again.
+    """
+    spark = trips.sparkSession
+    day = F.coalesce(service_day("actual_start"), F.lit(NO_START_DAY).cast("date"))
+    dated = trips.filter(F.col(key).isNotNull()).withColumn(DAY, day)
+    every = [str(r[0]) for r in dated.select(DAY).distinct().orderBy(DAY).collect()]
+    while True:
+        done = manifest(spark, folder)
+        left = [d for d in every if done["notes"].get(d) != run]
+        if not left:
+            return
+        batch = left[:days_per_batch]
+        own = dated.filter(F.col(DAY).isin([F.lit(d).cast("date") for d in batch]))
+        first, last = (F.lit(f"{d} 00:00:00").cast("timestamp_ntz") for d in (batch[0], batch[-1]))
+        reach = pings.filter((F.col("ping_ts") >= plus_minutes(first, -rules.before_min)) & (F.col("ping_ts") < plus_minutes(last, 2 * 1440 + rules.after_min)))
+        earlier = read_published(spark, folder, batch)
+        ends = resume_trip_ends(own, reach, earlier if earlier is None else earlier.select(key, *END_COLUMNS), recompute=recompute, rules=rules, key=key)
+        publish_days(ends.select(key, *END_COLUMNS, DAY), folder, batch, dict.fromkeys(batch, run))
+        yield batch

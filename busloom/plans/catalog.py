@@ -8,7 +8,7 @@ from busloom.plans.registry import Query
 
 MODULES = (
     "trip_queries", "gps_queries", "series_queries", "service_queries", "eda_queries", "model_queries", "tree_queries",
-    "evaluation_queries", "source_queries", "pipeline_queries",
+    "evaluation_queries", "source_queries", "pipeline_queries", "published_queries",
 )
 
 

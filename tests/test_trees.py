@@ -36,7 +36,7 @@ def test_best_splits_equal_trying_every_one(spark):
     for m in range(6):
         for _ in range(60):
             codes = [rng.choice([0, 1, 2, 3, 5]), rng.choice([0, 0, 1, 2]), rng.choice([0, 1, 2, 3, 4])]
-            signal = (codes[0] in (0, 5)) * 3 + (codes[2] in (1, 4)) * 2 if m % 2 else codes[1] * 2
+            signal = (codes[0] in (0, 1)) * 3 + (codes[2] in (1, 4)) * 2 if m % 2 else codes[1] * 2
             rows.append((m, m % 3, codes, int((signal + rng.random()) * SCALE)))
     frame = spark.createDataFrame(rows, "m int, node int, codes array<tinyint>, g long")
     found = {(r.m, r.node): r for r in trees.best_splits(frame, ["m"], 2, how).collect()}
