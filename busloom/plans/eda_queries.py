@@ -10,7 +10,7 @@ from busloom.operators import eda, outliers
 from busloom.operators.eda import WEEKDAY_NAMES
 from busloom.plans.common_sql import block, day_type_sql, sql, values_list
 from busloom.plans.registry import Query
-from busloom.plans.series_queries import plain_series, ready, series_30, series_table
+from busloom.plans.series_queries import plain_series, ready, series_table
 from busloom.plans.stages import staged
 from busloom.sources.tables import long_trips
 
@@ -21,11 +21,9 @@ TEXTS = ("route_id", "vehicle_id")
 _names = "[" + values_list(WEEKDAY_NAMES) + "]"
 
 block("op_v", "SELECT * FROM cal_v WHERE NOT is_gap")
-block("op30_v", "SELECT * FROM op_v WHERE gran_min = 30")
-block("s30_v", "SELECT * FROM cal_v WHERE gran_min = 30")
 block("intraday_v", """
   SELECT route_id, gran_min, day_type, hour, avg(passengers_sum) AS mean, median(passengers_sum) AS median, quantile_cont(passengers_sum, 0.25) AS p25,
-    quantile_cont(passengers_sum, 0.75) AS p75, quantile_cont(passengers_sum, 0.95) AS p95 FROM op30_v GROUP BY 1, 2, 3, 4""")
+    quantile_cont(passengers_sum, 0.75) AS p75, quantile_cont(passengers_sum, 0.95) AS p95 FROM op_v GROUP BY 1, 2, 3, 4""")
 block("peaks_v", """
   SELECT *, mean > quantile_cont(mean, 0.75) OVER w AS is_peak, mean < quantile_cont(mean, 0.25) OVER w AS is_valley
   FROM intraday_v WINDOW w AS (PARTITION BY route_id, gran_min, day_type)""")
@@ -33,7 +31,7 @@ block("weekly_prof_v", f"""
   SELECT route_id, gran_min, weekday, total, mean, CASE WHEN mean > 0 THEN sd / mean END AS cv, {_names}[weekday + 1] AS weekday_name,
     mean = max(mean) OVER w AS is_max, mean = min(mean) OVER w AS is_min FROM (
     SELECT route_id, gran_min, weekday, sum(passengers_sum) AS total, avg(passengers_sum) AS mean, stddev_samp(passengers_sum) AS sd
-    FROM op30_v GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY route_id, gran_min)""")
+    FROM op_v GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY route_id, gran_min)""")
 # Long daily series from the orders: one slot a day, over several years.
 block("daily_v", f"""
   SELECT o_orderpriority AS route_id, 60 AS gran_min, CAST(o_orderdate AS TIMESTAMP) AS timestamp, CAST(sum(floor(o_totalprice / 10000)) AS DOUBLE) AS passengers_sum,
@@ -48,7 +46,7 @@ block("periods_v", """
   WINDOW w AS (PARTITION BY route_id, period_type)""")
 block("pos_v", """
   SELECT *, passengers_sum - avg(passengers_sum) OVER (PARTITION BY route_id, gran_min) AS dev, count(*) OVER (PARTITION BY route_id, gran_min) AS n,
-    row_number() OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS i FROM op30_v""")
+    row_number() OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS i FROM op_v""")
 
 
 def acf_block(name: str, lags: int) -> None:
@@ -58,7 +56,7 @@ def acf_block(name: str, lags: int) -> None:
     SELECT a.route_id, a.gran_min, a.n, k.lag, sum(a.dev * b.dev) / any_value(c.c0) AS acf
     FROM pos_v a CROSS JOIN (SELECT unnest(range(0, {lags + 1})) AS lag) k
     JOIN pos_v b ON b.route_id = a.route_id AND b.gran_min = a.gran_min AND b.i = a.i - k.lag
-    JOIN (SELECT route_id, sum(dev * dev) AS c0 FROM pos_v GROUP BY 1) c ON c.route_id = a.route_id
+    JOIN (SELECT route_id, gran_min, sum(dev * dev) AS c0 FROM pos_v GROUP BY 1, 2) c ON c.route_id = a.route_id AND c.gran_min = a.gran_min
     WHERE a.n >= 50 AND k.lag <= a.n // 4 GROUP BY 1, 2, 3, 4)
   WINDOW w AS (PARTITION BY route_id, gran_min ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 
@@ -71,23 +69,23 @@ block("out_v", """
     SELECT *, passengers_sum < fence_low OR passengers_sum > fence_high AS is_iqr, abs(zscore) > 3 AS is_z FROM (
       SELECT *, q1 - 1.5 * (q3 - q1) AS fence_low, q3 + 1.5 * (q3 - q1) AS fence_high, CASE WHEN sd > 0 THEN (passengers_sum - m) / sd ELSE 0 END AS zscore FROM (
         SELECT *, quantile_cont(passengers_sum, 0.25) OVER (PARTITION BY route_id, gran_min) AS q1, quantile_cont(passengers_sum, 0.75) OVER (PARTITION BY route_id, gran_min) AS q3,
-          avg(passengers_sum) OVER (PARTITION BY route_id, gran_min, day_type) AS m, stddev_samp(passengers_sum) OVER (PARTITION BY route_id, gran_min, day_type) AS sd FROM op30_v)))""")
+          avg(passengers_sum) OVER (PARTITION BY route_id, gran_min, day_type) AS m, stddev_samp(passengers_sum) OVER (PARTITION BY route_id, gran_min, day_type) AS sd FROM op_v)))""")
 block("ctx_v", """
   SELECT *, CASE WHEN context_n >= 8 AND context_iqr > 0 AND passengers_sum > high_limit THEN 'alto'
       WHEN context_n >= 8 AND context_iqr > 0 AND passengers_sum < low_limit THEN 'bajo' ELSE '' END AS outlier_type,
     passengers_sum - context_median AS deviation, CASE WHEN context_median <> 0 THEN passengers_sum / context_median END AS median_ratio FROM (
     SELECT s.*, context_n, context_median, q3 - q1 AS context_iqr, greatest(q1 - 1.0 * (q3 - q1), 0) AS low_limit, q3 + 1.0 * (q3 - q1) AS high_limit
-    FROM s30_v s JOIN (SELECT route_id, weekday, hour, count(passengers_sum) AS context_n, median(passengers_sum) AS context_median,
-      quantile_cont(passengers_sum, 0.25) AS q1, quantile_cont(passengers_sum, 0.75) AS q3 FROM s30_v GROUP BY 1, 2, 3) c
-    ON c.route_id = s.route_id AND c.weekday = s.weekday AND c.hour = s.hour)""")
+    FROM cal_v s JOIN (SELECT route_id, gran_min, weekday, hour, count(passengers_sum) AS context_n, median(passengers_sum) AS context_median,
+      quantile_cont(passengers_sum, 0.25) AS q1, quantile_cont(passengers_sum, 0.75) AS q3 FROM cal_v GROUP BY 1, 2, 3, 4) c
+    ON c.route_id = s.route_id AND c.gran_min = s.gran_min AND c.weekday = s.weekday AND c.hour = s.hour)""")
 
 block("odd_v", "SELECT * FROM ctx_v WHERE outlier_type <> ''")
-block("series30_v", "SELECT * FROM series_v WHERE gran_min = 30")
 
 
 @staged
-def op30(s, d):
-    return plain_series(s, d, (30,))
+def slots(s, d):
+    """All widths; the operators group by route and width."""
+    return plain_series(s, d)
 
 
 def daily_series(s, d):
@@ -101,7 +99,7 @@ def daily_series(s, d):
 
 
 def ctx(s, d):
-    return outliers.contextual_outliers(op30(s, d), factor=1.0)
+    return outliers.contextual_outliers(slots(s, d), factor=1.0)
 
 
 def odd(s, d):
@@ -109,24 +107,24 @@ def odd(s, d):
 
 
 def acf(s, d):
-    return eda.autocorrelation(op30(s, d))
+    return eda.autocorrelation(slots(s, d))
 
 
 def _matrix_sql(measure: str, source: str) -> str:
     cells = ", ".join(f"coalesce(max(m) FILTER (hour = {h}), 0) AS h{h:02d}" for h in range(24))
     return f"""SELECT s.route_id, s.gran_min, s.weekday, {cells} FROM (SELECT DISTINCT route_id, gran_min, w AS weekday FROM {source}, range(0, 7) AS r(w)) s
-      LEFT JOIN (SELECT route_id, weekday, hour, {measure} AS m FROM {source} GROUP BY 1, 2, 3) c ON c.route_id = s.route_id AND c.weekday = s.weekday GROUP BY 1, 2, 3"""
+      LEFT JOIN (SELECT route_id, gran_min, weekday, hour, {measure} AS m FROM {source} GROUP BY 1, 2, 3, 4) c ON c.route_id = s.route_id AND c.gran_min = s.gran_min AND c.weekday = s.weekday GROUP BY 1, 2, 3"""
 
 
 _MATRIX = KEYS + "weekday:i " + " ".join(f"h{h:02d}:f" for h in range(24))
 
 
-def _box_sql(by: str, source: str = "s30_v") -> str:
+def _box_sql(by: str, source: str = "cal_v") -> str:
     return f"""SELECT b.route_id, b.gran_min, b.{by}, q1, median, q3, count(*) AS n, min(v) FILTER (ok) AS whisker_low, max(v) FILTER (ok) AS whisker_high,
       count(*) FILTER (NOT ok) AS outliers FROM (SELECT s.route_id, s.gran_min, s.{by}, q.q1, q.median, q.q3, passengers_sum AS v,
         passengers_sum BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM {source} s JOIN (
-        SELECT route_id, {by}, quantile_cont(passengers_sum, 0.25) AS q1, median(passengers_sum) AS median, quantile_cont(passengers_sum, 0.75) AS q3
-        FROM {source} GROUP BY 1, 2) q ON q.route_id = s.route_id AND q.{by} = s.{by} WHERE passengers_sum IS NOT NULL) b GROUP BY 1, 2, 3, 4, 5, 6"""
+        SELECT route_id, gran_min, {by}, quantile_cont(passengers_sum, 0.25) AS q1, median(passengers_sum) AS median, quantile_cont(passengers_sum, 0.75) AS q3
+        FROM {source} GROUP BY 1, 2, 3) q ON q.route_id = s.route_id AND q.gran_min = s.gran_min AND q.{by} = s.{by} WHERE passengers_sum IS NOT NULL) b GROUP BY 1, 2, 3, 4, 5, 6"""
 
 
 _BOX = "q1:f median:f q3:f n:i whisker_low:f whisker_high:f outliers:i"
@@ -139,16 +137,16 @@ block("pairs_v", " UNION ALL ".join(
 
 QUERIES = [
     Query("e1_intraday_profile", KEYS + "day_type:s hour:i mean:f median:f p25:f p75:f p95:f",
-          lambda s, d: eda.intraday_profile(op30(s, d)), sql("SELECT * FROM intraday_v")),
+          lambda s, d: eda.intraday_profile(slots(s, d)), sql("SELECT * FROM intraday_v")),
     Query("e2_peaks_and_valleys", KEYS + "day_type:s hour:i is_peak:b is_valley:b peak_valley_ratio:f peak_hours:s valley_hours:s",
-          lambda s, d: eda.peaks_and_valleys(eda.intraday_profile(op30(s, d))),
+          lambda s, d: eda.peaks_and_valleys(eda.intraday_profile(slots(s, d))),
           sql("""SELECT p.*, g.peak_valley_ratio, g.peak_hours, g.valley_hours FROM peaks_v p JOIN (
-                 SELECT route_id, day_type, CASE WHEN avg(mean) FILTER (is_valley) > 0 THEN avg(mean) FILTER (is_peak) / avg(mean) FILTER (is_valley) END AS peak_valley_ratio,
+                 SELECT route_id, gran_min, day_type, CASE WHEN avg(mean) FILTER (is_valley) > 0 THEN avg(mean) FILTER (is_peak) / avg(mean) FILTER (is_valley) END AS peak_valley_ratio,
                  coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (is_peak), '') AS peak_hours,
-                 coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (is_valley), '') AS valley_hours FROM peaks_v GROUP BY 1, 2) g
-                 ON g.route_id = p.route_id AND g.day_type = p.day_type""")),
+                 coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (is_valley), '') AS valley_hours FROM peaks_v GROUP BY 1, 2, 3) g
+                 ON g.route_id = p.route_id AND g.gran_min = p.gran_min AND g.day_type = p.day_type""")),
     Query("e3_weekly_profile", KEYS + "weekday:i total:f mean:f cv:f weekday_name:s is_max:b is_min:b",
-          lambda s, d: eda.weekly_profile(op30(s, d)), sql("SELECT * FROM weekly_prof_v")),
+          lambda s, d: eda.weekly_profile(slots(s, d)), sql("SELECT * FROM weekly_prof_v")),
     Query("e4_period_totals", "route_id:s period_type:s period:d total:f is_unusual:b slope:f intercept:f",
           lambda s, d: eda.period_totals(daily_series(s, d)),
           sql("SELECT p.*, t.slope, t.intercept FROM periods_v p JOIN day_trend_v t ON t.route_id = p.route_id")),
@@ -158,7 +156,7 @@ QUERIES = [
           lambda s, d: eda.daily_trend(daily_series(s, d)), sql("SELECT * FROM day_trend_v")),
     Query("e6_autocorrelation", KEYS + "n:i lag:i acf:f ci:f is_significant:b is_relevant:b", acf, sql("SELECT * FROM acf_v")),
     Query("e6_autocorrelation_long", KEYS + "n:i lag:i acf:f ci:f is_significant:b is_relevant:b",
-          lambda s, d: eda.autocorrelation(op30(s, d), max_lag=eda.OPERATING_MAX_LAG), sql("SELECT * FROM acf_long_v")),
+          lambda s, d: eda.autocorrelation(slots(s, d), max_lag=eda.OPERATING_MAX_LAG), sql("SELECT * FROM acf_long_v")),
     Query("e7_partial_autocorrelation", KEYS + "lag:i pacf:f is_significant:b",
           lambda s, d: eda.partial_autocorrelation(acf(s, d)),
           sql("""SELECT route_id, gran_min, k AS lag, pacf, abs(pacf) > 1.96 / sqrt(n) AS is_significant FROM (
@@ -171,11 +169,11 @@ QUERIES = [
                        / (1 - coalesce(list_sum([phi[j] * r[j + 1] FOR j IN range(1, k + 1)]), 0)) AS last FROM solved WHERE k + 2 <= len(r)))
                  SELECT * FROM solved)""")),
     Query("e8_dickey_fuller", KEYS + "n:i statistic:f is_stationary:b",
-          lambda s, d: eda.dickey_fuller(op30(s, d)),
+          lambda s, d: eda.dickey_fuller(slots(s, d)),
           sql("""SELECT *, statistic < -2.86 AS is_stationary FROM (SELECT route_id, gran_min, count(*) AS n,
                  regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)) AS statistic
-                 FROM (SELECT *, lag(passengers_sum) OVER (PARTITION BY route_id ORDER BY timestamp) AS x,
-                 passengers_sum - lag(passengers_sum) OVER (PARTITION BY route_id ORDER BY timestamp) AS y FROM op30_v) GROUP BY 1, 2) WHERE n >= 50""")),
+                 FROM (SELECT *, lag(passengers_sum) OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS x,
+                 passengers_sum - lag(passengers_sum) OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS y FROM op_v) GROUP BY 1, 2) WHERE n >= 50""")),
     Query("e9_recommended_lookback", KEYS + "lookback_slots:i relevant_lags:i lookback_hours:i",
           lambda s, d: eda.recommended_lookback(acf(s, d)),
           sql("""SELECT *, lookback_slots * gran_min // 60 AS lookback_hours FROM (SELECT route_id, gran_min,
@@ -185,7 +183,7 @@ QUERIES = [
           sql("""SELECT route_id, slope, CASE WHEN abs(slope) < 0.5 THEN 'ESTABLE' WHEN slope > 0 THEN 'CRECIENTE' ELSE 'DECRECIENTE' END AS trend,
                  slope * 30 AS monthly_change FROM day_trend_v""")),
     Query("e11_series_outliers", KEYS + "timestamp:t day_type:s passengers_sum:f is_iqr:b is_z:b zscore:f method:s fence_low:f fence_high:f outlier_pct:f",
-          lambda s, d: outliers.series_outliers(op30(s, d)), sql("SELECT * FROM out_v WHERE is_iqr OR is_z")),
+          lambda s, d: outliers.series_outliers(slots(s, d)), sql("SELECT * FROM out_v WHERE is_iqr OR is_z")),
     Query("e12_contextual_outliers", KEYS + "timestamp:t context_n:i context_median:f context_iqr:f low_limit:f high_limit:f outlier_type:s deviation:f median_ratio:f",
           ctx, sql("SELECT * FROM ctx_v")),
     Query("e13_feature_correlation", "feature:s n:i spearman:f abs_spearman:f place:i",
@@ -195,27 +193,27 @@ QUERIES = [
                  rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
                  rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM pairs_v) GROUP BY 1)""")),
     Query("e14_highlights", KEYS + "finding:s detail:s value:f",
-          lambda s, d: eda.highlights(op30(s, d), odd(s, d)),
+          lambda s, d: eda.highlights(slots(s, d), odd(s, d)),
           sql(f"""SELECT route_id, gran_min, 'Mayor valor por franja' AS finding, left(CAST(timestamp AS VARCHAR), 19) AS detail, passengers_sum AS value FROM (
-                 SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY passengers_sum DESC NULLS LAST, timestamp) AS k FROM s30_v) WHERE k = 1
-                 UNION ALL SELECT route_id, gran_min, 'Dia con mayor demanda acumulada', CAST(dd AS VARCHAR), v FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY v DESC NULLS LAST, dd) AS k
-                 FROM (SELECT route_id, gran_min, CAST(timestamp AS DATE) AS dd, sum(passengers_sum) AS v FROM s30_v GROUP BY 1, 2, 3)) WHERE k = 1
+                 SELECT *, row_number() OVER (PARTITION BY route_id, gran_min ORDER BY passengers_sum DESC NULLS LAST, timestamp) AS k FROM cal_v) WHERE k = 1
+                 UNION ALL SELECT route_id, gran_min, 'Dia con mayor demanda acumulada', CAST(dd AS VARCHAR), v FROM (SELECT *, row_number() OVER (PARTITION BY route_id, gran_min ORDER BY v DESC NULLS LAST, dd) AS k
+                 FROM (SELECT route_id, gran_min, CAST(timestamp AS DATE) AS dd, sum(passengers_sum) AS v FROM cal_v GROUP BY 1, 2, 3)) WHERE k = 1
                  UNION ALL SELECT route_id, gran_min, 'Contexto horario mas fuerte', {_names}[weekday + 1] || printf(' %02d:00', hour), v FROM (
-                 SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY v DESC NULLS LAST, weekday, hour) AS k
-                 FROM (SELECT route_id, gran_min, weekday, hour, avg(passengers_sum) AS v FROM s30_v GROUP BY 1, 2, 3, 4)) WHERE k = 1
-                 UNION ALL SELECT route_id, gran_min, 'Franjas imputadas como gap', 'percent of all slots', 100.0 * avg(CAST(is_gap AS INT)) FROM s30_v GROUP BY 1, 2
+                 SELECT *, row_number() OVER (PARTITION BY route_id, gran_min ORDER BY v DESC NULLS LAST, weekday, hour) AS k
+                 FROM (SELECT route_id, gran_min, weekday, hour, avg(passengers_sum) AS v FROM cal_v GROUP BY 1, 2, 3, 4)) WHERE k = 1
+                 UNION ALL SELECT route_id, gran_min, 'Franjas imputadas como gap', 'percent of all slots', 100.0 * avg(CAST(is_gap AS INT)) FROM cal_v GROUP BY 1, 2
                  UNION ALL SELECT route_id, gran_min, 'Atipicos detectados', 'slots off the range of their weekday and hour', count(*) FROM ctx_v WHERE outlier_type <> '' GROUP BY 1, 2""")),
     Query("e15_moving_average", KEYS + "timestamp:t moving_avg:f",
-          lambda s, d: eda.moving_average(op30(s, d), 6),
-          sql("""SELECT route_id, gran_min, timestamp, avg(passengers_sum) OVER (PARTITION BY route_id ORDER BY timestamp ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
-                 AS moving_avg FROM s30_v""")),
-    Query("e16_demand_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(eda.operating(op30(s, d)), F.avg("passengers_sum")),
-          sql(_matrix_sql("avg(passengers_sum)", "op30_v"))),
-    Query("e16_gap_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(op30(s, d), eda.gap_share()),
-          sql(_matrix_sql("100.0 * avg(CAST(is_gap AS INT))", "s30_v"))),
+          lambda s, d: eda.moving_average(slots(s, d), 6),
+          sql("""SELECT route_id, gran_min, timestamp, avg(passengers_sum) OVER (PARTITION BY route_id, gran_min ORDER BY timestamp ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)
+                 AS moving_avg FROM cal_v""")),
+    Query("e16_demand_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(eda.operating(slots(s, d)), F.avg("passengers_sum")),
+          sql(_matrix_sql("avg(passengers_sum)", "op_v"))),
+    Query("e16_gap_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(slots(s, d), eda.gap_share()),
+          sql(_matrix_sql("100.0 * avg(CAST(is_gap AS INT))", "cal_v"))),
     Query("e16_gap_type_matrix", _MATRIX,
-          lambda s, d: eda.weekday_hour_matrix(series_30(s, d), eda.gap_type_share("gap_anomalo")),
-          sql(_matrix_sql("100.0 * avg(CAST(gap_type = 'gap_anomalo' AS INT))", "series30_v"))),
+          lambda s, d: eda.weekday_hour_matrix(series_table(s, d), eda.gap_type_share("gap_anomalo")),
+          sql(_matrix_sql("100.0 * avg(CAST(gap_type = 'gap_anomalo' AS INT))", "series_v"))),
     Query("e16_outlier_matrix", _MATRIX, lambda s, d: eda.weekday_hour_matrix(odd(s, d), F.count(F.lit(1))),
           sql(_matrix_sql("count(*)", "odd_v"))),
     Query("e17_gap_type_summary", KEYS + "gap_type:s slots:i pct:f",
@@ -226,36 +224,35 @@ QUERIES = [
           lambda s, d: eda.width_comparison(plain_series(s, d)),
           sql("""SELECT route_id, gran_min, count(*) AS slots, count(*) FILTER (is_gap) AS gaps, 100.0 * avg(CAST(is_gap AS INT)) AS gap_pct,
                  sum(passengers_sum) AS metric FROM cal_v GROUP BY 1, 2""")),
-    Query("e19_thin_out", KEYS + "timestamp:t", lambda s, d: eda.thin_out(op30(s, d), 300),
-          sql("""SELECT route_id, gran_min, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY timestamp) - 1 AS i,
-                 greatest(count(*) OVER (PARTITION BY route_id) // 300, 1) AS step FROM s30_v) WHERE i % step = 0""")),
+    Query("e19_thin_out", KEYS + "timestamp:t", lambda s, d: eda.thin_out(slots(s, d), 300),
+          sql("""SELECT route_id, gran_min, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) - 1 AS i,
+                 greatest(count(*) OVER (PARTITION BY route_id, gran_min) // 300, 1) AS step FROM cal_v) WHERE i % step = 0""")),
     Query("e20_top_scores", KEYS + "timestamp:t zscore:f",
-          lambda s, d: eda.top_scores(outliers.series_outliers(op30(s, d)), "zscore", 20, ("route_id", "timestamp")),
-          sql("SELECT * FROM out_v WHERE is_iqr OR is_z ORDER BY abs(zscore) DESC, route_id, timestamp LIMIT 20")),
+          lambda s, d: eda.top_scores(outliers.series_outliers(slots(s, d)), "zscore", 20, ("route_id", "gran_min", "timestamp")),
+          sql("SELECT * FROM out_v WHERE is_iqr OR is_z ORDER BY abs(zscore) DESC, route_id, gran_min, timestamp LIMIT 20")),
     Query("e21_intraday_variability", KEYS + "days:i mean:f std_median:f",
-          lambda s, d: eda.intraday_variability(op30(s, d)),
+          lambda s, d: eda.intraday_variability(slots(s, d)),
           sql("""SELECT route_id, gran_min, count(*) AS days, avg(m) AS mean, median(sd) AS std_median FROM (SELECT route_id, gran_min,
-                 CAST(timestamp - INTERVAL 4 HOUR AS DATE) AS dd, avg(passengers_sum) AS m, stddev_samp(passengers_sum) AS sd FROM op30_v GROUP BY 1, 2, 3) GROUP BY 1, 2""")),
+                 CAST(timestamp - INTERVAL 4 HOUR AS DATE) AS dd, avg(passengers_sum) AS m, stddev_samp(passengers_sum) AS sd FROM op_v GROUP BY 1, 2, 3) GROUP BY 1, 2""")),
     Query("e21_slot_extremes", KEYS + "slots:i mean_min:f mean_max:f std_min:f std_max:f",
-          lambda s, d: eda.slot_extremes(eda.weekday_slot_profile(op30(s, d)), 10),
+          lambda s, d: eda.slot_extremes(eda.weekday_slot_profile(slots(s, d)), 10),
           sql("""SELECT route_id, gran_min, count(*) AS slots, min(m) AS mean_min, max(m) AS mean_max, min(sd) AS std_min, max(sd) AS std_max FROM (
-                 SELECT route_id, gran_min, minute, avg(passengers_sum) AS m, stddev_samp(passengers_sum) AS sd, count(*) AS n FROM op30_v
+                 SELECT route_id, gran_min, minute, avg(passengers_sum) AS m, stddev_samp(passengers_sum) AS sd, count(*) AS n FROM op_v
                  WHERE day_type = 'LABORAL' GROUP BY 1, 2, 3) WHERE n >= 10 GROUP BY 1, 2""")),
-    *[Query(f"e22_box_by_{by}", KEYS + f"{by}:{k} {_BOX}", lambda s, d, by=by: eda.box_numbers(op30(s, d), by), sql(_box_sql(by)))
+    *[Query(f"e22_box_by_{by}", KEYS + f"{by}:{k} {_BOX}", lambda s, d, by=by: eda.box_numbers(slots(s, d), by), sql(_box_sql(by)))
       for by, k in (("day_part", "s"), ("hour", "i"), ("day_type", "s"))],
     Query("e23_worst_gap_cells", KEYS + "weekday:i hour:i slots:i gaps:i gap_pct:f",
-          lambda s, d: eda.worst_gap_cells(op30(s, d)),
+          lambda s, d: eda.worst_gap_cells(slots(s, d)),
           sql("""SELECT route_id, gran_min, weekday, hour, count(*) AS slots, count(*) FILTER (is_gap) AS gaps, 100.0 * count(*) FILTER (is_gap) / count(*) AS gap_pct
-                 FROM s30_v GROUP BY 1, 2, 3, 4 ORDER BY gap_pct DESC, route_id, gran_min, weekday, hour LIMIT 40""")),
+                 FROM cal_v GROUP BY 1, 2, 3, 4 ORDER BY gap_pct DESC, route_id, gran_min, weekday, hour LIMIT 40""")),
     Query("e24_monthly_fit", "route_id:s period:d total:f fitted:f",
           lambda s, d: eda.monthly_fit(eda.period_totals(daily_series(s, d))),
           sql("""SELECT route_id, period, total, regr_intercept(total, x) OVER w + regr_slope(total, x) OVER w * x AS fitted FROM (
                  SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY period) - 1 AS x FROM periods_v WHERE period_type = 'mes')
                  WINDOW w AS (PARTITION BY route_id)""")),
     Query("e25_slice_scorecard", KEYS + "n_rows:i metric:f gaps:i gap_pct:f odd_gaps:i outliers:i",
-          lambda s, d: (lambda f: eda.slice_scorecard(f, outliers.contextual_outliers(f, factor=1.0)))(series_30(s, d)),
+          lambda s, d: (lambda f: eda.slice_scorecard(f, outliers.contextual_outliers(f, factor=1.0)))(series_table(s, d)),
           sql("""SELECT s.route_id, s.gran_min, count(*) AS n_rows, sum(s.passengers_sum) AS metric, count(*) FILTER (s.is_gap) AS gaps,
                  100.0 * count(*) FILTER (s.is_gap) / count(*) AS gap_pct, count(*) FILTER (s.gap_type = 'gap_anomalo') AS odd_gaps,
-                 count(*) FILTER (c.outlier_type <> '') AS outliers FROM series_v s JOIN ctx_v c ON c.route_id = s.route_id AND c.timestamp = s.timestamp
-                 WHERE s.gran_min = 30 GROUP BY 1, 2""")),
+                 count(*) FILTER (c.outlier_type <> '') AS outliers FROM series_v s JOIN ctx_v c ON c.route_id = s.route_id AND c.gran_min = s.gran_min AND c.timestamp = s.timestamp GROUP BY 1, 2""")),
 ]
