@@ -23,7 +23,7 @@ from busloom.streaming import streams
 CLOSING = {"event_id": 1, "ts": "9000-01-01 00:00:00", "user_id": 0, "event_type": "closing", "value": 0.0}
 
 block("counters_v", """SELECT l_orderkey AS trip_id, l_partkey * 1000 + l_suppkey AS counter_id, l_shipdate AS exit_date, CAST(l_quantity AS BIGINT) AS boardings_raw
-  FROM lineitem WHERE l_linenumber = 2""")
+  FROM lineitem""")
 block("points_v", """SELECT l_orderkey AS trip_id, max(l_shipdate) FILTER (l_linenumber = 1) AS actual_start, max(l_shipdate) FILTER (l_linenumber = 3) AS actual_end,
   max(l_linestatus) FILTER (l_linenumber = 3) AS trip_status FROM lineitem GROUP BY 1""")
 block("door_v", """SELECT l_partkey * 1000 + l_suppkey AS counter_id, sum(l_linenumber) AS door_alarms FROM lineitem
@@ -39,7 +39,7 @@ def extracted(s, d) -> DataFrame:
     intervals = o.select(
         F.col("o_orderkey").alias("trip_id"), F.col("o_orderdate").alias("start_date"), F.col("o_orderpriority").alias("route_id"),
         F.col("o_custkey").alias("vehicle_key"), F.when(F.col("o_orderstatus") != "P", 1).otherwise(0).alias("row_status"))
-    counters = li.filter("l_linenumber = 2").select(
+    counters = li.select(
         F.col("l_orderkey").alias("trip_id"), counter, F.col("l_shipdate").alias("exit_date"), F.col("l_quantity").cast("long").alias("boardings_raw"))
     sheet = li.select(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("point_type"),
                       F.col("l_shipdate").alias("actual_clock"), F.col("l_linestatus").alias("trip_status"))
@@ -149,10 +149,14 @@ QUERIES = [
     Query("st1_stream_dedup", "trip_id:i",
           lambda s, d: streams.run_available(streams.dedup_trips(stream_of(s, d, raw_trips_from_events)).select("trip_id")),
           sql("SELECT DISTINCT trip_id FROM raw_trips_v WHERE trip_id IS NOT NULL AND actual_start IS NOT NULL")),
-    Query("st2_stream_bins", "bin_start:t route_id:s trips:i passengers_sum:i",
+    Query("st1_exact_dedup", "trip_id:i",
+          lambda s, d: streams.dedup_exactly(
+              stream_of(s, d, raw_trips_from_events).filter("actual_start IS NOT NULL"), f"{shared_dir(s)}/stream-{uuid4().hex}", order=["actual_start", "row_id"]).select("trip_id"),
+          sql("SELECT DISTINCT trip_id FROM raw_trips_v WHERE trip_id IS NOT NULL AND actual_start IS NOT NULL")),
+    Query("st2_stream_bins", "bin_start:t route_id:s trips:i passengers_sum:i passengers_p95:f",
           lambda s, d: streams.replay(s, d, "events", lambda e: streams.demand_bins(trips_from_events(e)), CLOSING),
-          sql("""SELECT time_bucket(INTERVAL 30 MINUTE, actual_start) AS bin_start, route_id, count(*) AS trips, sum(boardings) AS passengers_sum
-                 FROM trips_v WHERE actual_start IS NOT NULL GROUP BY 1, 2""")),
+          sql("""SELECT time_bucket(INTERVAL 30 MINUTE, actual_start) AS bin_start, route_id, count(*) AS trips, sum(boardings) AS passengers_sum,
+                 quantile_cont(boardings, 0.95) AS passengers_p95 FROM trips_v WHERE actual_start IS NOT NULL GROUP BY 1, 2""")),
     Query("st3_stream_sessions", "vehicle_id:s first_ping:t last_ping:t pings:i speed_mean:f last_speed:f",
           lambda s, d: streams.replay(s, d, "events", lambda e: streams.ping_sessions(pings_from_events(e)), CLOSING),
           sql("""SELECT vehicle_id, min(ping_ts) AS first_ping, max(ping_ts) AS last_ping, count(*) AS pings, avg(speed_kmh) AS speed_mean,
