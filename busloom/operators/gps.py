@@ -12,6 +12,7 @@ from busloom.functions.columns import haversine_m, plus_minutes, true_or_false
 from busloom.functions.ordered import as_of, time_chunk
 from busloom.functions.reuse import written_once
 from busloom.operators.normalize import clean_positions
+from busloom.operators.places import place_hits
 
 # Search windows and fence radii in metres, outcomes of a search.
 SEARCH_MINUTES = (30, 90, 180)
@@ -85,14 +86,14 @@ def departure_by_yard(pings: DataFrame, yard: Yard, keys: Sequence[str] = ("vehi
     return hits.groupBy(*keys).agg(F.coalesce(first["text"], first["fence"]).alias("departure_ts"))
 
 
-def find_departures(plans: DataFrame, pings: DataFrame, yards: Sequence[Yard],
+def find_departures(plans: DataFrame, pings: DataFrame, yards: Sequence[Yard] | DataFrame,
                     windows: Sequence[int] = SEARCH_MINUTES, radius_m: float = FENCE_M) -> DataFrame:
     """Departure of each distinct (vehicle, yard, planned start) and the window that had it.
 
     The smallest window wins; inside a window text comes before the fence.  For each
     window and kind the first hit at or after the window's start is looked up; it counts
     if it lies before the window's end.  So each plan makes two probes per window and no
-    plan-ping pairs.
+    plan-ping pairs.  Many yards are given as a frame (place, lat, lon, radius_m).
     """
     plan_keys = ["vehicle_id", "yard", "planned_start"]
     probes = plans.select(*plan_keys).distinct().select(
@@ -100,7 +101,8 @@ def find_departures(plans: DataFrame, pings: DataFrame, yards: Sequence[Yard],
             F.struct(F.lit(w).alias("window_min"), F.lit(k).alias("kind"))
             for w in windows for k in ("text", "fence")])))
     probes = probes.withColumn("_from", plus_minutes("planned_start", -F.col("window_min")))
-    hits = written_once(yard_hits(pings, yards, radius_m), "hits")  # few of the pings, read twice
+    hits = place_hits(pings, yards) if isinstance(yards, DataFrame) else yard_hits(pings, yards, radius_m)
+    hits = written_once(hits, "hits")  # few of the pings, read twice
     seen = as_of(probes, hits, ["vehicle_id", "yard", "kind"],
                  "_from", "ping_ts", {"_hit": "ping_ts"}, following=True, monotone=True)
     inside = F.col("_hit") <= plus_minutes("planned_start", F.col("window_min"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import haversine_m
-from busloom.operators import diagnostics, gps, quality, trip_end
+from busloom.operators import diagnostics, gps, places, quality, trip_end
 from busloom.plans.common_sql import block, sql
 from busloom.plans.registry import Query
-from busloom.sources.tables import YARDS, pings, trips
+from busloom.sources.tables import YARDS, pings, read_table, trips
 
 RULES = trip_end.EndRules(power_off_text="error")
 
@@ -37,6 +37,10 @@ block("departures_v", """
     LEFT JOIN hits_v h ON h.vehicle_id = t.vehicle_id AND h.yard = y.yard
       AND h.ping_ts BETWEEN t.planned_start - to_minutes(w.w) AND t.planned_start + to_minutes(w.w)
     WHERE t.actual_start IS NULL) WHERE k = 1""")
+# Places around the pings, as many as there are parts.
+block("places_v", """SELECT 'STOP ' || p_partkey AS place, 3.4 + (p_partkey * 7919 % 1000) / 5000.0::DOUBLE AS place_lat, -76.6 + (p_partkey * 104729 % 1000) / 5000.0::DOUBLE AS place_lon,
+  200.0::DOUBLE + 100 * (p_partkey % 5) AS radius_m FROM part""")
+block("at_places_v", f"""SELECT * FROM (SELECT p.*, place, radius_m, {haversine_sql('la', 'lo', 'place_lat', 'place_lon')} AS distance_m FROM placed_v p, places_v) WHERE distance_m <= radius_m""")
 block("trunc_v", "SELECT * FROM trips_v WHERE actual_end IS NULL")
 block("post_v", """
   SELECT t.trip_id, t.actual_start, p.ping_ts, p.ping_id, p.speed_kmh, p.message,
@@ -77,6 +81,19 @@ def earlier(s, d):
         F.lit(trip_end.RETURNING).alias("end_type"), F.lit(trip_end.ESTIMATED).alias("end_source"))
 
 
+def many_places(s, d):
+    key = F.col("p_partkey")
+    return read_table(s, d, "part").select(
+        F.concat(F.lit("STOP "), key).alias("place"), (F.lit(3.4) + (key * 7919 % 1000) / F.lit(5000.0)).alias("lat"),
+        (F.lit(-76.6) + (key * 104729 % 1000) / F.lit(5000.0)).alias("lon"), (F.lit(200.0) + 100 * (key % 5)).alias("radius_m"))
+
+
+def stop_pings(s, d):
+    """The pings, every tenth of which names a stop."""
+    stop = F.concat(F.lit("left Stop "), F.col("ping_id") % 300, F.lit(" now"))
+    return pings(s, d).withColumn("message", F.when(F.col("ping_id") % 10 == 0, stop).otherwise(F.col("message")))
+
+
 def imputed(s, d):
     return gps.impute_departures(trips(s, d), pings(s, d), YARDS)
 
@@ -121,6 +138,16 @@ QUERIES = [
                  FROM (SELECT * FROM trips_v WHERE actual_start IS NULL) t
                  JOIN yards_v y ON y.route_id = t.route_id JOIN placed_v p ON p.vehicle_id = t.vehicle_id
                  AND p.ping_ts BETWEEN t.planned_start - INTERVAL 10 MINUTE AND t.planned_start + INTERVAL 10 MINUTE GROUP BY 1)""")),
+    Query("g2_many_fences", "vehicle_id:s place:s entry_ts:t last_ts:t pings:i min_distance_m:f",
+          lambda s, d: places.place_entries(pings(s, d), many_places(s, d)),
+          sql("""SELECT vehicle_id, place, min(ping_ts) AS entry_ts, max(ping_ts) AS last_ts, count(*) AS pings, min(distance_m) AS min_distance_m FROM at_places_v GROUP BY 1, 2""")),
+    Query("g3_many_departures", "vehicle_id:s yard:s kind:s pings:i first_ts:t",
+          lambda s, d: places.place_hits(stop_pings(s, d), many_places(s, d)).groupBy("vehicle_id", "yard", "kind").agg(
+              F.count("*").alias("pings"), F.min("ping_ts").alias("first_ts")),
+          sql("""SELECT vehicle_id, yard, kind, count(*) AS pings, min(ping_ts) AS first_ts FROM (
+                 SELECT vehicle_id, place AS yard, 'fence' AS kind, ping_ts FROM at_places_v
+                 UNION ALL SELECT vehicle_id, place, 'text', ping_ts FROM pings_v p JOIN places_v ON p.ping_id % 10 = 0 AND contains('LEFT STOP ' || (p.ping_id % 300) || ' NOW', place))
+                 GROUP BY 1, 2, 3""")),
     Query("t1_trip_end_types", "end_type:s n:i", lambda s, d: resolved(s, d).groupBy("end_type").agg(F.count("*").alias("n")),
           sql("SELECT end_type, count(*) AS n FROM ends_v GROUP BY 1")),
     Query("t2_resolve_trip_ends", _END_SPEC, resolved, sql("SELECT * FROM ends_v")),
