@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from busloom.functions.columns import (
     count_if,
@@ -15,6 +16,7 @@ from busloom.functions.columns import (
     percent,
     true_or_false,
 )
+from busloom.functions.reuse import written_once
 from busloom.functions.stats import describe_by, exact_percentiles
 
 # Which flags exclude a trip, which only mark it, and the hard weight.
@@ -39,6 +41,11 @@ ALL_FLAGS = HARD_FLAGS + SOFT_FLAGS + OTHER_FLAGS
 ROLLUPS = ("qc_any_flag", "qc_hard_fail", "qc_soft_fail")
 HARD_WEIGHT = 5
 
+# Routes that are looked up in place, in so many buckets; copies of the limits where they are joined.
+MOST_MAPPED_ROUTES = 100_000
+LIMIT_BUCKETS = 1024
+ROUTE_SALTS = 64
+
 
 @dataclass(frozen=True)
 class QualityLimits:
@@ -127,18 +134,32 @@ def percentile_flag(
         limit = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, {"limit": probability},
                                   width=width).select("limit").scalar()
         return df.withColumn(flag, true_or_false(v > limit) | over_cap)
-    limits = limits_by_route(percentile_limits(df, {value: (probability, width)}, route), [value], route)
-    return df.withColumn(flag, true_or_false(v > F.try_element_at(limits, F.col(route))[value]) | over_cap)
+    known = with_limits(df, percentile_limits(df, {value: (probability, width)}, route), [value], route)
+    return known.withColumn(flag, true_or_false(v > F.col("_limit")[value]) | over_cap).drop("_limit")
 
 
-def limits_by_route(limits: DataFrame, measures: Sequence[str], route: str) -> Column:
-    """The limits as one map from route to a struct, looked up in place: the trips are not moved by their route.
+def with_limits(df: DataFrame, limits: DataFrame, measures: Sequence[str], route: str) -> DataFrame:
+    """``df`` with its route's limits as a struct ``_limit``, null if there are none.
 
-    One entry per route.  Routes are lines of a network, so the map is short; it stays a scalar
-    subquery of the same plan.
+    The limits are written once and counted.  Up to ``MOST_MAPPED_ROUTES`` of them are looked up in place, so that trips are
+    not moved by their route: a scalar subquery holds them by hash, and a look-up meets the few routes of one bucket.  A
+    route column with more values than a network has lines is joined instead, salted, so that a hot route is many tasks' work.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct(route, F.struct(*measures))))
-    return limits.agg(entries.alias("_limits")).scalar()
+    known = written_once(limits.select(route, F.struct(*measures).alias("_limit")), "limits")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(LIMIT_BUCKETS)).cast("int")
+    if known.count() <= MOST_MAPPED_ROUTES:
+        maps = known.groupBy(bucket(F.col(route)).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct(route, "_limit"))).alias("_m"))
+        every = known.sparkSession.range(LIMIT_BUCKETS).withColumnRenamed("id", "_b").join(maps, "_b", "left")
+        ordered = F.sort_array(F.collect_list(F.struct(F.col("_b").cast("int").alias("b"), F.map_entries("_m").alias("m"))))
+        held = every.agg(F.transform(ordered, lambda x: F.map_from_entries(F.coalesce(x["m"], F.array().cast(_entries(known, route))))).alias("_all")).scalar()
+        return df.withColumn("_limit", F.try_element_at(F.element_at(held, bucket(F.col(route)) + 1), F.col(route)))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(ROUTE_SALTS)).cast("int")
+    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ROUTE_SALTS - 1))))
+    return df.withColumn("_salt", salt).join(spread, [route, "_salt"], "left").select(*df.columns, "_limit")
+
+
+def _entries(known: DataFrame, route: str) -> ArrayType:
+    return ArrayType(StructType([StructField("key", known.schema[route].dataType), StructField("value", known.schema["_limit"].dataType)]))
 
 
 def operational_flags(df: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
@@ -186,7 +207,7 @@ def flag_trips(df: DataFrame, limits: QualityLimits = QualityLimits(), *, key: s
                route: str | None = "route_id") -> DataFrame:
     """All flags, their roll-ups, reasons and score.
 
-    The percentile limits come from an aggregate of the same scan and are looked up in a map,
+    The percentile limits come from an aggregate of the same scan, are written once and looked up in a map,
     so no trip is shuffled by its route.
     """
     rows = operational_flags(temporal_flags(df), limits)
@@ -199,12 +220,12 @@ def flag_trips(df: DataFrame, limits: QualityLimits = QualityLimits(), *, key: s
             rows = percentile_flag(rows, value, flag, p, route=None, cap=cap, width=width)
         return roll_up_flags(structural_flags(rows, key))
     found = percentile_limits(rows, {v: (p, w) for v, (_, p, _, w) in checks.items()}, route)
-    limit = F.try_element_at(limits_by_route(found, list(checks), route), F.col(route))
-    out = structural_flags(rows, key)
+    out = with_limits(structural_flags(rows, key), found, list(checks), route)
+    limit = F.col("_limit")
     for value, (flag, _, cap, _) in checks.items():
         over = true_or_false(F.col(value) > limit[value])
         out = out.withColumn(flag, over | true_or_false(F.col(value) > cap) if cap is not None else over)
-    return roll_up_flags(out)
+    return roll_up_flags(out.drop("_limit"))
 
 
 def flag_summary(flagged: DataFrame) -> DataFrame:

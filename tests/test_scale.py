@@ -140,3 +140,22 @@ def test_back_tests_scan_little(spark, name, most):
     plan = all_queries()[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "events.parquet" not in plan
     assert len({line.split("Relation [")[1].split("]")[0] for line in plan.splitlines() if "Relation [" in line}) <= most + 2
+
+
+def test_limits_are_looked_up_or_joined_alike(spark, monkeypatch):
+    """A dirty route column has more values than a map should hold; its trips get the same flags."""
+    from busloom.operators import quality
+
+    rows = spark.range(6000).selectExpr(
+        "id AS trip_id", "IF(id % 3 = 0, 'hot', IF(id % 50 = 0, NULL, concat('r', id % 700))) AS route_id", "CAST((id * 7919) % 501 - 5 AS DOUBLE) AS v", "array(id) AS extra")
+
+    def flagged():
+        out = quality.percentile_flag(rows, "v", "over", 0.9, cap=490.0)
+        assert out.columns == [*rows.columns, "over"]
+        return out, sorted((r.trip_id, r.over) for r in out.collect())
+
+    looked_up, expected = flagged()
+    assert "SortMergeJoin" not in looked_up._jdf.queryExecution().optimizedPlan().toString() and sum(o for _, o in expected) > 300
+    monkeypatch.setattr(quality, "MOST_MAPPED_ROUTES", 10)
+    joined, found = flagged()
+    assert found == expected and "_salt" in joined._jdf.queryExecution().analyzed().toString()
