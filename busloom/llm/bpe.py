@@ -8,8 +8,10 @@ further than that from the end of what has been read is final.  It can be emitte
 follows it can be merged without it, because no merge ever crosses a final border.  So memory is
 bounded by the lookahead and one step of reading, however long a run of letters is.
 
-*Pieces.*  The split pattern cuts a text into pieces that are merged apart.  Short pieces repeat, so
-their ids are kept in a bounded cache.
+*Pieces.*  The split pattern cuts a text into pieces that are merged apart.  A text is split window by window,
+every piece goes through the transducer, and its ids leave as they become final; the decoder takes them from there.  Short
+pieces repeat, so their ids are kept in a bounded cache.  Besides the text itself and what comes out, memory is
+a window, the lookahead and the cache.
 
 *Decoding* appends the bytes of each token to an incremental UTF-8 decoder, which holds back at
 most three bytes of an unfinished character and replaces what can never become one.
@@ -35,6 +37,8 @@ from busloom.llm.common import pairs_of, to_batches
 CACHED_PIECES = 250_000
 CACHED_LENGTH = 48
 STEP = 2048
+WINDOW = 1 << 16
+AHEAD = 3  # the longest contraction
 DECODED_TOKENS = 8192
 
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -163,53 +167,88 @@ class ByteBpe:
         yield self.merge(held)
 
     def piece(self, text: str) -> bytes:
-        """Ids of one piece of the split, through the cache if it is short."""
+        """Ids of one piece of the split: from the transducer, or from the cache if it is short."""
         found = self.cache.get(text)
         if found is not None:
             return found
         found = self.older.get(text)
         if found is None:
             data = text.encode()
-            if len(data) <= STEP:
-                found = array("I", self.merge(data)).tobytes()
-            else:
-                parts = (data[i : i + STEP] for i in range(0, len(data), STEP))
-                found = b"".join(array("I", ids).tobytes() for ids in self.stream(parts))
+            found = b"".join(array("I", ids).tobytes() for ids in self.stream(data[i : i + STEP] for i in range(0, len(data), STEP)))
         if len(text) <= CACHED_LENGTH:
             if len(self.cache) >= self.cached_pieces:
                 self.older, self.cache = self.cache, {}
             self.cache[text] = found
         return found
 
-    def _ordinary(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
-            found = _SPLIT.findall(text)
-        else:
-            found = _SPLIT_PLAIN.findall(text)
+    def _long_piece(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        """Ids of a piece that is longer than a window, handed out as they become final."""
+        for ids in self.stream(text[i : min(i + STEP, end)].encode() for i in range(start, end, STEP)):
+            yield array("I", ids).tobytes()
+
+    def _ordinary(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        """Ids of ``text[start:end]`` without special tokens, window by window.
+
+        Where a piece begins, the split looks at most ``AHEAD`` characters on to tell its kind, and one beyond its end.  So
+        the pieces of a window are those of the whole text but for the last and those that begin close to the end; the
+        next window begins with these.
+        """
         get, piece = self.cache.get, self.piece
-        return b"".join([get(x) or piece(x) for x in found])
+        while start < end:
+            window = text[start : min(start + WINDOW, end)]
+            found = (_SPLIT if _NOT_PLAIN.search(window) else _SPLIT_PLAIN).findall(window)
+            if start + WINDOW < end:
+                open_length = 0
+                while found and open_length < AHEAD:
+                    open_length += len(found.pop())
+                if not found:
+                    stop = _SPLIT.match(text, start, end).end()
+                    yield from self._long_piece(text, start, stop)
+                    start = stop
+                    continue
+                start += len(window) - open_length
+            else:
+                start = end
+            yield b"".join([get(x) or piece(x) for x in found])
+            if self.cache is not get.__self__:
+                get = self.cache.get
+
+    def encode_steps(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as little-endian unsigned 32-bit numbers, some at a time; a special token's string becomes its id."""
+        at = 0
+        for found in self.special_split.finditer(text) if self.special_split else ():
+            yield from self._ordinary(text, at, found.start())
+            yield array("I", [self.special[found.group()]]).tobytes()
+            at = found.end()
+        yield from self._ordinary(text, at, len(text))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers; a special token's string becomes its id."""
-        if self.special_split is None or not self.special_split.search(text):
-            return self._ordinary(text)
-        parts, at = [], 0
-        for found in self.special_split.finditer(text):
-            parts += [self._ordinary(text[at : found.start()]), array("I", [self.special[found.group()]]).tobytes()]
-            at = found.end()
-        return b"".join([*parts, self._ordinary(text[at:])])
+        return b"".join(self.encode_steps(text))
 
-    def decode(self, ids: bytes) -> str:
-        """Text of ids, special tokens included; bytes that form no character become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        step, look = 4 * DECODED_TOKENS, self.bytes_of.__getitem__
-        texts = []
-        for at in range(0, len(ids), step):
+    def decode_steps(self, steps: Iterable[bytes]) -> Iterator[str]:
+        """Text of ids that arrive in steps, special tokens included; bytes that form no character become U+FFFD."""
+        machine, look = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of.__getitem__
+        for ids in steps:
             numbers = array("I")
-            numbers.frombytes(ids[at : at + step])
-            texts.append(machine.decode(b"".join(map(look, numbers))))
-        texts.append(machine.decode(b"", final=True))
-        return "".join(texts)
+            numbers.frombytes(ids)
+            yield machine.decode(b"".join(map(look, numbers)))
+        yield machine.decode(b"", final=True)
+
+    def decode(self, ids: bytes) -> str:
+        size = 4 * DECODED_TOKENS
+        return "".join(self.decode_steps(ids[at : at + size] for at in range(0, len(ids), size)))
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """Ids and decoded text; the decoder is handed the ids as they become final."""
+        ids: list[bytes] = []
+
+        def emitted() -> Iterator[bytes]:
+            for step in self.encode_steps(text):
+                ids.append(step)
+                yield step
+
+        decoded = "".join(self.decode_steps(emitted()))
+        return b"".join(ids), decoded
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -227,8 +266,8 @@ def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             for doc_id, text in pairs_of(batches, "doc_id", "text"):
-                ids = bpe.encode(text or "")
-                yield doc_id, len(ids) // 4, ids, bpe.decode(ids)
+                ids, decoded = bpe.round_trip(text or "")
+                yield doc_id, len(ids) // 4, ids, decoded
 
         yield from to_batches(rows(), ROUND_TRIP)
 

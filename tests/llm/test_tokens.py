@@ -51,6 +51,36 @@ def test_word_ids_equal_the_library_with_a_tiny_cache():
         assert numbers(words.ids(text)) == ids_of(real, text), text[:50]
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 17, 100])
+def test_small_windows_change_no_id(coder, monkeypatch, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe, "STEP", 64)
+    real = library(BYTE)
+    for text in TEXTS[:20]:
+        text = text[:6000]
+        ids, decoded = coder.round_trip(text)
+        assert numbers(ids) == ids_of(real, text), text[:50]
+        assert decoded == real.decode(numbers(ids), skip_special_tokens=False)
+
+
+def test_memory_does_not_grow_with_the_text(coder):
+    """What is held beside the text and its ids: a window's pieces, or a long piece's lookahead."""
+    import tracemalloc
+
+    def peak(text):
+        coder.cache.clear(), coder.older.clear()
+        tracemalloc.start()
+        total = sum(len(step) for step in coder.encode_steps(text))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total
+        return most
+
+    for unit in ("some words that come again, 12 times; ", "abcdefg"):
+        short, long = peak(unit * 20_000), peak(unit * 200_000)
+        assert long < 1.2 * short + 200_000
+
+
 def test_byte_ids_and_decoding_equal_the_library(coder):
     real = library(BYTE)
     for text in TEXTS:
