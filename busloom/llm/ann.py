@@ -18,6 +18,7 @@ so a crowded place on a curve is cut like any other.  Equal vectors are searched
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
 from busloom.llm.common import to_batches
-from busloom.llm.vectors import distinct_vectors, matrix, usable
+from busloom.llm.vectors import by_length, distinct_vectors, matrix, usable
 
 NEAREST = 20
 CURVES = 16
@@ -230,13 +231,19 @@ def search(
     """query_id, rank, vec_id, score: the ``nearest`` found for every query, by inner product, ties to the smaller id.
 
     ``vectors``: vec_id, embedding; ``asked`` is a condition on vec_id.  Candidates are all other
-    rows; a query with fewer gets all of them.  Vectors that are null, empty, zero, shorter than
-    the longest or with null or non-finite parts take no part, nor do null ids.  A repeated vec_id is
+    rows of its length; a query with fewer gets all of them.  Vectors that are null, empty, zero
+    or with null or non-finite parts take no part, nor do null ids.  A repeated vec_id is
     one row, with its least vector.  Equal vectors are found with the same score, in order of their ids.
     Other columns are ignored; no vectors or no queries give no rows.  The index is fitted on
     ``sampled`` queries (taken by hash) and holds every row.
     """
     found = written_once(usable(vectors).withColumn("asked", F.coalesce(asked, F.lit(False))), "vectors")
+    parts = [_nearest(part, nearest, curves, target, sampled, seed) for part in by_length(found) or [found]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(found: DataFrame, nearest: int, curves: int, target: float, sampled: int, seed: int) -> DataFrame:
+    """``search`` among equally long usable vectors (vec_id, vec, asked)."""
     # One more id than is wanted, as a query does not find itself.
     with_queries = found.where("asked").select("vec").distinct().withColumn("asked", F.lit(True))
     classes = written_once(

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
 from busloom.llm.common import blocks_for, components, grouped, to_batches
-from busloom.llm.vectors import distinct_vectors, matrix, usable
+from busloom.llm.vectors import by_length, distinct_vectors, matrix, usable
 
 COSINE = 0.95
 BLOCKS = 4
@@ -57,7 +58,7 @@ def fit_subspaces(classes: DataFrame, cosine: float, blocks: int) -> Subspaces |
         total = None
         for batch in batches:
             if batch.num_rows:
-                v = matrix(batch)
+                v = matrix(batch, scaled=True)
                 unit = v / np.linalg.norm(v, axis=1)[:, None]
                 augmented = np.hstack([unit, np.ones((len(unit), 1))])
                 total = augmented.T @ augmented + (0 if total is None else total)
@@ -100,7 +101,7 @@ def _placed(classes: DataFrame, spaces: Subspaces) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                points, names = spaces.rotated(matrix(batch)), batch.column("cls").to_pylist()
+                points, names = spaces.rotated(matrix(batch, scaled=True)), batch.column("cls").to_pylist()
                 for b, ((start, end), budget) in enumerate(zip(spaces.bounds, spaces.budgets, strict=True)):
                     radius = (budget + 2 * SLACK) ** 0.5
                     for at, cls in zip(points[:, start : min(end, start + GRID)], names, strict=True):
@@ -136,7 +137,7 @@ def _links(pairs: DataFrame, spaces: Subspaces, cosine: float) -> DataFrame:
         """Links between the rows of x and of y, or among x."""
         inside = y is None
         y = x if inside else y
-        vx, vy = matrix(x), matrix(y)
+        vx, vy = matrix(x, scaled=True), matrix(y, scaled=True)
         px, py = spaces.rotated(vx), spaces.rotated(vy)
         lx, ly = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (vx, vy))
         names_x, names_y = x.column("cls").to_numpy(), y.column("cls").to_numpy()
@@ -207,17 +208,24 @@ def dedup_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOC
 
     n_links counts the other vectors with a cosine of ``cosine`` or more, component_id is the
     smallest vec_id reachable by links, kept says whether the vector is that one.  Vectors that are
-    null, empty, zero, shorter than the longest or with null or non-finite parts link with nothing and are
-    their own component; a null vec_id has a null component and is not kept.  A repeated vec_id is one
+    null, empty, zero or with null or non-finite parts link with nothing and are
+    their own component, vectors of different lengths do not link; a null vec_id has a null component and is not kept.  A repeated vec_id is one
     vector (the least, if they differ).  Other columns are ignored; an empty table gives no rows.
     Intermediates are written while the frame is built.
     """
     found = written_once(usable(vectors), "vectors")
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    results = [_linked(part, cosine, blocks, chunk) for part in by_length(found)]
+    result = reduce(DataFrame.unionByName, results) if results else found.select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    return ids.join(result, "vec_id", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
+
+
+def _linked(found: DataFrame, cosine: float, blocks: int, chunk: int) -> DataFrame:
+    """vec_id, n_links, component_id of equally long usable vectors."""
     classes = written_once(distinct_vectors(found, 1).select("cls", "vec", "copies"), "classes")
     spaces = fit_subspaces(classes, cosine, blocks)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if spaces is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     placed = written_once(_placed(classes, spaces), "cells")
     pairs = _chunked(placed, chunk).join(classes, "cls")
     links = written_once(_links(pairs, spaces, cosine), "links")
@@ -225,7 +233,4 @@ def dedup_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOC
     roots = components(links.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "cls", "component": "root"})
     named = classes.join(counts, "cls", "left").join(roots, "cls", "left").select(
         "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id"))
-    result = found.join(named, "vec").select("vec_id", "n_links", "component_id")
-    return ids.join(result, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
+    return found.join(named, "vec").select("vec_id", "n_links", "component_id")

@@ -296,3 +296,10 @@ def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a long, b long"))
     found = {r.node: r.component for r in components(links).collect()}
     assert all(found[i] == 0 for i in range(201)) and found[500] == found[501] == 500 and len(found) == 203
+
+
+def test_vectors_link_with_those_of_their_length(spark):
+    rows = [(i, [1.0, 0.01 * (i % 3)]) for i in range(8)] + [(20, [1.0, 0.0, 0.0]), (21, [1.0, 0.0, 0.01]), (22, [3e200, 0.0, 0.0]), (23, [0.0, 1e-200, 0.0]), (24, [0.0, 2e-200, 0.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(found[i] == (7, 0) for i in range(8))
+    assert [found[i] for i in (20, 21, 22)] == [(2, 20)] * 3 and [found[i] for i in (23, 24)] == [(1, 23)] * 2

@@ -153,6 +153,12 @@ def test_branches_of_any_depth(spark):
     assert templates[1000] == "deep.example" + "/*" * 500 and templates[1001] == "deep.example" and templates[1002] == "deep.example/*/*/*/*/*/*/spam"
 
 
+def test_one_longer_vector_removes_no_other(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(100, [1.0, 2.0, 3.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, nearest=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 39), (20, 2, 38), (20, 3, 37)]
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     random_ = random.Random(k)
