@@ -5,9 +5,12 @@ into ``BLOCKS`` blocks; if two vectors are within the budget 2 - 2 * ``cosine``,
 within the share of the budget that goes with the block's dimensions.  So each block is range-joined on its own:
 
 * The rotation is to the principal axes of all vectors, dealt to the blocks in turn, so that every block has its
-  part of the spread; a grid over a block's ``GRID`` widest axes, with cells two radii wide, serves the range join.
+  part of the spread.  Cells for the range join come from a tree of splits, each on the axis and at the place that saves most
+  work, estimated on a bounded sample: between clusters where there are any, and none where more copies of vectors within the radius
+  of the border would be shipped than comparisons saved.  So cells follow the data, and their number grows with it.
 * A vector lies in one cell and visits those later cells that its radius touches, so every pair of a block
-  meets once.  Cells are cut into chunks and joined chunk by chunk: a crowded cell is many tasks' groups.
+  meets once, whatever the splits are.  Cells are cut into chunks and joined chunk by chunk: a crowded cell is many tasks'
+  groups.
 * The task that finds a pair within a block's budget leaves it to the first block that finds it, and verifies the
   cosine on the original vectors in double precision.  Counts of links and a spanning forest leave the task,
   never all pairs.
@@ -32,7 +35,11 @@ from busloom.llm.vectors import by_length, distinct_vectors, matrix, usable
 
 COSINE = 0.95
 BLOCKS = 4
-GRID = 2
+SAMPLED = 32_768  # vectors that the splits are fitted on, and at most so many bytes of them
+SAMPLED_BYTES = 64 << 20
+LEAF = 48  # sampled vectors below which a cell is not split
+COPY_COST = 2000  # comparisons that take as long as shipping one more copy of a vector
+QUANTILES = np.linspace(0.05, 0.95, 13)
 CHUNK = 8192
 PAIRS_AT_ONCE = 50_000
 SLACK = 1e-9  # on squared distances, far above rounding; pairs are verified exactly afterwards
@@ -83,33 +90,112 @@ def fit_subspaces(classes: DataFrame, cosine: float, blocks: int) -> Subspaces |
     return Subspaces(axes[:, [i for b in dealt for i in b]], list(zip(starts, starts[1:])), [budget * len(b) / d for b in dealt])
 
 
-def _placed(classes: DataFrame, spaces: Subspaces) -> DataFrame:
+@dataclass(frozen=True)
+class Splits:
+    """A block's tree: inner node i sends rows with ``axis[i]`` up to ``border[i]`` to ``low[i]``, others to ``high[i]``; a child below 0 is cell -1 - child."""
+
+    axis: list[int]
+    border: list[float]
+    low: list[int]
+    high: list[int]
+
+    def cells(self, points: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(cell, rows, whether at home there) of the cells that hold or are touched by any point."""
+        waiting = [(0 if self.axis else -1, np.arange(len(points)), np.ones(len(points), bool))]
+        while waiting:
+            node, rows, home = waiting.pop()
+            if not len(rows):
+                continue
+            if node < 0:
+                yield -1 - node, rows, home
+                continue
+            off = points[rows, self.axis[node]] - self.border[node]
+            for child, side, reach in ((self.low[node], off <= 0, off <= radius), (self.high[node], off > 0, off >= -radius)):
+                waiting.append((child, rows[reach], (home & side)[reach]))
+
+
+def fit_splits(points: np.ndarray, radius: float, total: int) -> Splits:
+    """Split where it saves most work for ``total`` vectors distributed as a sample's points, as long as it saves any.
+
+    Work is comparisons and copies: the vectors below a border and within the radius of it visit the cells above.
+    """
+    scale = total / max(1, len(points))
+    axis: list[int] = []
+    border: list[float] = []
+    children: list[list[int]] = [[], []]
+    cells = 0
+    waiting = [(points, None)]  # the points of a node, and where its number goes
+    while waiting:
+        inside, place = waiting.pop()
+        n, best = len(inside), None
+        if n >= 2 * LEAF:
+            ordered = np.sort(inside, axis=0)
+            for a in range(inside.shape[1]):
+                line = ordered[:, a]
+                at = np.unique(np.quantile(line, QUANTILES))
+                # Borders in the middle of a gap, so that the fewest lie near them.
+                after = np.searchsorted(line, at, "right")
+                at = (at + line[np.minimum(after, n - 1)]) / 2
+                low = np.searchsorted(line, at, "right")
+                near = low - np.searchsorted(line, at - radius, "left")
+                cost = scale * (low * low / 2 + (n - low) * (n - low) / 2 + near * (n - low)) + COPY_COST * near
+                k = int(cost.argmin())
+                if LEAF <= low[k] <= n - LEAF and (best is None or cost[k] < best[0]):
+                    best = (cost[k], a, float(at[k]))
+        if best is None or best[0] >= scale * n * n / 2:
+            number = -1 - cells
+            cells += 1
+        else:
+            number = len(axis)
+            axis.append(best[1])
+            border.append(best[2])
+            for side in children:
+                side.append(0)
+            left = inside[:, best[1]] <= best[2]
+            waiting += [(inside[~left], (1, number)), (inside[left], (0, number))]
+        if place is not None:
+            children[place[0]][place[1]] = number
+    return Splits(axis, border, *children)
+
+
+def fit_cells(classes: DataFrame, spaces: Subspaces) -> list[Splits]:
+    """Every block's splits, from a bounded sample of distinct vectors taken by hash."""
+    rows = min(SAMPLED, max(2 * LEAF, SAMPLED_BYTES // (8 * max(1, len(spaces.axes)))))
+    found = classes.orderBy(F.xxhash64("cls"), "cls").limit(rows).select("vec").toArrow()
+    points = spaces.rotated(matrix(found, scaled=True))
+    total = classes.count()
+    return [fit_splits(points[:, s:e], (g + 2 * SLACK) ** 0.5, total) for (s, e), g in zip(spaces.bounds, spaces.budgets, strict=True)]
+
+
+def _placed(classes: DataFrame, spaces: Subspaces, splits: list[Splits]) -> DataFrame:
     """block, cell, home, cls for the cell that each vector lies in (home) and the later ones it visits."""
-    schema = pa.schema([("block", pa.int32()), ("cell", pa.string()), ("home", pa.bool_()), ("cls", pa.int64())])
-
-    def cells(at: np.ndarray, radius: float) -> Iterator[tuple[tuple, bool]]:
-        low, own, high = (np.floor((at + shift) / (2 * radius)).astype(int) for shift in (-radius, 0.0, radius))
-        home = tuple(own.tolist())
-        yield home, True
-        touched = [()]
-        for a, b in zip(low.tolist(), high.tolist(), strict=True):
-            touched = [(*t, x) for t in touched for x in range(a, b + 1)]
-        yield from ((t, False) for t in touched if t > home)
+    schema = pa.schema([("block", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("cls", pa.int64())])
+    shared = classes.sparkSession.sparkContext.broadcast(splits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                points, names = spaces.rotated(matrix(batch, scaled=True)), batch.column("cls").to_pylist()
-                for b, ((start, end), budget) in enumerate(zip(spaces.bounds, spaces.budgets, strict=True)):
-                    radius = (budget + 2 * SLACK) ** 0.5
-                    for at, cls in zip(points[:, start : min(end, start + GRID)], names, strict=True):
-                        yield from ((b, ",".join(map(str, cell)), home, cls) for cell, home in cells(at, radius))
-
-        yield from to_batches(rows(), schema)
-
-    return classes.select("cls", "vec").mapInArrow(run, "block int, cell string, home boolean, cls long")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points, names = spaces.rotated(matrix(batch, scaled=True)), batch.column("cls").to_numpy()
+            for b, ((start, end), budget, tree) in enumerate(zip(spaces.bounds, spaces.budgets, shared.value, strict=True)):
+                found = list(tree.cells(points[:, start:end], (budget + 2 * SLACK) ** 0.5))
+                own = np.zeros(len(names), np.int64)
+                for cell, rows, home in found:
+                    own[rows[home]] = cell
+                for cell, rows, home in found:
+                    kept = home | (own[rows] < cell)
+                    n = int(kept.sum())
+                    if n:
+                        columns = (np.full(n, b, np.int32), np.full(n, cell, np.int32), home[kept], names[rows[kept]])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return classes.select("cls", "vec").mapInArrow(run, "block int, cell int, home boolean, cls long")
+
+
+def compared_pairs(placed: DataFrame) -> int:
+    """How many pairs the cells leave to be compared, all blocks together."""
+    sizes = placed.groupBy("block", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+    return int(sizes.agg(F.sum(F.expr("h * (h - 1) / 2 + h * v"))).first()[0] or 0)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -226,7 +312,7 @@ def _linked(found: DataFrame, cosine: float, blocks: int, chunk: int) -> DataFra
     """vec_id, n_links, component_id of equally long usable vectors."""
     classes = written_once(distinct_vectors(found, 1).select("cls", "vec", "copies"), "classes")
     spaces = fit_subspaces(classes, cosine, blocks)
-    placed = written_once(_placed(classes, spaces), "cells")
+    placed = written_once(_placed(classes, spaces, fit_cells(classes, spaces)), "cells")
     pairs = _chunked(placed, chunk).join(classes, "cls")
     links = written_once(_links(pairs, spaces, cosine), "links")
     counts = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "cls")

@@ -303,3 +303,35 @@ def test_vectors_link_with_those_of_their_length(spark):
     found = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert all(found[i] == (7, 0) for i in range(8))
     assert [found[i] for i in (20, 21, 22)] == [(2, 20)] * 3 and [found[i] for i in (23, 24)] == [(1, 23)] * 2
+
+
+def test_cells_hold_every_near_pair():
+    """A point meets every point within the radius: at home together, or the one of the earlier cell visits."""
+    random_ = np.random.default_rng(6)
+    points = np.vstack([random_.normal(size=(600, 5)), random_.normal(size=(900, 5)) * 0.05 + random_.normal(size=(30, 5)).repeat(30, 0)])
+    for radius in (0.01, 0.2, 0.6):
+        tree = vector_dedup.fit_splits(points[::2], radius, 10_000_000)
+        assert len(tree.axis) > 3
+        at_home, held = {}, set()
+        for cell, rows, home in tree.cells(points, radius):
+            at_home.update(dict.fromkeys(rows[home].tolist(), cell))
+            held |= {(r, cell) for r in rows.tolist()}
+        assert len(at_home) == len(points)
+        i, j = np.nonzero(np.triu(((points[:, None] - points) ** 2).sum(2) <= radius**2, 1))
+        for a, b in zip(i.tolist(), j.tolist()):
+            first, last = sorted((a, b), key=at_home.get)
+            assert (first, at_home[last]) in held
+
+
+def test_compared_pairs_grow_slowly_on_clustered_vectors(spark):
+    """Ten times the clusters, well below a hundred times the pairs."""
+    def pairs(clusters):
+        random_ = np.random.default_rng(7)
+        spread = 1 / np.sqrt(np.arange(1, 33))  # as embeddings have it: some directions hold most of the spread
+        x = (random_.normal(size=(clusters, 32)) * spread).repeat(4, 0) + random_.normal(size=(4 * clusters, 32)) * 0.01
+        rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "cls long, vec array<double>, copies long").repartition(4)
+        spaces = vector_dedup.fit_subspaces(rows, 0.95, 4)
+        return vector_dedup.compared_pairs(vector_dedup._placed(rows, spaces, vector_dedup.fit_cells(rows, spaces)))
+
+    small, large = pairs(300), pairs(3000)
+    assert large < 60 * small and large < 0.6 * 4 * 12_000**2 / 2
