@@ -33,6 +33,9 @@ HEADLINE = (
     "k26_kpi_table",
     "t3_resume_trip_ends",
     "p1_pipeline",
+    "s1_incremental_bins",
+    "g2_many_fences",
+    "b13_tree_forecast",
 )
 
 
