@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from busloom.functions.calendar import day_type, is_holiday
 from busloom.functions.columns import floor_to_minutes
-from busloom.operators import eda, outliers
+from busloom.operators import eda, outliers, stationarity
 from busloom.operators.eda import WEEKDAY_NAMES
 from busloom.plans.common_sql import block, day_type_sql, sql, values_list
 from busloom.plans.registry import Query
@@ -79,6 +79,44 @@ block("ctx_v", """
       quantile_cont(passengers_sum, 0.25) AS q1, quantile_cont(passengers_sum, 0.75) AS q3 FROM cal_v GROUP BY 1, 2, 3, 4) c
     ON c.route_id = s.route_id AND c.gran_min = s.gran_min AND c.weekday = s.weekday AND c.hour = s.hour)""")
 
+# Augmented Dickey-Fuller: cross products of rows [1, level, change, lags of change], swept one regressor after another.
+block("adf_rows_v", """
+  SELECT *, list(dx) OVER (PARTITION BY route_id, gran_min ORDER BY i ROWS BETWEEN 200 PRECEDING AND CURRENT ROW) AS upto FROM (
+    SELECT route_id, gran_min, n, i, dev, lag(dev) OVER w AS lev, dev - lag(dev) OVER w AS dx,
+      CAST(least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2) AS INT) AS m FROM pos_v WHERE n >= 50
+    WINDOW w AS (PARTITION BY route_id, gran_min ORDER BY i))""")
+
+
+def _sweep(source: str, m: str, order: str) -> str:
+    """Cross products of the regressors of ``order`` over the rows after lag ``m``, after k steps of elimination."""
+    return f"""
+  WITH RECURSIVE cells AS (
+    SELECT route_id, gran_min, {m} AS m, n, a, b, sum(v[a] * v[b]) AS c FROM (SELECT *, unnest(range(1, {m} + 4)) AS b FROM (SELECT *, unnest(range(1, {m} + 4)) AS a FROM (
+      SELECT route_id, gran_min, n, {m}, {order} AS v FROM {source} WHERE i >= {m} + 2))) GROUP BY 1, 2, 3, 4, 5, 6),
+  swept AS (
+    SELECT route_id, gran_min, m, n, 0 AS k, list(r ORDER BY a) AS g FROM (SELECT route_id, gran_min, m, n, a, list(c ORDER BY b) AS r FROM cells GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4
+    UNION ALL
+    SELECT route_id, gran_min, m, n, k + 1, [[g[x][y] - g[x][k + 1] * g[k + 1][y] / g[k + 1][k + 1] FOR y IN range(1, m + 4)] FOR x IN range(1, m + 4)]
+    FROM swept WHERE k < m + 2)
+  SELECT * FROM swept"""
+
+
+block("adf_tried_v", _sweep("adf_rows_v", "m", "[1.0, lev] || [upto[-j - 1] FOR j IN range(1, m + 1)] || [dx]"))
+block("adf_lag_v", """
+  SELECT route_id, gran_min, arg_min(lag, (aic, lag)) AS p FROM (
+    SELECT route_id, gran_min, k - 2 AS lag, (n - m - 1) * ln(g[m + 3][m + 3] / (n - m - 1)) + 2 * k AS aic FROM adf_tried_v WHERE k >= 2 AND g[m + 3][m + 3] > 0) GROUP BY 1, 2""")
+block("adf_chosen_v", "SELECT r.*, l.p FROM adf_rows_v r JOIN adf_lag_v l ON l.route_id = r.route_id AND l.gran_min = r.gran_min")
+block("adf_last_v", _sweep("adf_chosen_v", "p", "[1.0] || [upto[-j - 1] FOR j IN range(1, p + 1)] || [lev, dx]"))
+# The normal distribution by Simpson's rule.
+block("adf_v", """
+  SELECT route_id, gran_min, n, used_lag, n_used, statistic, p_value, coalesce(p_value < 0.05, false) AS is_stationary FROM (
+    SELECT *, CASE WHEN statistic > 2.74 THEN 1 WHEN statistic < -18.83 THEN 0
+      ELSE 0.5 + z / 12000 / sqrt(2 * pi()) * list_sum([CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * j / 4000, 2) / 2) FOR j IN range(0, 4001)]) END AS p_value FROM (
+      SELECT *, CASE WHEN statistic <= -1.61 THEN 2.1659 + 1.4412 * statistic + 0.038269 * pow(statistic, 2)
+        ELSE 1.7339 + 0.93202 * statistic - 0.12745 * pow(statistic, 2) - 0.010368 * pow(statistic, 3) END AS z FROM (
+        SELECT route_id, gran_min, n, m AS used_lag, n - m - 1 AS n_used,
+          b / a / sqrt((c - b * b / a) / (n - m - 1 - m - 2) / a) AS statistic FROM (
+          SELECT *, g[m + 2][m + 2] AS a, g[m + 2][m + 3] AS b, g[m + 3][m + 3] AS c FROM adf_last_v WHERE k = m + 1))))""")
 block("odd_v", "SELECT * FROM ctx_v WHERE outlier_type <> ''")
 
 
@@ -174,6 +212,8 @@ QUERIES = [
                  regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)) AS statistic
                  FROM (SELECT *, lag(passengers_sum) OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS x,
                  passengers_sum - lag(passengers_sum) OVER (PARTITION BY route_id, gran_min ORDER BY timestamp) AS y FROM op_v) GROUP BY 1, 2) WHERE n >= 50""")),
+    Query("e8_augmented_dickey_fuller", KEYS + "n:i used_lag:i n_used:i statistic:f p_value:f is_stationary:b",
+          lambda s, d: stationarity.augmented_dickey_fuller(eda.operating(slots(s, d)), eda.VALUE), sql("SELECT * FROM adf_v")),
     Query("e9_recommended_lookback", KEYS + "lookback_slots:i relevant_lags:i lookback_hours:i",
           lambda s, d: eda.recommended_lookback(acf(s, d)),
           sql("""SELECT *, lookback_slots * gran_min // 60 AS lookback_hours FROM (SELECT route_id, gran_min,

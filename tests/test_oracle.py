@@ -18,7 +18,7 @@ d3_missing_before_after d9_duration_by_route g4_impute_departures g5_search_audi
 s1_demand_bins s3_fill_forward s6_gap_types h2_service_hours k3_headway_stats k10_detrended_productivity k13_yard_occupancy
 k18_availability_before_gaps e4_period_totals e6_autocorrelation e13_feature_correlation f7_leakage_check f11_clock_sequences
 b4_expanding_folds b8_historical_average b9_rolling_average b17_walk_forward v2_error_tables v3_common_support v16_method_metrics
-io1_extract_trips io10_fingerprint io11_identical_columns st2_stream_bins b13_tree_rows d10_report_bundle e7_partial_autocorrelation
+io1_extract_trips io10_fingerprint io11_identical_columns st2_stream_bins b13_tree_rows d10_report_bundle e7_partial_autocorrelation e8_augmented_dickey_fuller
 g6_fence_radius_study p1_pipeline""".split()
 # Fixed thresholds that a month of the smallest table does not reach.
 NO_ROWS = {"k16_spaced_days", "k16_strided_days", "k17_availability_by_day", "e16_outlier_matrix", "e21_slot_extremes", "f13_two_channel_pairs", "v22_shared_hours_bias"}

@@ -6,7 +6,8 @@ from busloom.plans.catalog import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 HEAVY = """q6_quality_rollup g4_impute_departures s1_demand_bins s6_gap_types k3_headway_stats k13_yard_occupancy
-k18_availability_before_gaps e13_feature_correlation b6_fold_sizes b8_historical_average v3_common_support io1_extract_trips""".split()
+k18_availability_before_gaps e13_feature_correlation b6_fold_sizes b8_historical_average v3_common_support io1_extract_trips
+e6_autocorrelation e7_partial_autocorrelation e8_augmented_dickey_fuller""".split()
 
 
 def plan_of(spark, name):
