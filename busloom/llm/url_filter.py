@@ -4,12 +4,15 @@ A path is a list of segments.  Digits in a segment become ``#`` and long hexadec
 the tree of each host is built from the root down, one level at a time.  A child becomes the
 wildcard ``*``
 
-* if it has too few pages to tell (variable segments: slugs, user names), or
-* if its share of good labels does not differ from that of the whole node by more than chance
-  (statistically similar branches merge).
+* if none of its pages is labelled, or
+* if its good labels do not differ from the whole node's share by more than chance (statistically similar
+  branches merge).  Up to ``EXACT`` labelled pages that is the exact binomial test, so the few pages of
+  a variable segment (slugs, user names) prove nothing; beyond, its normal approximation.
 
 A node whose labelled pages are all good or all bad, or that holds one shape only, can't be split further
-down, so the rest of its paths is ``*`` at once; the tree ends at the deepest node that can.
+down, so the rest of its paths is ``*`` at once; the tree ends at the deepest node that can.  Segments that all
+pages of a new node share are wildcards too (an only child is like its node) and are passed in one step, up to the
+end of the shortest path.
 
 What is left are templates such as ``shop.example/*/#.html``.  A template whose share of good
 labels, smoothed towards its host's and that towards all hosts', is below one half is rejected.
@@ -27,10 +30,9 @@ from pyspark.sql import functions as F
 
 from busloom.functions.reuse import written_once
 
-DEPTH = 6  # of the SQL twin alone
-LEAST_PAGES = 5
-LEAST_SHARE = 0.01  # of the SQL twin alone
-SPREAD = 2.576  # standard errors; 1 % two-sided
+CHANCE = 0.01  # two-sided
+SPREAD = 2.576  # standard errors of the same chance
+EXACT = 1000  # labelled pages; 0.5 ** 1000 is still a double
 SMOOTHING = 20.0
 LEAST_PURITY = 0.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,30 +74,52 @@ def _summed(df: DataFrame, *keys: str, counts: tuple[str, ...] = COUNTS) -> Data
     return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
 
 
+def _differs(good: Column, labelled: Column, share: Column) -> Column:
+    """Whether so many of the labelled being good is less likely than ``CHANCE`` at this share (strictly between 0 and 1)."""
+    # The rarer label is counted, so the first probability can't underflow.
+    rare = F.least(share, 1 - share)
+    hits = F.when(share > 0.5, labelled - good).otherwise(good)
+    none = F.array().cast("array<bigint>")
+    first = F.pow(1 - rare, labelled)
+    below = F.aggregate(
+        F.when(hits > 0, F.sequence(F.lit(1).cast("bigint"), hits)).otherwise(none), F.struct(first.alias("one"), first.alias("sum")),
+        lambda a, k: F.struct((a["one"] * (labelled - k + 1) / k * rare / (1 - rare)).alias("one"),
+                              (a["sum"] + a["one"] * (labelled - k + 1) / k * rare / (1 - rare)).alias("sum")),
+        lambda a: 2 * F.least(a["sum"], 1 - a["sum"] + a["one"]))
+    return F.when(labelled <= EXACT, below < CHANCE).otherwise(F.abs(good / labelled - share) > SPREAD * F.sqrt(share * (1 - share) / labelled))
+
+
+def _common(low: Column, high: Column) -> Column:
+    """Length of the common start of two lists: of all lists, if these are the least and the greatest."""
+    same = F.zip_with(low, high, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.least(F.size(low), F.size(high))).cast("int")
+
+
 def templates(shaped: DataFrame) -> DataFrame:
     """host, shapes, template for distinct (host, shapes) with their counts of pages, labelled and good ones."""
-    counts = (*COUNTS, "rows")
-    columns = ("host", "shapes", *COUNTS, "template")
-    state, done, level = shaped.withColumns({"template": F.lit(""), "open": F.size("shapes") > 0}), [], 0
+    counts, columns = (*COUNTS, "rows"), ("host", "shapes", *COUNTS, "template")
+    state, done = shaped.withColumns({"template": F.lit(""), "level": F.lit(0), "open": F.size("shapes") > 0}), []
     while True:
         done.append(state.where("NOT open").select(*columns))
         state = state.where("open")
         if state.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        level += 1
-        state = state.withColumns({"segment": F.element_at("shapes", level), "rows": F.lit(1)})
-        child = _summed(state, "host", "template", "segment", counts=counts)
+        state = state.withColumns({"segment": F.expr("element_at(shapes, level + 1)"), "rows": F.lit(1)})
+        after = F.expr("slice(shapes, level + 2, size(shapes))")
+        child = state.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in counts), F.min(after).alias("low"), F.max(after).alias("high"))
         node = _summed(child, "host", "template", counts=counts).withColumnsRenamed({c: f"all_{c}" for c in counts})
-        share = F.col("all_good") / F.greatest(F.col("all_labelled"), F.lit(1))
-        apart = F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - share) > SPREAD * F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-        common = F.col("pages") >= LEAST_PAGES
         splits = (F.col("all_good") > 0) & (F.col("all_good") < F.col("all_labelled")) & (F.col("all_rows") > 1)
+        apart = (F.col("labelled") > 0) & _differs(F.col("good"), F.col("labelled"), F.col("all_good") / F.col("all_labelled"))
         branch = child.join(node, ["host", "template"]).select(
-            "host", "template", "segment", splits.alias("splits"), F.when(common & (F.col("labelled") > 0) & apart, F.col("segment")).otherwise("*").alias("branch"))
-        rest = F.when(F.col("splits"), "").otherwise(F.repeat(F.lit("/*"), F.size("shapes") - level))
+            "host", "template", "segment", splits.alias("splits"), F.when(splits & apart, F.col("segment")).otherwise("*").alias("branch"), "low", "high")
+        chains = branch.where("splits").groupBy("host", "template", "branch").agg(_common(F.min("low"), F.max("high")).alias("chain"))
+        branch = branch.drop("low", "high").join(chains, ["host", "template", "branch"], "left")
+        level = F.col("level") + 1 + F.coalesce("chain", F.lit(0))
+        stars = F.repeat(F.lit("/*"), F.when(F.col("splits"), F.col("chain")).otherwise(F.size("shapes") - F.col("level") - 1))
         state = written_once(
             state.join(branch, ["host", "template", "segment"]).select(
-                *columns[:-1], F.concat("template", F.lit("/"), "branch", rest).alias("template"), (F.col("splits") & (F.size("shapes") > level)).alias("open")),
+                *columns[:-1], F.concat("template", F.lit("/"), "branch", stars).alias("template"), level.alias("level"),
+                (F.col("splits") & (F.size("shapes") > level)).alias("open")),
             "templates")
 
 
@@ -129,7 +153,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFra
 
 
 def judge_sql(rules: dict[str, str]) -> str:
-    """The same in DuckDB's SQL over ``pages`` and ``labels`` (good: quality), with one set of CTEs per level."""
+    """The same in DuckDB's SQL over ``pages`` and ``labels`` (good: quality), level by level to the last segment."""
     def case(wanted) -> str:
         arms = []
         for text in sorted(rules, key=lambda r: (-len(r), r)):
@@ -139,41 +163,37 @@ def judge_sql(rules: dict[str, str]) -> str:
 
     shape = ("CASE WHEN regexp_matches(s, '^[0-9a-f-]{8,}$') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-f-]') "
              "THEN '{hex}' ELSE regexp_replace(s, '[0-9]+', '#', 'g') END")
-    sql = f"""
-WITH rest AS (
+    rarer = "lambda k: exp(lgamma(l + 1) - lgamma(k + 1) - lgamma(l - k + 1) + k * ln(s) + (l - k) * ln(1 - s))"
+    return f"""
+WITH RECURSIVE rest AS (
   SELECT page_id, COALESCE(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS r FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), '{CAPITALS}', '{SMALL}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 clear AS (
   SELECT doc_id, MIN(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING MIN(quality) = MAX(quality)),
-cut AS (
+urls AS (
   SELECT page_id, host, path, {case(lambda t: f"'{t}'")} AS rule, {case(lambda t: f"'{rules[t]}'")} AS ruled, good,
-         list_transform(string_split(path, '/')[2:], lambda s: {shape}) AS whole
+         list_transform(string_split(path, '/')[2:], lambda s: {shape}) AS shapes
   FROM parts LEFT JOIN clear ON doc_id = page_id),
-urls AS (
-  SELECT *, CASE WHEN len(whole) > {DEPTH} THEN list_append(whole[1:{DEPTH}], '**') ELSE whole END AS shapes FROM cut),
 shaped AS (
-  SELECT host, shapes, COUNT(*) AS pages, COUNT(good) AS labelled, COALESCE(SUM(good), 0) AS good FROM urls GROUP BY host, shapes),
-state0 AS (SELECT *, '' AS template FROM shaped)"""
-    sums = "SUM(pages) AS pages, SUM(labelled) AS labelled, SUM(good) AS good"
-    for k in range(1, DEPTH + 2):
-        sql += f""",
-child{k} AS (SELECT host, template, shapes[{k}] AS segment, {sums} FROM state{k - 1} WHERE len(shapes) >= {k} GROUP BY ALL),
-node{k} AS (SELECT host, template, SUM(pages) AS p, SUM(labelled) AS l, SUM(good) / GREATEST(SUM(labelled), 1) AS share FROM child{k} GROUP BY ALL),
-branch{k} AS (
-  SELECT c.host, c.template, c.segment,
-         CASE WHEN c.pages >= {LEAST_PAGES} AND c.pages >= {LEAST_SHARE} * n.p AND c.labelled > 0
-               AND abs(c.good / GREATEST(c.labelled, 1) - n.share) > {SPREAD} * sqrt(n.share * (1 - n.share) / GREATEST(c.labelled, 1))
-              THEN c.segment ELSE '*' END AS branch
-  FROM child{k} c JOIN node{k} n ON c.host = n.host AND c.template = n.template),
-state{k} AS (
-  SELECT s.host, s.shapes, s.pages, s.labelled, s.good, CASE WHEN b.branch IS NULL THEN s.template ELSE s.template || '/' || b.branch END AS template
-  FROM state{k - 1} s LEFT JOIN branch{k} b ON s.host = b.host AND s.template = b.template AND s.shapes[{k}] = b.segment)"""
-    return sql + f""",
+  SELECT host, shapes, COUNT(good) AS labelled, COALESCE(SUM(good), 0) AS good FROM urls GROUP BY host, shapes),
+state AS (
+  SELECT host, shapes, CAST(labelled AS BIGINT) AS labelled, CAST(good AS BIGINT) AS good, '' AS template, 0 AS level FROM shaped
+  UNION ALL
+  SELECT host, shapes, labelled, good, template || '/' || CASE
+           WHEN l = 0 OR s <= 0 OR s >= 1 THEN '*'
+           WHEN l > {EXACT} THEN CASE WHEN abs(g / l - s) > {SPREAD} * sqrt(s * (1 - s) / l) THEN segment ELSE '*' END
+           WHEN 2 * LEAST(list_sum(list_transform(range(0, g + 1), {rarer})), list_sum(list_transform(range(g, l + 1), {rarer}))) < {CHANCE} THEN segment
+           ELSE '*' END, level + 1
+  FROM (SELECT *, CAST(SUM(labelled) OVER child AS BIGINT) AS l, CAST(SUM(good) OVER child AS BIGINT) AS g,
+               SUM(good) OVER node / GREATEST(SUM(labelled) OVER node, 1) AS s
+        FROM (SELECT *, shapes[level + 1] AS segment FROM state WHERE len(shapes) > level)
+        WINDOW child AS (PARTITION BY host, template, segment), node AS (PARTITION BY host, template))),
+ended AS (SELECT * FROM state WHERE level = len(shapes)),
 hosts AS (
   SELECT host, (SUM(good) + {SMOOTHING} * COALESCE((SELECT SUM(good) / SUM(labelled) FROM shaped), 1.0)) / (SUM(labelled) + {SMOOTHING}) AS share FROM shaped GROUP BY host),
 judged AS (
   SELECT t.host, t.template, CASE WHEN (SUM(good) + {SMOOTHING} * ANY_VALUE(share)) / (SUM(labelled) + {SMOOTHING}) < {LEAST_PURITY} THEN 'block' ELSE 'allow' END AS learned
-  FROM state{DEPTH + 1} t JOIN hosts h ON t.host = h.host GROUP BY t.host, t.template)
+  FROM ended t JOIN hosts h ON t.host = h.host GROUP BY t.host, t.template)
 SELECT u.page_id, u.host, u.path, u.rule, COALESCE(u.ruled, j.learned) AS verdict, u.host || t.template AS template
-FROM urls u JOIN state{DEPTH + 1} t ON u.host = t.host AND u.shapes = t.shapes JOIN judged j ON t.host = j.host AND t.template = j.template"""
+FROM urls u JOIN ended t ON u.host = t.host AND u.shapes = t.shapes JOIN judged j ON t.host = j.host AND t.template = j.template"""

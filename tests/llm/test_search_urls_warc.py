@@ -127,6 +127,47 @@ def test_templates_learn_from_labels(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int"), {}).count() == 0
 
 
+def test_few_labels_prove_nothing_and_many_do(spark):
+    from math import comb
+
+    cases = [(g, n, share) for n in (1, 2, 5, 40, 999) for g in {0, 1, n // 2, n - 1, n} if g <= n for share in (0.001, 0.3, 0.5, 0.9, 0.999)]
+    frame = spark.createDataFrame(cases, "good long, labelled long, share double")
+    for r in frame.withColumn("differs", url_filter._differs(F.col("good"), F.col("labelled"), F.col("share"))).collect():
+        mass = [comb(r.labelled, k) * r.share**k * (1 - r.share) ** (r.labelled - k) if r.labelled < 999 else None for k in range(r.labelled + 1)]
+        if mass[0] is not None:
+            assert r.differs == (2 * min(sum(mass[: r.good + 1]), sum(mass[r.good:])) < 0.01)
+        elif abs(r.good / r.labelled - r.share) > 0.1:
+            assert r.differs
+    assert not [r for r in frame.where("labelled = 1 AND share = 0.9").withColumn("d", url_filter._differs(F.col("good"), F.col("labelled"), F.col("share"))).collect() if r.d]
+
+
+def test_deep_trees_equal_the_twin_and_take_few_rounds(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    stem = "/".join(f"{'abcdefghij'[k % 10]}x" for k in range(300))
+    paths = [f"{stem}/{('good', 'bad')[i % 2]}/{'uvw'[i % 3]}/{i}" for i in range(60)]
+    paths += [f"{stem}/bad", stem, f"{stem[:500]}", "a/b/c/d/e/f/g/h/good/1", "a/b/c/d/e/f/g/h/bad/1", "", "/", "x//y"]
+    random_ = random.Random(3)
+    paths += ["/".join(random_.choice("pqr") for _ in range(random_.randrange(1, 10))) for _ in range(400)]
+    pages = [(i, f"http://deep.example/{p}") for i, p in enumerate(paths)] + [(900, None), (901, "http://other.example/a/b")]
+    labels = [(i, int("bad" not in p and not p.startswith("p/q/r"))) for i, p in enumerate(paths)]
+    spark.createDataFrame(pages, "page_id long, url string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").toPandas().to_parquet(tmp_path / "labels.parquet")
+    rounds, real = [], url_filter.written_once
+    monkeypatch.setattr(url_filter, "written_once", lambda df, name: rounds.append(name) or real(df, name))
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), queries.URL_RULES)
+    assert rounds.count("templates") < 20
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    twin = db.execute(f"SELECT page_id, host, path, rule, verdict, template FROM ({url_filter.judge_sql(queries.URL_RULES)})").fetchall()
+    rows = [tuple(r) for r in found.select("page_id", "host", "path", "rule", "verdict", "template").collect()]
+    assert sorted(rows, key=repr) == sorted(twin, key=repr) and len(rows) == len(pages)
+    by_page = {r[0]: r for r in rows}
+    assert {by_page[i][4] for i in range(0, 60, 2)} == {"allow"} and {by_page[i][4] for i in range(1, 60, 2)} == {"block"}
+    assert by_page[1][5].startswith("deep.example/" + "*/" * 300 + "bad/") or by_page[1][5].count("/bad") == 1
+
+
 def test_a_small_bad_section_of_a_hot_host_is_blocked(spark):
     def path(i):
         return f"bad/{i}" if i % 200 == 7 else f"s{'abcdefghijklmnop'[i % 16]}/{i}"
