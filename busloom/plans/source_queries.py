@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from busloom.operators import normalize, quality
 from busloom.plans.common_sql import block, minutes, sql
+from busloom.plans.gps_queries import RULES
 from busloom.plans.registry import Query
 from busloom.plans.series_queries import plain_series, ready
 from busloom.plans.stages import staged
@@ -17,7 +18,7 @@ from busloom.plans.trip_queries import qc_table
 from busloom.session import shared_dir
 from busloom.sources import extract, files
 from busloom.sources.tables import pings_from_events, raw_trips_from_events, read_table, trips, trips_from_events
-from busloom.streaming import streams
+from busloom.streaming import streams, trip_tails
 
 # An event that no real one follows; it closes the replayed streams.
 CLOSING = {"event_id": 1, "ts": "9000-01-01 00:00:00", "user_id": 0, "event_type": "closing", "value": 0.0}
@@ -161,4 +162,10 @@ QUERIES = [
           lambda s, d: streams.replay(s, d, "events", lambda e: streams.ping_sessions(pings_from_events(e)), CLOSING),
           sql("""SELECT vehicle_id, min(ping_ts) AS first_ping, max(ping_ts) AS last_ping, count(*) AS pings, avg(speed_kmh) AS speed_mean,
                  last(speed_kmh ORDER BY ping_ts) FILTER (speed_kmh IS NOT NULL) AS last_speed FROM runs_v GROUP BY vehicle_id, run""")),
+    Query("st3_stream_trip_ends", "vehicle_id:s actual_start:t estimated_end:t end_type:s",
+          lambda s, d: streams.replay(
+              s, d, "events", lambda e: trip_tails.trip_ends(trips_from_events(e).filter("actual_end IS NULL"), pings_from_events(e), RULES).drop("held_pings"),
+              CLOSING | {"ts": "2200-01-01 00:00:00"}),  # pandas knows no later centuries
+          sql("""SELECT DISTINCT t.vehicle_id, t.actual_start, e.estimated_end, e.end_type FROM trunc_v t JOIN ends_v e ON e.trip_id = t.trip_id
+                 WHERE t.actual_start IS NOT NULL AND trim(t.vehicle_id) <> ''""")),
 ]

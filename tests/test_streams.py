@@ -6,8 +6,9 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
+from busloom.operators import trip_end
 from busloom.session import shared_dir
-from busloom.streaming import streams
+from busloom.streaming import streams, trip_tails
 
 DDL = "trip_id long, route_id string, actual_start timestamp_ntz, boardings long"
 START = datetime(2024, 1, 1)
@@ -91,3 +92,49 @@ def test_bins_have_the_exact_p95_and_late_rows_are_dropped(spark, files):
     assert found[START, "b"].passengers_p95 == 100
     third = found[START + timedelta(hours=3), "a"]
     assert (third.trips, third.passengers_sum) == (3, 8)
+
+
+EVENTS = "vehicle_id string, at timestamp_ntz, is_start boolean, ping_id long, speed_kmh double, message string"
+
+
+def halves(events):
+    starts = events.where("is_start").select("vehicle_id", F.col("at").alias("actual_start"))
+    return starts, events.where("NOT is_start").select("vehicle_id", F.col("at").alias("ping_ts"), "ping_id", "speed_kmh", "message")
+
+
+def test_streamed_trip_ends_equal_the_batch_with_bounded_state(spark):
+    """Three days, a file each three hours, out of order within an hour: one busy vehicle, one silent at times, one silent."""
+    import random
+
+    random_ = random.Random(8)
+    rows = []
+    for i in range(3 * 24 * 60):
+        mode = i // 200 % 4  # slow, fast, mixed, without speeds
+        speed = [random_.choice([0.0, 2.0, 3.0, 20.0]), random_.choice([11.0, 12.0, 30.0]), random_.choice([1.0, 5.0, 12.0, 13.0]), None][mode]
+        message = "engine error" if random_.random() < 0.01 else None
+        rows.append(("busy", START + timedelta(minutes=i), False, i, speed, message))
+        if i // 500 % 2 and i % 7 == 0:
+            rows.append(("shy", START + timedelta(minutes=i), False, 100_000 + i, speed, message))
+        if i % 45 == 0:
+            rows += [(v, START + timedelta(minutes=i + 3), True, None, None, None) for v in ("busy", "shy", "silent")]
+    rows += [(None, START, True, None, None, None), (" ", START, True, None, None, None), rows[0], rows[1]]
+    folder, base = (f"{shared_dir(spark)}/{n}-{uuid4().hex}" for n in ("tail-events", "tails"))
+    arrival = sorted(rows, key=lambda r: r[1] + timedelta(minutes=random_.randrange(50)))
+    per_file = len(arrival) // 24 + 1
+
+    def stream():
+        events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        return trip_tails.trip_ends(*halves(events), trip_end.EndRules(power_off_text="error"))
+
+    for k in range(0, len(arrival), per_file):
+        spark.createDataFrame(arrival[k: k + per_file], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    streams.run_available(stream(), base)
+    spark.createDataFrame([("end", START + timedelta(days=400), False, 1, 1.0, None)], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    found = streams.run_available(stream(), base).collect()
+    known = spark.createDataFrame(rows, EVENTS).where("trim(vehicle_id) <> ''")
+    want = trip_end.ends_for_starts(*halves(known), trip_end.EndRules(power_off_text="error")).collect()
+    assert sorted((r.vehicle_id, r.actual_start, str(r.estimated_end), r.end_type) for r in found) == sorted(
+        (r.vehicle_id, r.actual_start, str(r.estimated_end), r.end_type) for r in want)
+    assert len({r.end_type for r in found}) >= 5
+    # A file is three hours, the delay one, the tail a quarter; a ping a minute.
+    assert max(r.held_pings for r in found if r.vehicle_id == "busy") <= 6 * 60
