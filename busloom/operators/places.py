@@ -4,6 +4,9 @@ Cells are rows of latitude as high as the largest radius, cut into equally many
 that wide on the ground; the last cell of a row meets the first.  A place is copied to every cell that its circle
 touches (a few), a ping lies in exactly one.  So a ping is compared with the places around it, however many there are in all.
 
+Distances are worked out between different positions and different circles (position and radius), once each; pings and names
+are joined to the pairs that are near enough.
+
 Names in messages are found the same way: by the letters that a name begins with, among the distinct messages.
 """
 
@@ -15,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions.columns import EARTH_RADIUS_M, haversine_m
+from busloom.functions.reuse import written_once
 from busloom.operators.normalize import clean_positions
 
 LEAST_CELL_M = 100.0
 NAME_LETTERS = 6
 SPARE = 1.000001  # cells are that much larger than the largest circle, far more than rounding
+CELL_POSITIONS = 10_000  # positions of a cell that one task compares; a fuller cell is dealt to several
+CIRCLE = ["place_lat", "place_lon", "radius_m"]
 
 
 def _row(lat: Column, height: float) -> Column:
@@ -52,24 +58,50 @@ def _covered(places: DataFrame, height: float) -> DataFrame:
     return rows.withColumn("_cell", F.explode(cells)).withColumn("_cell", F.pmod("_cell", "_n")).drop("_half", "_n")
 
 
-def near_places(pings: DataFrame, places: DataFrame) -> DataFrame:
-    """Every readable ping with every place it lies at: the ping's columns, place, distance_m.
-
-    ``places``: place, lat, lon, radius_m (positive).  Places without a name, position or radius have no pings.  A cell may hold a
-    third of all pings: the places are the small side, which adaptive execution broadcasts once it knows its size; beyond that the
-    pings of a crowded cell are split.
-    """
-    known = places.filter("place IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND radius_m > 0").select(
+def _known(places: DataFrame) -> DataFrame:
+    """The places that can have pings: place and its circle."""
+    return places.filter("place IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND radius_m > 0").select(
         "place", F.col("lat").cast("double").alias("place_lat"), F.col("lon").cast("double").alias("place_lon"), F.col("radius_m").cast("double").alias("radius_m"))
-    largest = max(known.agg(F.max("radius_m")).first()[0] or 0.0, LEAST_CELL_M)
+
+
+def _met(found: DataFrame, known: DataFrame, deal: int = CELL_POSITIONS) -> DataFrame:
+    """Every different position of ``found`` with every different circle that it lies in: lat, lon, the circle, distance_m."""
+    circles = known.select(*CIRCLE).distinct()
+    largest = max(circles.agg(F.max("radius_m")).first()[0] or 0.0, LEAST_CELL_M)
     height = min(largest / EARTH_RADIUS_M * 180 / pi * SPARE, 180.0)
     height = 180.0 / max(1, ceil(180.0 / height) - 1)  # whole rows, none lower
-    found = clean_positions(pings)
     row = _row(F.col("lat"), height)
-    placed = found.withColumn("_row", row).withColumn("_cell", _cell(F.col("lon"), _cells_in(F.col("_row"), height)))
-    distance = haversine_m("lat", "lon", "place_lat", "place_lon")
-    met = placed.join(_covered(known, height), ["_row", "_cell"]).withColumn("distance_m", distance)
-    return met.filter(F.col("distance_m") <= F.col("radius_m")).select(*found.columns, "place", "distance_m")
+    cells = found.select("lat", "lon").distinct().withColumn("_row", row).withColumn("_cell", _cell(F.col("lon"), _cells_in(F.col("_row"), height)))
+    placed = written_once(cells, "positions")
+    full = placed.groupBy("_row", "_cell").agg(F.ceil(F.count(F.lit(1)) / deal).alias("_deals"))
+    dealt = placed.join(full, ["_row", "_cell"]).withColumn("_deal", F.pmod(F.xxhash64("lat", "lon"), "_deals")).drop("_deals")
+    copied = _covered(circles, height).join(full, ["_row", "_cell"]).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)))
+    pairs = dealt.join(copied, ["_row", "_cell", "_deal"]).withColumn("distance_m", haversine_m("lat", "lon", "place_lat", "place_lon"))
+    return written_once(pairs.filter(F.col("distance_m") <= F.col("radius_m")).select("lat", "lon", *CIRCLE, "distance_m"), "met")
+
+
+def _names_of(met: DataFrame, known: DataFrame) -> DataFrame:
+    """The places whose circles hold a position."""
+    return known.join(met.select(*CIRCLE).distinct(), CIRCLE, "left_semi")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for short rows that unfold to many: runtime re-planning would put them into a few."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def near_places(pings: DataFrame, places: DataFrame) -> DataFrame:
+    """Every readable ping with every place it lies at: the ping's columns, place, distance_m.
+
+    ``places``: place, lat, lon, radius_m (positive).  Places without a name, position or radius have no pings.  The pairs of
+    positions and circles are written while the frame is built; pings are dealt evenly before they meet their places, by vehicle if
+    they have one, as that is what their results are mostly grouped by.
+    """
+    known, found = _known(places), clean_positions(pings)
+    met = _met(found, known)
+    by = [c for c in ("vehicle_id",) if c in found.columns]
+    dealt = found.repartition(_tasks(found), *by)
+    return dealt.join(met, ["lat", "lon"]).join(_names_of(met, known), CIRCLE).select(*found.columns, "place", "distance_m")
 
 
 def named_places(pings: DataFrame, places: DataFrame) -> DataFrame:
@@ -104,6 +136,19 @@ def place_hits(pings: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def place_entries(pings: DataFrame, places: DataFrame) -> DataFrame:
-    """First and last ping, number of pings and least distance of every vehicle at every place it was at."""
-    return near_places(pings, places).groupBy("vehicle_id", "place").agg(
-        F.min("ping_ts").alias("entry_ts"), F.max("ping_ts").alias("last_ts"), F.count("*").alias("pings"), F.min("distance_m").alias("min_distance_m"))
+    """First and last ping, number of pings and least distance of every vehicle at every place it was at.
+
+    Pings are summed up by vehicle and position, then by vehicle and circle, before they meet the places' names.
+    """
+    known = _known(places)
+    stays = clean_positions(pings).groupBy("vehicle_id", "lat", "lon").agg(
+        F.min("ping_ts").alias("entry_ts"), F.max("ping_ts").alias("last_ts"), F.count(F.lit(1)).alias("pings"))
+    met = _met(stays, known)
+
+    def summed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy("vehicle_id", *by).agg(
+            F.min("entry_ts").alias("entry_ts"), F.max("last_ts").alias("last_ts"), F.sum("pings").alias("pings"), F.min("distance_m").alias("min_distance_m"))
+
+    inside = summed(stays.join(met, ["lat", "lon"]), *CIRCLE).withColumnRenamed("min_distance_m", "distance_m")
+    dealt = inside.repartition(_tasks(inside), "vehicle_id")  # a vehicle's rows are as many as the circles
+    return summed(dealt.join(_names_of(met, known), CIRCLE), "place")

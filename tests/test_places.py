@@ -1,9 +1,11 @@
 """Places by cells against all distances."""
 
 import random
+from datetime import datetime
 from math import asin, cos, radians, sin, sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
 from busloom.functions.columns import EARTH_RADIUS_M
 from busloom.operators import places
@@ -68,3 +70,37 @@ def test_names_in_messages(spark):
     found = {(r.ping_id, r.place) for r in places.named_places(pings, stops).collect()}
     assert found == {(i, p) for i, t in enumerate(texts) for p in ("Stop 1", "stop 12", "z", "ÑANDÚ Y", "longer than any") if t and p.upper() in t.upper()}
     assert places.named_places(pings, stops.limit(0)).count() == 0 and "place" in places.named_places(pings, stops.limit(0)).columns
+
+
+def test_repeated_positions_and_circles_are_compared_once(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(places, "written_once", lambda df, name: written.setdefault(name, df), raising=False)
+    pings = spark.createDataFrame([(i, f"v{i % 3}", 3.5, -76.5) for i in range(300)], "ping_id long, vehicle_id string, lat double, lon double")
+    stops = spark.createDataFrame([(f"p{i}", 3.5001, -76.5, 50.0) for i in range(200)], "place string, lat double, lon double, radius_m double")
+    assert places.near_places(pings, stops).count() == 300 * 200
+    assert written["met"].count() == 1
+
+
+def test_entries_of_vehicles_are_those_of_their_pings(spark):
+    rng = random.Random(2)
+    at = [(round(3.5 + rng.randrange(8) / 2000, 4), -76.5) for _ in range(400)]
+    moment = [None, *(datetime(2024, 1, 1, 5, m) for m in range(50))]
+    pings = spark.createDataFrame([(i, rng.choice(["a", "b", None]), rng.choice(moment), str(a).replace(".", ","), str(b)) for i, (a, b) in enumerate(at)] * 2,
+                                  "ping_id long, vehicle_id string, ping_ts timestamp_ntz, lat string, lon string")
+    # The names x and y belong to several circles, one of them twice.
+    stops = spark.createDataFrame([("x", 3.5, -76.5, 90.0), ("x", 3.501, -76.5, 90.0), ("y", 3.5, -76.5, 90.0), ("y", 3.5, -76.5, 90.0), ("z", 3.502, -76.5, 300.0)],
+                                  "place string, lat double, lon double, radius_m double")
+    expected = places.near_places(pings, stops).groupBy("vehicle_id", "place").agg(
+        F.min("ping_ts").alias("entry_ts"), F.max("ping_ts").alias("last_ts"), F.count("*").alias("pings"), F.min("distance_m").alias("min_distance_m"))
+    found = places.place_entries(pings, stops)
+    assert found.schema.simpleString() == expected.schema.simpleString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect())) and found.count() == 9
+
+
+def test_full_cells_are_dealt_to_several_tasks(spark):
+    rng = random.Random(3)
+    seen = [(3.5 + rng.random() / 500, -76.5 + rng.random() / 500) for _ in range(500)]
+    pings, stops = frames(spark, seen, [(3.5 + rng.random() / 500, -76.5 + rng.random() / 500, 100.0) for _ in range(40)])
+    known = places._known(stops)
+    whole, dealt = ({tuple(r) for r in places._met(pings, known, deal).collect()} for deal in (10_000, 7))
+    assert whole == dealt and len(whole) > 1000
