@@ -104,3 +104,14 @@ def test_full_cells_are_dealt_to_several_tasks(spark):
     known = places._known(stops)
     whole, dealt = ({tuple(r) for r in places._met(pings, known, deal).collect()} for deal in (10_000, 7))
     assert whole == dealt and len(whole) > 1000
+
+
+def test_hits_of_many_pings_at_one_place(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(places, "written_once", lambda df, name: written.setdefault(name, df), raising=False)
+    pings = spark.createDataFrame([(f"v{i % 3}", datetime(2024, 1, 1), "at P7 now", 3.5, -76.5) for i in range(60)] + [(None, datetime(2024, 1, 1), "at P7 now", 3.5, -76.5)],
+                                  "vehicle_id string, ping_ts timestamp_ntz, message string, lat double, lon double")
+    stops = spark.createDataFrame([(f"p{i} ", 3.5001, -76.5, 50.0) for i in range(20)], "place string, lat double, lon double, radius_m double")
+    found = places.place_hits(pings, stops).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in found} == {"text": 60, "fence": 60 * 20}
+    assert written["met"].count() == 1
