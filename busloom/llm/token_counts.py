@@ -14,6 +14,10 @@ words, or both inside a word that began at least ``INSIDE`` bytes before (then i
 whatever its beginning was), both go on with the same tokens.  The text's count is the last chunk's tokens
 plus, for every splice, the earlier chunk's tokens before it minus the later one's.
 
+*Words.*  A word's tokens depend on the word alone, so in texts of the characters that ``WORD`` is proven for (tests compare it with
+the library's split) the library encodes each different word once and its number of tokens is looked up from then on.  Other texts, and those with a
+special token's string, are encoded whole.
+
 *Widening.*  Documents with an overlap that holds no such border are cut anew from their chunks, with chunks and
 overlaps ``WIDER`` times as long, until there is one; a document that fits one chunk needs none.
 """
@@ -22,8 +26,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from pathlib import Path
 from uuid import uuid4
 
@@ -43,6 +48,12 @@ OVERLAP = 2 << 10
 WIDER = 8
 INSIDE = 16
 BATCH = 1 << 20  # bytes of short texts that are encoded in one call
+MEMO_CHARS = 8 << 20  # letters of the words whose counts a worker keeps; beyond, it begins anew
+
+# The library's split into words, for texts below U+0250: letters, digits and spaces there are the same in every Unicode version.
+_LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+WORD = re.compile(f"'(?:[sdmt]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+OTHER = re.compile("[^\0-\u024f]")
 
 CUT = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
@@ -80,13 +91,54 @@ class ByteTokenizer:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         # Four bytes are the character that follows a word.
         self.reach = max([sufficient_lookahead(merges), *(len(t["content"].encode()) for t in added)]) + 4
+        self.special = [t["content"] for t in added]
+        self.memo: dict[str, int] = {}
+        self.held = 0
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def whole(self, texts: list[str]) -> list[int]:
+        """Tokens of each text as the library encodes it."""
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def borders(self, data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """How many tokens a chunk has; its usable borders: byte offsets, whether inside a word, tokens before."""
-        found = self.library.encode(data.decode("utf-8", "replace"), add_special_tokens=False)
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, with their counts in ``memo``; none for a text that has to be encoded whole."""
+        if OTHER.search(text) or any(s in text for s in self.special):
+            return None
+        words = WORD.findall(text)
+        seen = set(words)
+        if new := [w for w in seen if w not in self.memo]:
+            if self.held > MEMO_CHARS:
+                self.memo, self.held, new = {}, 0, list(seen)
+            self._learn(new)
+        return words
+
+    def _learn(self, new: list[str]) -> None:
+        """Counts of new words: those that don't begin or end with a line break are encoded as the lines of one text."""
+        lines, rest = [], []
+        for word in new:
+            (rest if word.isspace() else lines).append(word)
+        ids = np.array(self.library.encode("\n".join(lines), add_special_tokens=False).word_ids, np.int64)
+        counts = np.bincount(ids)[::2].tolist() if len(ids) and ids[-1] == 2 * len(lines) - 2 else self.whole(lines)
+        self.memo.update(zip(lines, counts, strict=True))
+        self.memo.update(zip(rest, self.whole(rest), strict=True))
+        self.held += sum(map(len, new))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [None if words is None else sum(map(self.memo.__getitem__, words)) for words in map(self.words, texts)]
+        others = iter(self.whole([t for t, n in zip(texts, split, strict=True) if n is None]))
+        return [next(others) if n is None else n for n in split]
+
+    def borders(self, data: bytes, longest: int = INSIDE) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """How many tokens a chunk has; its usable borders: byte offsets, whether inside a word, tokens before.
+
+        If no word is longer than ``longest`` bytes, borders between words may be all.
+        """
+        text = data.decode("utf-8", "replace")
+        if (words := self.words(text)) is not None:
+            sizes = np.array([len(w.encode()) for w in words], np.int64)
+            if sizes.max(initial=0) <= longest:
+                at, before = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, np.array([self.memo[w] for w in words], np.int64)))
+                return int(before[-1]), at, np.zeros(len(at), bool), before
+        found = self.library.encode(text, add_special_tokens=False)
         at = np.concatenate([[0], np.cumsum(self.sizes[found.ids])])
         word = np.array(found.word_ids, np.int64)
         inside = np.concatenate([[False], word[1:] == word[:-1], [False]])
@@ -95,6 +147,12 @@ class ByteTokenizer:
         return len(found), at[usable], inside[usable], np.flatnonzero(usable)
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(definition: str) -> ByteTokenizer:
+    """A Python worker's tokenizer, which its tasks share."""
+    return ByteTokenizer(definition)
+
+
 def chunks(parts: Iterable[bytes], chunk: int, overlap: int) -> Iterator[tuple[int, bytes, bool]]:
     """Start, bytes and whether it is the last, of the chunks of a text (UTF-8) that arrives in parts.
 
@@ -125,7 +183,7 @@ def _cut(docs: DataFrame, definition, chunk: int, overlap: int) -> DataFrame:
     """A row with its count for each short document, a row per chunk for each long one; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(definition.value)
+        tokenizer = tokenizer_of(definition.value)
         empty = (None,) * 5
 
         def counted(short: list[tuple[int | None, bytes]]) -> Iterator[tuple]:
@@ -184,11 +242,11 @@ def _borders(cut: DataFrame, definition, overlap: int) -> DataFrame:
     """Every chunk's tokens, and its usable borders in both overlaps: where (twice the byte, plus 1 inside a word) and tokens before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(definition.value)
+        tokenizer = tokenizer_of(definition.value)
 
         def rows() -> Iterator[tuple]:
             for doc_id, n_bytes, doc, number, last, start, data in pairs_of(batches, "doc_id", "n_bytes", "doc", "chunk", "last", "start", "data"):
-                tokens, at, inside, before = tokenizer.borders(data)
+                tokens, at, inside, before = tokenizer.borders(data, max(INSIDE, overlap // 8))
                 # An overlap is up to three bytes longer than asked for.
                 head = at <= overlap + 3 if number else at < 0
                 tail = (at >= len(data) - overlap - 3) & (at <= len(data) - tokenizer.reach) if not last else at < 0

@@ -117,3 +117,34 @@ def test_empty_table_and_other_tokenizers(spark):
         token_counts.ByteTokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     with pytest.raises(ValueError):
         token_counts.count_tokens(none, BYTE, chunk=100, overlap=51)
+
+
+def test_words_are_the_library_s(tokenizer):
+    split = tokenizer.library.pre_tokenizer.pre_tokenize_str
+    texts = [f"a{c}b {c} {c}1{c}!{c}{c}a\n{c}'{c}s'{c}re {c}\n {c}" for c in map(chr, range(0x250))]
+    texts += [jumble(list("ab 'slrevmdtLéß²ª\n\t\r\f\v\x1c\x85\xa01½.!_-×÷ɏ\x00") + ["'ll", "'S", "''s", "  "], 4000) for _ in range(20)]
+    for text in texts:
+        assert token_counts.WORD.findall(text) == [text[a:b] for _, (a, b) in split(text)]
+
+
+def test_a_word_is_encoded_once(library, monkeypatch):
+    fresh = token_counts.ByteTokenizer(open(BYTE, encoding="utf-8").read())
+    texts = [jumble(list("ab 'slrevmdté\n\x1c\x85\xa01.!_²") + ["'ll", "''s", "  "], 3000) for _ in range(40)] + SHORT + LONG
+    expected = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    assert fresh.counts(texts) == expected
+    asked = []
+    whole, learn = fresh.whole, fresh._learn
+    monkeypatch.setattr(fresh, "whole", lambda x: asked.extend(x) or whole(x))
+    monkeypatch.setattr(fresh, "_learn", lambda x: asked.extend(x) or learn(x))
+    assert fresh.counts(texts) == expected
+    assert asked == [t for t in texts if "<|endoftext|>" in t or not t.isascii() and max(t) > "ɏ"]
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 100)
+    assert fresh.counts(texts + texts[::-1]) == expected + expected[::-1]
+
+
+def test_borders_of_short_words_are_the_library_s(tokenizer, monkeypatch):
+    text = " ".join(jumble("etaoinshrdluéñ", RANDOM.randint(1, 6)) for _ in range(3000)) + "\n\n it's  100."
+    quick = tokenizer.borders(text.encode())
+    monkeypatch.setattr(tokenizer, "words", lambda text: None)
+    plain = tokenizer.borders(text.encode())
+    assert quick[0] == plain[0] and all(np.array_equal(a, b) for a, b in zip(quick[1:], plain[1:], strict=True))
