@@ -7,7 +7,8 @@ touches (a few), a ping lies in exactly one.  So a ping is compared with the pla
 Distances are worked out between different positions and different circles (position and radius), once each; pings and names
 are joined to the pairs that are near enough.
 
-Names in messages are found the same way: by the letters that a name begins with, among the distinct messages.
+Names in messages are looked up among the distinct messages: where the letters that a name begins with stand, the letters
+that follow are taken in every length such a name has, and must be a name.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ LEAST_CELL_M = 100.0
 NAME_LETTERS = 6
 SPARE = 1.000001  # cells are that much larger than the largest circle, far more than rounding
 CELL_POSITIONS = 10_000  # positions of a cell that one task compares; a fuller cell is dealt to several
+CIRCLE_SIDE = 1_000  # vehicles and names of a circle that one task pairs; a fuller circle is dealt to several
 CIRCLE = ["place_lat", "place_lon", "radius_m"]
 
 
@@ -105,36 +107,101 @@ def near_places(pings: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def named_places(pings: DataFrame, places: DataFrame) -> DataFrame:
-    """Every ping whose message holds a place's name, in any case: the ping's columns, place.
+    """Every ping whose message holds a place's name, in any case: the ping's columns, place."""
+    return pings.join(_held(pings, places), "message").select(*pings.columns, "place")
 
-    Messages repeat, so names are looked for in the distinct ones: those that hold the first letters of a name are compared
-    with the whole name.
+
+def _held(pings: DataFrame, places: DataFrame) -> DataFrame:
+    """The names that each different message holds: message, place.
+
+    A message is met by the first letters of names, once per place in it, and by whole names; never by the names that only begin alike.
     """
     names = places.filter("trim(place) <> ''").select("place", F.upper("place").alias("_name")).distinct()
     letters = F.least(F.length("_name"), F.lit(NAME_LETTERS))
-    names = names.withColumn("_begin", F.substring(F.col("_name"), F.lit(1), letters))
-    lengths = [r[0] for r in names.select(F.length("_begin")).distinct().collect()]  # NAME_LETTERS numbers at most
+    begins = names.groupBy(F.substring(F.col("_name"), F.lit(1), letters).alias("_begin")).agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    lengths = [r[0] for r in names.select(letters).distinct().collect()]  # NAME_LETTERS numbers at most
     messages = pings.filter("message IS NOT NULL").select("message").distinct().withColumn("_text", F.upper("message"))
     if not lengths:
-        return pings.withColumn("place", F.lit(None).cast("string")).limit(0)
+        return messages.select("message", F.lit(None).cast("string").alias("place")).limit(0)
     parts = F.flatten(F.array(*(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1))), _part_of(n)) for n in lengths)))
-    held = messages.withColumn("_begin", F.explode(F.array_distinct(parts))).join(names, "_begin").filter(F.contains("_text", "_name"))
-    return pings.join(held.select("message", "place").distinct(), "message").select(*pings.columns, "place")
+    begun = messages.select("message", "_text", F.inline(parts)).join(begins, "_begin").withColumn("_length", F.explode("_lengths"))
+    whole = begun.select("message", F.substring(F.col("_text"), F.col("_at"), F.col("_length")).alias("_name")).distinct()
+    return whole.join(names, "_name").select("message", "place").distinct()
 
 
 def _part_of(n: int):
-    return lambda at: F.substring(F.col("_text"), at, F.lit(n))
+    return lambda at: F.struct(at.alias("_at"), F.substring(F.col("_text"), at, F.lit(n)).alias("_begin"))
 
 
-def place_hits(pings: DataFrame, places: DataFrame) -> DataFrame:
-    """Pings that tell of a place, by text or by fence: vehicle, yard, kind, time, as ``gps.yard_hits`` gives them for a few."""
+def place_hits(pings: DataFrame, places: DataFrame, *, summed: bool = False) -> DataFrame:
+    """Pings that tell of a place, by text or by fence: vehicle, yard, kind, time, as ``gps.yard_hits`` gives them for a few.
+
+    ``summed``: a row per vehicle, yard and kind instead, with the number of its pings and the first of their times.  Pings are
+    then summed up before they meet places, so the work follows from the vehicles and places, not from the pings.
+    """
     seen = pings.filter("vehicle_id IS NOT NULL AND ping_ts IS NOT NULL")
-    kinds = (("text", named_places(seen, places)), ("fence", near_places(seen, places)))
-    text, fence = (found.select("vehicle_id", "ping_ts", F.col("place").alias("yard"), F.lit(kind).alias("kind")) for kind, found in kinds)
+    named, near = (_named_sums, _near_sums) if summed else (named_places, near_places)
+    kinds = (("text", named(seen, places)), ("fence", near(seen, places)))
+    before, after = ([], ["pings", "first_ts"]) if summed else (["ping_ts"], [])
+    text, fence = (found.select("vehicle_id", *before, F.col("place").alias("yard"), F.lit(kind).alias("kind"), *after) for kind, found in kinds)
     return text.unionByName(fence)
 
 
+def _counted(pings: DataFrame, *by: str) -> DataFrame:
+    return pings.groupBy("vehicle_id", *by).agg(F.count(F.lit(1)).alias("pings"), F.min("ping_ts").alias("first_ts"))
+
+
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy("vehicle_id", *by).agg(F.sum("pings").alias("pings"), F.min("first_ts").alias("first_ts"))
+
+
+def _named_sums(pings: DataFrame, places: DataFrame) -> DataFrame:
+    """``named_places`` summed up: by vehicle and message before messages meet names."""
+    said = written_once(_counted(pings.filter("message IS NOT NULL"), "message"), "said")
+    return _added(said.join(_held(said, places), "message"), "place")
+
+
+def _near_sums(pings: DataFrame, places: DataFrame) -> DataFrame:
+    """``near_places`` summed up: by vehicle and position as written, then by vehicle and circle, before circles meet names.
+
+    A name of one circle, as most are, needs no sum after that: its pings are those of the circle, as often as it is listed.
+    """
+    known = _known(places)
+    stays = clean_positions(written_once(_counted(pings, "lat", "lon"), "stays"))
+    met = _met(stays, known)
+    inside = written_once(_added(stays.join(met, ["lat", "lon"]), *CIRCLE), "inside")
+    names = written_once(_names_of(met, known).groupBy("place", *CIRCLE).agg(F.count(F.lit(1)).alias("_times")), "names")
+    several = names.groupBy("place").agg(F.count(F.lit(1)).alias("_circles")).filter("_circles > 1")
+    blocks = written_once(_blocks(inside, names, CIRCLE_SIDE), "blocks")
+
+    def at(which: str) -> DataFrame:
+        met_names = _paired(inside, names.join(several, "place", which), blocks)
+        return met_names.select("vehicle_id", "place", (F.col("pings") * F.col("_times")).alias("pings"), "first_ts")
+
+    return at("left_anti").unionByName(_added(at("left_semi"), "place"))
+
+
+def _blocks(inside: DataFrame, names: DataFrame, side: int) -> DataFrame:
+    """Circles by number, and how many blocks their vehicles and names are dealt to."""
+    vehicles, called = (rows.groupBy(*CIRCLE).agg(F.ceil(F.count(F.lit(1)) / side).alias(to)) for rows, to in ((inside, "_vehicles"), (names, "_names")))
+    return vehicles.join(called, CIRCLE).withColumn("_circle", F.monotonically_increasing_id())
+
+
+def _paired(inside: DataFrame, names: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every vehicle of a circle with every name of it; every two blocks meet in one task, which keeps the names only.
+
+    They meet by whole numbers: rows that were dealt by a fraction would be dealt again for the join.
+    """
+    key = ["_circle", "_vehicles", "_names"]
+
+    def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        block = {own: F.pmod(F.xxhash64(by), own), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        return rows.join(blocks, CIRCLE).withColumns(block).drop(*CIRCLE).repartition(_tasks(rows), *key)
+
+    return dealt(inside, "vehicle_id", "_vehicles", "_names").join(dealt(names, "place", "_names", "_vehicles"), key)
+
+
 def place_entries(pings: DataFrame, places: DataFrame) -> DataFrame:
     """First and last ping, number of pings and least distance of every vehicle at every place it was at.
 

@@ -142,8 +142,7 @@ QUERIES = [
           lambda s, d: places.place_entries(pings(s, d), many_places(s, d)),
           sql("""SELECT vehicle_id, place, min(ping_ts) AS entry_ts, max(ping_ts) AS last_ts, count(*) AS pings, min(distance_m) AS min_distance_m FROM at_places_v GROUP BY 1, 2""")),
     Query("g3_many_departures", "vehicle_id:s yard:s kind:s pings:i first_ts:t",
-          lambda s, d: places.place_hits(stop_pings(s, d), many_places(s, d)).groupBy("vehicle_id", "yard", "kind").agg(
-              F.count("*").alias("pings"), F.min("ping_ts").alias("first_ts")),
+          lambda s, d: places.place_hits(stop_pings(s, d), many_places(s, d), summed=True),
           sql("""SELECT vehicle_id, yard, kind, count(*) AS pings, min(ping_ts) AS first_ts FROM (
                  SELECT vehicle_id, place AS yard, 'fence' AS kind, ping_ts FROM at_places_v
                  UNION ALL SELECT vehicle_id, place, 'text', ping_ts FROM pings_v p JOIN places_v ON p.ping_id % 10 = 0 AND contains('LEFT STOP ' || (p.ping_id % 300) || ' NOW', place))

@@ -115,3 +115,44 @@ def test_hits_of_many_pings_at_one_place(spark, monkeypatch):
     found = places.place_hits(pings, stops).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in found} == {"text": 60, "fence": 60 * 20}
     assert written["met"].count() == 1
+
+
+@pytest.mark.parametrize("side", [2, 1000])
+def test_summed_hits_are_those_of_the_pings(spark, monkeypatch, side):
+    monkeypatch.setattr(places, "CIRCLE_SIDE", side)
+    rng = random.Random(4)
+    moment = [None, *(datetime(2024, 1, 1, 5, m) for m in range(50))]
+    # The same position in several spellings, positions that can't be read, and messages of several names.
+    lats = ["3,5", "3.5", " 3,500", "3,5005", "3,501", "3,502", "91", "x", None]
+    texts = ["at Stop 1 now", "left STOP 12, stop 7", "y and Stop 123", "stop", "", None]
+    rows = [(rng.choice(["a", "b", "c", "d", None]), rng.choice(moment), rng.choice(texts), rng.choice(lats), "-76,5") for _ in range(300)]
+    pings = spark.createDataFrame(rows * 2, "vehicle_id string, ping_ts timestamp_ntz, message string, lat string, lon string")
+    # The names y and Stop 7 belong to several circles; y and Stop 12 are listed twice with one of theirs.
+    stops = spark.createDataFrame(
+        [("Stop 1", 3.5, -76.5, 90.0), ("stop 1", 3.5, -76.5, 90.0), ("Stop 12", 3.501, -76.5, 90.0), ("Stop 12", 3.501, -76.5, 90.0), ("Stop 123", 3.5, -76.5, 90.0),
+         ("y", 3.5, -76.5, 90.0), ("y", 3.5, -76.5, 90.0), ("y", 3.5, -76.5, 30.0), ("Stop 7", 3.502, -76.5, 300.0), ("Stop 7", 3.501, -76.5, 90.0), ("far", 9.0, 9.0, 50.0), (None, 3.5, -76.5, 90.0)],
+        "place string, lat double, lon double, radius_m double")
+    expected = places.place_hits(pings, stops).groupBy("vehicle_id", "yard", "kind").agg(F.count("*").alias("pings"), F.min("ping_ts").alias("first_ts"))
+    found = places.place_hits(pings, stops, summed=True)
+    assert dict(found.dtypes) == dict(expected.dtypes) and found.columns == expected.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect())) and found.count() > 40
+    assert places.place_hits(pings, stops.limit(0), summed=True).count() == 0
+
+
+def test_summed_hits_make_no_row_per_ping_and_place(spark, monkeypatch):
+    written, keep = {}, places.written_once
+    monkeypatch.setattr(places, "written_once", lambda df, name: written.setdefault(name, keep(df, name)))
+    pings = spark.range(20_000).select(F.concat(F.lit("v"), F.col("id") % 3).alias("vehicle_id"), F.lit(datetime(2024, 1, 1)).alias("ping_ts"), F.lit("at P7 now").alias("message"),
+                                       F.lit(3.5).alias("lat"), F.lit(-76.5).alias("lon"))
+    stops = spark.range(2_000).select(F.concat(F.lit("p"), F.col("id"), F.lit(" ")).alias("place"), F.lit(3.5001).alias("lat"), F.lit(-76.5).alias("lon"), F.lit(50.0).alias("radius_m"))
+    found = places.place_hits(pings, stops, summed=True).groupBy("kind").agg(F.count("*").alias("rows"), F.sum("pings").alias("pings")).collect()
+    assert {r["kind"]: (r["rows"], r["pings"]) for r in found} == {"text": (3, 20_000), "fence": (3 * 2_000, 20_000 * 2_000)}
+    assert {name: rows.count() for name, rows in written.items() if name in ("said", "stays", "inside")} == {"said": 3, "stays": 3, "inside": 3}
+
+
+def test_messages_meet_whole_names_only(spark):
+    """No pairs of a message and a name that only begins as a part of it does."""
+    pings = spark.range(300).select(F.concat(F.lit("left Stop 1"), F.col("id"), F.lit(" now")).alias("message"))
+    stops = spark.range(3_000).select(F.concat(F.lit("STOP 10000"), F.col("id")).alias("place"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"), F.lit(1.0).alias("radius_m"))
+    found = places.named_places(pings, stops)
+    assert found.count() == 0 and "contains" not in found._jdf.queryExecution().toString().lower()
